@@ -61,10 +61,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in ``data``; words also end at ``breaks``."""
     n = len(data)
-    letter = ~SPACE[data]
+    letter = ~stops[data]
     edge = np.empty(n + 1, dtype=bool)
     edge[0] = edge[n] = True
     edge[1:n] = ~letter[:-1]
@@ -80,36 +80,44 @@ def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.
     return mix(hashes + (ends - starts).astype(U) * U(0xA24BAED4963EE407)), starts, ends
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all rows, and the number of words before each row. ``lower``: A-Z count as a-z."""
+def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of all rows, and the number of words before each row.
+
+    A word is a run of bytes outside ``stops`` (as default ``[^\\x20\\x09-\\x0D]+``) within a row. ``lower``: A-Z count as a-z.
+    """
     table = LOWER if lower else TABLE
-    parts, starts = [], []
+    hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lo, n = 0, len(data)
     while lo < n:
         hi = min(n, lo + BLOCK)
         if hi < n:
-            row = at[np.searchsorted(at, hi, "right") - 1]
+            row = int(at[np.searchsorted(at, hi, "right") - 1])
             if row > lo:
-                hi = int(row)
-            else:  # one long row: cut it after white space
-                cut = np.flatnonzero(SPACE[data[lo:hi]])
-                while not len(cut) and hi < n:
-                    first, hi = hi, min(n, hi + BLOCK)
-                    cut = np.flatnonzero(SPACE[data[first:hi]])
-                    if len(cut):
-                        hi = first + int(cut[0]) + 1
-                        cut = cut[:0]
-                        break
+                hi = row
+            else:  # one long row: cut it after a stop
+                end = int(at[np.searchsorted(at, lo, "right")])
+                cut = np.flatnonzero(stops[data[lo:hi]])
                 if len(cut):
                     hi = lo + int(cut[-1]) + 1
+                while not len(cut) and hi < end:
+                    first, hi = hi, min(end, hi + BLOCK)
+                    cut = np.flatnonzero(stops[data[first:hi]])
+                    if len(cut):
+                        hi = first + int(cut[0]) + 1
         breaks = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi, "left")] - lo
-        h, s, _ = _block(data[lo:hi], breaks, table)
-        parts.append(h)
+        h, s, e = _block(data[lo:hi], breaks, table, stops)
+        hashes.append(h)
         starts.append(s + lo)
+        ends.append(e + lo)
         lo = hi
-    hashes = np.concatenate(parts) if parts else np.zeros(0, U)
-    where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(where, at, "left")
+    where = np.concatenate(starts)
+    return np.concatenate(hashes), where, np.concatenate(ends), np.searchsorted(where, at, "left")
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and the number of words before each row."""
+    hashes, _, _, first = word_spans(data, at, lower, stops)
+    return hashes, first
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
