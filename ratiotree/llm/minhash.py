@@ -3,8 +3,8 @@
 Each text's distinct word shingles are hashed once; the hash picks a bin and the least hash of a bin is its value. Empty bins
 borrow from non-empty ones by rounds of a universal hash (optimal densification: Shrivastava, 2017). Bands of bins make bucket
 keys. A bucket gives star edges from its smallest member, each member trying one hub at first; edges count only after the full
-shingle sets are compared. What a star leaves open (members of one bucket in different classes) is compared afterwards, so
-that no link of a bucket is lost, while members already in one class are never paired.
+shingle sets are compared. What a star leaves open (members of one bucket in different classes) is found afterwards by a prefix
+filter on the rarest shingles, so that no link of a bucket is lost, while members already in one class are never paired.
 """
 
 from __future__ import annotations
@@ -92,6 +92,19 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _spread(k: int):
+    """The shingles of each text, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, rows=256, most=2 << 20):
+            sets = shingles(*utf8(batch.column(1)), k)
+            sizes = np.array([len(s) for s in sets])
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "of", "n", "s"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept, links.
 
@@ -141,14 +154,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = across(stars.join(first, ["u", "v"], "left_anti"))
     links = scratch.put(links.union(confirm(rest)))
     found = classes(links)
-    placed = scratch.put(shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("of")))
+    placed = scratch.put(shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("of")))
     scratch.drop(shared)
-    open_keys = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min(F.struct("doc_id", "of")).alias("m")).where("lo < hi").select("key", F.col("m.of").alias("main"))
-    left_open = scratch.put(placed.join(open_keys, "key"))
-    x = left_open.where("of <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("of").alias("x_of"))
-    y = left_open.select("key", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("of").alias("y_of"), "main")
-    meet = (x["key"] == y["key"]) & (x["x_of"] != y["y_of"]) & ((y["y_of"] == y["main"]) | (x["x"] < y["y"])) & (F.lit(100) * F.least("xn", "yn") >= F.lit(percent) * F.greatest("xn", "yn"))
-    pairs = x.join(y, meet).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+    open_keys = placed.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
+    left_open = scratch.put(placed.join(open_keys, "key").select("doc_id", "of").distinct())
+    # two linked sets share one of the rarest shingles of either: of n, the first n - ceil(percent / 100 n) + 1 (prefix filter)
+    sets = scratch.put(texts.join(left_open, "doc_id").select("doc_id", "text", "of").mapInArrow(_spread(k), "doc_id long, of long, n long, s long"))
+    often = sets.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("of").alias("lo"), F.max("of").alias("hi"))
+    ranked = sets.join(often, "s").withColumn("at", F.expr("dense_rank() over (partition by doc_id, n order by c, s)"))
+    rare = scratch.put(ranked.where(f"lo < hi and at <= n - ({percent} * n + 99) div 100 + 1").select("s", "doc_id", "of", "n", "at"))
+    x, y = (rare.select("s", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "of", "n", "at"))) for side in "xy")
+    fit = f"""x_doc_id < y_doc_id and x_of <> y_of and 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)
+        and {100 + percent} * (least(x_n - x_at, y_n - y_at) + 1) >= {percent} * (x_n + y_n)"""
+    pairs = x.join(y, "s").where(fit).select(F.col("x_doc_id").alias("u"), F.col("y_doc_id").alias("v")).distinct()
     pairs = pairs.join(stars, ["u", "v"], "left_anti")
     links = scratch.put(links.union(confirm(pairs)))
     found = classes(links)
