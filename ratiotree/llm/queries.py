@@ -28,7 +28,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(documents(spark, sf_dir)).drop("text")
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
 def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

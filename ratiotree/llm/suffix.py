@@ -1 +1,354 @@
-def remove_repeats(docs): raise NotImplementedError
+"""Repeated substrings by suffix arrays.
+
+A byte string of the least length holds a window of grams; the gram with the least hash is its anchor, the same wherever the
+string stands. The starts that share an anchor make a segment, so all copies of a string meet under one hash, on one
+executor. Segments equal to an earlier one are settled by their hashes. Where different segments share an anchor, their bytes go to shards; each
+shard is sorted by induced sorting (Nong, Zhang and Chan, 2009) and neighbours in its suffix array are compared in text order (permuted
+common prefixes), which shows every string that stands in an earlier place as well.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import Scratch
+from .textscan import TABLE, U, mix, powers, slices, utf8
+
+LENGTH, GRAM = 100, 32
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+BLOCK = 1 << 20
+SHARD = 2 << 20
+_PLACE = U(BLOCK * 2 - 1)
+
+
+def _anchors(data: np.ndarray, ok: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The segments of a block: first start, number of starts, hash of the anchor, hash of the bytes. ``ok``: whether a string may start here."""
+    n = len(data)
+    total = np.zeros(n + 1, dtype=U)
+    np.cumsum(TABLE[data] * powers(_BASE, n), out=total[1:])
+    back = powers(_INVERSE, n + 1)
+    g = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
+    a = (g & ~_PLACE) | np.arange(len(g), dtype=U)
+    least, width, wanted = a, 1, length - gram + 1
+    while 2 * width <= wanted:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < wanted:
+        more = wanted - width
+        least = np.minimum(least[:-more], least[more:])
+    at = (least & _PLACE).astype(np.int64)  # the anchor of each start
+    ok = ok[: len(at)]
+    new = ok.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
+    first = np.flatnonzero(new)
+    stop = np.flatnonzero(ok & ~np.append(ok[1:] & (at[1:] == at[:-1]), False)) + 1
+    size = stop - first
+    end = stop + length - 1
+    body = mix((total[end] - total[first]) * back[first] + size.astype(U) * U(0xA24BAED4963EE407))
+    return first, size, g[at[first]], body
+
+
+def _scan(length: int, gram: int):
+    """(anchor, body, id, start, size): all segments of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, rows=4096, most=BLOCK // 2):
+            data, at = utf8(batch.column(1))
+            ids = batch.column(0)
+            n = len(data)
+            for lo in range(0, max(1, n - length + 1), BLOCK):  # more than one only within a single long text
+                hi = min(n, lo + BLOCK + length - 1)
+                if hi - lo < length:
+                    continue
+                ok = np.ones(hi - lo, dtype=bool)
+                ok[max(0, hi - lo - length + 1) :] = False
+                for e in at[1:-1]:
+                    ok[max(0, e - length + 1 - lo) : max(0, e - lo)] = False
+                first, size, anchor, body = _anchors(data[lo:hi], ok, length, gram)
+                row = np.searchsorted(at, first + lo, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64)), ids.take(pa.array(row)), pa.array(first + lo - at[row]), pa.array(size.astype(np.int32))], names=["anchor", "body", "id", "start", "size"])
+
+    return run
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor, body, id, start -> those equal to an earlier one (open false), and the first of each body where an anchor has several (open true)."""
+    held: list | None = None  # the last first-of-a-body: its row, and whether it is open already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        anchor, body = c[0], c[1]
+        same = np.zeros(len(anchor), dtype=bool)
+        same[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
+        if held is not None:
+            same[0] = anchor[0] == held[0][0] and body[0] == held[0][1]
+        first = np.flatnonzero(~same)
+        rows, opens = [np.flatnonzero(same)], [np.zeros(int(same.sum()), dtype=bool)]
+        extra = None
+        if len(first):
+            fa = anchor[first]
+            near = np.zeros(len(first), dtype=bool)
+            near[1:] |= fa[1:] == fa[:-1]
+            near[:-1] |= fa[1:] == fa[:-1]
+            if held is not None:
+                joins = fa[0] == held[0][0]
+                near[0] |= joins
+                if joins or held[1]:
+                    extra = held[0]
+            held = [tuple(x[first[-1]] for x in c), bool(near[-1])]
+            keep = first[:-1][near[:-1]]
+            rows.append(keep)
+            opens.append(np.ones(len(keep), dtype=bool))
+        rows, opens = np.concatenate(rows), np.concatenate(opens)
+        columns = [c[0][rows], c[2][rows], c[3][rows], c[4][rows], opens]
+        if extra is not None:
+            columns = [np.append(x, np.array([v], dtype=x.dtype)) for x, v in zip(columns, (extra[0], extra[2], extra[3], extra[4], True), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "id", "start", "size", "open"])
+    if held is not None and held[1]:
+        h = held[0]
+        yield pa.RecordBatch.from_arrays([pa.array([h[0]], pa.int64()), pa.array([h[2]], pa.int64()), pa.array([h[3]], pa.int64()), pa.array([h[4]], pa.int32()), pa.array([True])], names=["anchor", "id", "start", "size", "open"])
+
+
+def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes of ``t`` sorted, given those at ``lms`` in order. ``small``: whether a suffix is less than the next; ``ends``: where each sign's suffixes end."""
+    n, signs = len(t), len(ends)
+    begins = np.concatenate([[0], ends[:-1]])
+    sa = np.empty(n, dtype=np.int64)
+    kind = t[lms]
+    count = np.bincount(kind, minlength=signs)
+    order = np.argsort(kind, kind="stable")
+    tails = ends - count
+    sa[np.repeat(tails - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(lms))] = lms[order]
+    fronts = begins.copy()
+
+    def put_l(found: np.ndarray) -> None:
+        j = found[found > 0] - 1
+        j = j[~small[j]]
+        if len(j):
+            c = t[j]
+            o = np.argsort(c, kind="stable")
+            j, c = j[o], c[o]
+            edge = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            size = np.diff(np.append(edge, len(c)))
+            to = c[edge]
+            sa[np.repeat(fronts[to] - edge, size) + np.arange(len(c))] = j
+            fronts[to] += size
+
+    sa[fronts[t[n - 1]]] = n - 1  # before it comes the empty suffix
+    fronts[t[n - 1]] += 1
+    for c in range(signs):
+        if begins[c] == ends[c]:
+            continue
+        at = begins[c]
+        while at < fronts[c]:
+            at, part = fronts[c], sa[at : fronts[c]]
+            put_l(part)
+        put_l(sa[tails[c] : ends[c]])
+    tails = ends.copy()
+
+    def put_s(found: np.ndarray) -> None:
+        j = found[found > 0] - 1
+        j = j[small[j]]
+        if len(j):
+            c = t[j]
+            o = np.argsort(c, kind="stable")
+            j, c = j[o], c[o]
+            edge = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            size = np.diff(np.append(edge, len(c)))
+            to = c[edge]
+            sa[np.repeat(tails[to] - 1 + edge, size) - np.arange(len(c))] = j
+            tails[to] -= size
+
+    for c in range(signs - 1, -1, -1):
+        if begins[c] == ends[c]:
+            continue
+        at = ends[c]
+        while at > tails[c]:
+            at, part = tails[c], sa[tails[c] : at]
+            put_s(part[::-1])
+        put_s(sa[begins[c] : fronts[c]][::-1])
+    return sa
+
+
+def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The suffixes of the small non-negative numbers ``t`` in order; with ``depth``, in order of their first so many at least.
+
+    Each step of induced sorting takes a whole bucket's part at once, as arrays. Equal leftmost-smaller substrings get one name; the string
+    of names, whose alphabet is about as large as itself, is then sorted by pairing names of doubling length.
+    """
+    n = len(t)
+    if n < 2:
+        return np.arange(n)
+    differs = np.flatnonzero(t[1:] != t[:-1])
+    nxt = np.searchsorted(differs, np.arange(n))  # the next place where the sign changes
+    small = np.zeros(n, dtype=bool)
+    has = nxt < len(differs)
+    place = differs[nxt[has]]
+    small[has] = t[place] < t[place + 1]
+    ends = np.cumsum(np.bincount(t))
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if len(lms) > 1:
+        is_lms = np.zeros(n, dtype=bool)
+        is_lms[lms] = True
+        sa = _induce(t, small, ends, lms)
+        lms = sa[is_lms[sa]]
+        where = np.flatnonzero(is_lms)
+        follow = np.append(where[1:], n)
+        length = np.zeros(n, dtype=np.int64)
+        length[where] = follow - where + 1  # up to and with the next one's first sign
+        a, b = lms[:-1], lms[1:]
+        same = length[a] == length[b]
+        live = np.flatnonzero(same)
+        step = 0
+        while len(live):
+            x, y = a[live] + step, b[live] + step
+            inside = (x < n) & (y < n)
+            equal = np.where(inside, t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)], False)
+            same[live[~equal]] = False
+            step += 1
+            live = live[equal & (step < length[a[live]])]
+        name = np.zeros(n, dtype=np.int64)
+        name[lms] = np.append(0, np.cumsum(~same))
+        rank, reach = name[where], 1
+        while rank.max() + 1 < len(rank) and (depth is None or reach < depth):
+            ahead = np.full(len(rank), -1, dtype=np.int64)
+            ahead[: len(rank) - reach] = rank[reach:] if reach < len(rank) else ahead[:0]
+            pair = rank * (len(rank) + 1) + ahead + 1
+            order = np.argsort(pair, kind="stable")
+            new = np.append(0, np.cumsum(pair[order][1:] != pair[order][:-1]))
+            rank = np.empty_like(rank)
+            rank[order] = new
+            reach *= 2
+        lms = where[np.argsort(rank, kind="stable")]
+    return _induce(t, small, ends, lms)
+
+
+def repeats(parts: list[bytes], owner: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """(part, offset) of all strings of ``length`` bytes within a part that stand in an earlier place too. Places are ordered by owner, then start + offset; no two parts hold the same place."""
+    sizes = np.array([len(p) for p in parts])
+    t = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).astype(np.int16) + 1
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    t[begin + sizes] = 0
+    n = len(t)
+    sa = suffix_array(t, depth=length)
+    part = np.searchsorted(begin, np.arange(n), "right") - 1
+    whole = np.arange(n) + length <= (begin + sizes)[part]
+    before = np.full(n, -1, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    wide = np.zeros(n + length + 8, dtype=U)
+    for k in range(8):
+        wide[: n - k] |= (t[k:].astype(U) & U(255)) << U(8 * k)
+    # in text order: is the common prefix with the neighbour in the suffix array long enough? Both strings are whole, so no separator is in them.
+    pos = np.flatnonzero(whole & (before >= 0))
+    pos = pos[whole[before[pos]]]
+    for step in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
+        pos = pos[wide[pos + step] == wide[before[pos] + step]]
+    long = np.zeros(n, dtype=bool)
+    long[pos] = True
+    inside = whole[sa]
+    group = np.cumsum(~long[sa])
+    pos, group = sa[inside], group[inside]
+    order = np.lexsort((start[part[pos]] + pos - begin[part[pos]], owner[part[pos]], group))
+    pos, group = pos[order], group[order]
+    later = pos[1:][group[1:] == group[:-1]]
+    return np.stack([part[later], later - begin[part[later]]], 1)
+
+
+def _shards(length: int):
+    """Segments (anchor, id, start, bytes) sorted by anchor -> marks (id, start, stop)."""
+
+    def solve(anchor, ids, starts, parts) -> pa.RecordBatch:  # noqa: ANN001
+        found = repeats(parts, np.array(ids), np.array(starts), length)
+        part, off = found[:, 0], found[:, 1]
+        order = np.lexsort((off, part))
+        part, off = part[order], off[order]
+        cut = np.append(True, (part[1:] != part[:-1]) | (off[1:] > off[:-1] + length))[: len(part)]
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(part)) - 1 if len(first) else first
+        who = np.array(ids)[part[first]]
+        base = np.array(starts)[part[first]]
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(base + off[first], pa.int64()), pa.array(base + off[last] + length, pa.int64())], names=["id", "start", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+        for batch in slices(batches, 3):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > SHARD and row[0] != held[0][-1]:
+                    yield solve(*held)
+                    held, size = ([], [], [], []), 0
+                for to, v in zip(held, row, strict=True):
+                    to.append(v)
+                size += len(row[3])
+        if size:
+            yield solve(*held)
+
+    return run
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for batch in slices(batches, 1):
+        data, at = utf8(batch.column(1))
+        data = data.tobytes()
+        size, gone, runs, sha, kept = [], [], [], [], []
+        for i, spans in enumerate(batch.column(2).to_pylist()):
+            text = data[at[i] : at[i + 1]]
+            spans = merged([(s["start"], s["stop"]) for s in spans or []])
+            digest, lo = hashlib.sha256(), 0
+            for a, b in spans:
+                digest.update(text[lo:a])
+                lo = b
+            digest.update(text[lo:])
+            size.append(len(text))
+            gone.append(sum(b - a for a, b in spans))
+            runs.append(len(spans))
+            sha.append(digest.hexdigest())
+            kept.append([{"start": a, "stop": b} for a, b in spans])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
+
+    Texts are UTF-8 bytes, null as empty. A byte goes if a string of ``length`` bytes over it starts in an earlier place too: in a
+    document with a smaller doc_id, or earlier in the same one. All strings are judged on the input; overlaps count; no string spans two
+    documents. spans lists the maximal removed runs (start, stop in bytes), kept_sha256 is of the rest.
+    Repeated ids are documents in the order of their texts, so that repeated rows but the first lose all that is long enough; null ids come first.
+    An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "suffix")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        docs = docs.select("doc_id", F.col("doc_id").alias("id"), "text")
+    else:  # other numbers, in the same order
+        docs = scratch.put(docs.orderBy("doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("id"), "text"))
+    segments = docs.select("id", "text").mapInArrow(_scan(length, gram), "anchor long, body long, id long, start long, size int")
+    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "body", "id", "start")
+    settled = scratch.put(dealt.mapInArrow(_settle, "anchor long, id long, start long, size int, open boolean"))
+    texts = docs.select("doc_id", "id", "text")
+    wanted = settled.where("open").select("anchor", "id", "start", "size")
+    pieces = wanted.join(texts, "id").select("anchor", "id", "start", F.expr(f"substring(cast(text as binary), cast(start + 1 as int), size + {length - 1})").alias("part"))
+    shards = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    marks = shards.mapInArrow(_shards(length), "id long, start long, stop long")
+    marks = marks.union(settled.where("not open").select("id", "start", (F.col("start") + F.col("size") + (length - 1)).alias("stop")))
+    spans = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(spans, "id", "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")

@@ -61,8 +61,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in ``data``; words also end at ``breaks``."""
+def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, stops: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of the words in ``data``, then the hashes of their first so many bytes; words also end at ``breaks``."""
     n = len(data)
     letter = ~stops[data]
     edge = np.empty(n + 1, dtype=bool)
@@ -76,17 +76,23 @@ def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, stops: np.nd
     ends = np.flatnonzero(letter & edge[1:]) + 1
     total = np.zeros(n + 1, dtype=U)
     np.cumsum(table[data] * powers(_BASE, n), out=total[1:])
-    hashes = (total[ends] - total[starts]) * powers(_INVERSE, n)[starts]
-    return mix(hashes + (ends - starts).astype(U) * U(0xA24BAED4963EE407)), starts, ends
+    back = powers(_INVERSE, n)[starts]
+    out = [starts, ends]
+    for size in (0, *heads):
+        stop = np.minimum(ends, starts + size) if size else ends
+        out.append(mix((total[stop] - total[starts]) * back + (stop - starts + size * (stop < ends)).astype(U) * U(0xA24BAED4963EE407)))
+    return tuple(out)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words of all rows, and the number of words before each row.
 
+    With ``heads`` the hashes are rows of a matrix: of the words, then of their first so many bytes (of shorter words, the word's own).
+
     A word is a run of bytes outside ``stops`` (as default ``[^\\x20\\x09-\\x0D]+``) within a row. ``lower``: A-Z count as a-z.
     """
     table = LOWER if lower else TABLE
-    hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    hashes, starts, ends = [np.zeros((1 + len(heads), 0), U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lo, n = 0, len(data)
     while lo < n:
         hi = min(n, lo + BLOCK)
@@ -105,13 +111,14 @@ def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.n
                     if len(cut):
                         hi = first + int(cut[0]) + 1
         breaks = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi, "left")] - lo
-        h, s, e = _block(data[lo:hi], breaks, table, stops)
-        hashes.append(h)
+        s, e, *h = _block(data[lo:hi], breaks, table, stops, heads)
+        hashes.append(np.stack(h))
         starts.append(s + lo)
         ends.append(e + lo)
         lo = hi
     where = np.concatenate(starts)
-    return np.concatenate(hashes), where, np.concatenate(ends), np.searchsorted(where, at, "left")
+    found = np.concatenate(hashes, axis=1)
+    return found if heads else found[0], where, np.concatenate(ends), np.searchsorted(where, at, "left")
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

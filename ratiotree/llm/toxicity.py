@@ -1,7 +1,8 @@
 """Toxic passages as maximal-scoring segments.
 
 Each token's score is its log-odds between toxic and clean training documents under an informative Dirichlet prior (Monroe, Colaresi
-and Quinn, 2008), less a drift, so that the mean over clean text is negative. All maximal-scoring segments of a document come out of one
+and Quinn, 2008), less a drift, so that the mean over clean text is negative. Words and their first 4, 5 and 6 bytes have log-odds,
+as insults are inflected; the surest of a word's counts. All maximal-scoring segments of a document come out of one
 scan (Ruzzo and Tompa, 1999). A segment of score S in n tokens of clean text is expected K n exp(-lambda S) times
 (Karlin and Altschul, 1990); lambda solves its equation over the clean tokens, K is fitted to the best scores of clean documents.
 The significant segments of a document add up, and a logistic curve over that evidence gives the score.
@@ -21,19 +22,23 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textscan import SPACE, U, slices, utf8, word_spans
 
-#: Tokens are counted in so many hash buckets: this bounds the model.
-BUCKETS = 1 << 18
+#: Words and word beginnings are counted in so many hash buckets: this bounds the model.
+BUCKETS = 1 << 20
+HEADS = (4, 5, 6)
 #: At most so many labelled documents train it, those with the least hashes of doc_id.
 TRAINING_ROWS = 50_000
-PRIOR, DRIFT, SURE, LEVEL = 1000.0, 0.3, 3.0, 0.05
+#: Pseudo-counts in proportion to a bucket's share, and for each bucket; what each token loses; standard deviations and expected number that count.
+PRIOR, FLOOR, DRIFT, SURE, LEVEL = 1000.0, 0.5, 0.3, 3.0, 0.05
+#: Shorter documents count as so many tokens: the law holds for long ones.
+SHORT = 64
 
 STOPS = SPACE.copy()
 STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row."""
-    h, starts, ends, first = word_spans(*utf8(column), lower=True, stops=STOPS)
+    """Buckets (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row."""
+    h, starts, ends, first = word_spans(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
     return (h & U(BUCKETS - 1)).astype(np.int64), starts, ends, first
 
 
@@ -62,15 +67,29 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    score: np.ndarray  # of each bucket
+    score: np.ndarray  # of each bucket, 0 where it tells nothing
+    sure: np.ndarray  # in standard deviations
     rate: float  # lambda
     log_k: float
     bias: float = 0.0
     slope: float = 1.0
 
+    def of(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The score of each token: of the surest of its rows. What a document repeats tells nothing new, as in training."""
+        best, sure = self.score[buckets[0]].astype(float), self.sure[buckets[0]]
+        for row in buckets[1:]:
+            other = self.sure[row]
+            more = other > sure
+            best[more], sure = self.score[row[more]], np.maximum(sure, other)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        new = np.zeros(len(best), dtype=bool)
+        new[np.unique(row * BUCKETS + buckets[0], return_index=True)[1]] = True
+        best[~new] = 0.0
+        return best - DRIFT
+
     def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
         """The segments (start, end, score, log of the expected number) that clean text of this length would show fewer than LEVEL times."""
-        size = math.log(max(1, len(score)))
+        size = math.log(max(SHORT, len(score)))
         out = [(s, e, x, self.log_k + size - self.rate * x) for s, e, x in segments(score)]
         return [x for x in out if x[3] < math.log(LEVEL)]
 
@@ -83,36 +102,56 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many clean and toxic documents each bucket is; the number of documents' different buckets as bucket -1. One document's repeats prove nothing more."""
     clean, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in slices(batches, 0):
-        bucket, _, _, first = tokens(batch.column(0))
-        bad = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) > 0, np.diff(first))
-        toxic += np.bincount(bucket[bad], minlength=BUCKETS)
-        clean += np.bincount(bucket[~bad], minlength=BUCKETS)
+        buckets, _, _, first = tokens(batch.column(0))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        once = np.unique(row * BUCKETS + buckets)
+        bad = batch.column(1).to_numpy(zero_copy_only=False)[once // BUCKETS] > 0
+        toxic += np.bincount(once[bad] % BUCKETS, minlength=BUCKETS)
+        clean += np.bincount(once[~bad] % BUCKETS, minlength=BUCKETS)
+    names = ["bucket", "clean", "toxic"]
+    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([clean.sum()]), pa.array([toxic.sum()])], names=names)
     some = np.flatnonzero(clean + toxic)
     for lo in range(0, len(some), 1 << 16):
         part = some[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(clean[part]), pa.array(toxic[part])], names=["bucket", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(clean[part]), pa.array(toxic[part])], names=names)
 
 
-def log_odds(clean: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The difference of the log-odds of each token, and the same in standard deviations."""
-    both = clean + toxic
-    prior = PRIOR * both / max(1.0, both.sum()) + 1e-9
+def log_odds(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_toxic: float) -> tuple[np.ndarray, np.ndarray]:
+    """The difference of each token's log-odds, and the same in standard deviations."""
+    prior = PRIOR * (clean + toxic) / max(1.0, all_clean + all_toxic) + FLOOR
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / np.maximum(1e-9, a.sum() - a)) - np.log(b / np.maximum(1e-9, b.sum() - b))
+    delta = np.log(a / np.maximum(1e-9, all_toxic + PRIOR - a)) - np.log(b / np.maximum(1e-9, all_clean + PRIOR - b))
     return delta, delta / np.sqrt(1 / a + 1 / b)
 
 
-def calibrate(score: np.ndarray, clean: np.ndarray) -> float:
-    """lambda: the positive solution of sum(p exp(lambda s)) = 1 over the clean tokens' scores; with a floor of clean counts, so that it is finite."""
-    p = (clean + 0.5 * (score > 0)) / max(1.0, (clean + 0.5 * (score > 0)).sum())
-    some = p > 0
-    p, s = p[some], score[some]
-    if not (s > 0).any() or (p * s).sum() >= 0:
+BINS = np.arange(-2.0, 20.0, 0.05)
+
+
+def _spectrum(model: Model):
+    """How many clean tokens have which score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(len(BINS) + 1, np.int64)
+        for batch in slices(batches, 0):
+            buckets, _, _, first = tokens(batch.column(0))
+            fine = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 0, np.diff(first))
+            count += np.bincount(np.searchsorted(BINS, model.of(buckets, first)[fine]), minlength=len(count))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], names=["bin", "n"])
+
+    return run
+
+
+def calibrate(s: np.ndarray, n: np.ndarray) -> float:
+    """lambda: the positive solution of sum(p exp(lambda s)) = 1, for scores s seen n times; every positive score counts half a time more, so that it is finite."""
+    p = n + 0.5 * (s > 0)
+    p = p / p.sum()
+    if (p * s).sum() >= 0:
         return 1.0
-    lo, hi = 0.0, 1.0
     f = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum()) - 1
+    hi = 1.0
     while f(hi) < 0 and hi < 64:
         hi *= 2
     lo = hi / 2
@@ -138,12 +177,11 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def _bests(score: np.ndarray, rate: float, log_k: float):
+def _bests(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(score, rate, log_k)
         for batch in slices(batches, 0):
-            bucket, _, _, first = tokens(batch.column(0))
-            s = score[bucket]
+            buckets, _, _, first = tokens(batch.column(0))
+            s = model.of(buckets, first)
             best, n, evidence = [], [], []
             for i in range(batch.num_rows):
                 part = s[first[i] : first[i + 1]]
@@ -158,30 +196,34 @@ def _bests(score: np.ndarray, rate: float, log_k: float):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from ``labels(doc_id, toxic)`` and the documents' texts; labels that are null count for nothing, of several for one document the highest counts.
 
-    At most ``rows`` labelled documents are used, those with the least hashes of doc_id; their ids, token counts in BUCKETS buckets, and evidences are all
-    that the driver holds. Without toxic or without clean labels every score is 0.5.
+    At most ``rows`` labelled documents are used, those with the least hashes of doc_id; token counts in BUCKETS buckets and one line for each
+    of those documents are all that the driver holds. Without toxic or without clean labels every score is 0.5.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = scratch.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
-    counts = texts.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = counts.column("bucket").to_numpy()
-    clean[at], toxic[at] = counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()
-    if not clean.sum() or not toxic.sum():
-        return Model(np.zeros(BUCKETS), 1.0, 0.0, 0.0, 0.0)
-    delta, sure = log_odds(clean, toxic)
-    score = np.where(sure > SURE, delta, np.where(sure < -SURE, np.maximum(delta, -1.0), 0.0)) - DRIFT
-    rate = calibrate(score, clean)
-    seen = texts.mapInArrow(_bests(score, rate, 0.0), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
+    texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
+    counts = texts.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = counts.where("toxic >= 2 or bucket < 0").toArrow().to_pandas()
+    all_clean, all_toxic = (float(counts[c][counts.bucket < 0].sum()) for c in ("clean", "toxic"))
+    score, sure = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    if not all_clean or not all_toxic:
+        return Model(score, sure, 1.0, 0.0, 0.0, 0.0)
+    counts = counts[counts.bucket >= 0]
+    delta, z = log_odds(counts.clean.to_numpy(float), counts.toxic.to_numpy(float), all_clean, all_toxic)
+    certain = z > SURE
+    at = counts.bucket.to_numpy()[certain]
+    score[at], sure[at] = delta[certain], z[certain]
+    model = Model(score, sure, 1.0, 0.0)
+    seen = texts.mapInArrow(_spectrum(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    model.rate = calibrate(np.append(BINS, BINS[-1])[seen.bin.to_numpy()], seen.n.to_numpy(float))
+    seen = texts.mapInArrow(_bests(model), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
     fine = seen[(seen.toxic == 0) & (seen.n > 0)]
     # the best score of clean text follows a Gumbel law: exp(-K n exp(-rate S)); this K has the greatest likelihood
-    log_k = float(-np.log(np.mean(fine.n * np.exp(-rate * np.minimum(fine.best, 500 / rate))))) if len(fine) else 0.0
-    if log_k:
-        seen = texts.mapInArrow(_bests(score, rate, log_k), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
-    bias, slope = logistic(seen.evidence.to_numpy(), seen.toxic.to_numpy(float))
-    return Model(score, rate, log_k, bias, slope)
+    model.log_k = float(-np.log(np.mean(fine.n * np.exp(-model.rate * np.minimum(fine.best, 500 / model.rate))))) if len(fine) else 0.0
+    seen = texts.mapInArrow(_bests(model), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
+    model.bias, model.slope = logistic(seen.evidence.to_numpy(), seen.toxic.to_numpy(float))
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -198,9 +240,9 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, 1):
-            bucket, starts, ends, first = tokens(batch.column(1))
+            buckets, starts, ends, first = tokens(batch.column(1))
             _, rows = utf8(batch.column(1))
-            s = model.score[bucket]
+            s = model.of(buckets, first)
             evidence, found = np.zeros(batch.num_rows), []
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
