@@ -1,6 +1,69 @@
-"""A corpus from raw documents: the stages, each a function of (spark, docs, sf_dir)."""
+"""A corpus from raw documents: the stages, each a function of (spark, docs, sf_dir).
+
+Toxic documents go, then exact copies but the longest of each group, then near copies but the smallest doc_id of each class; what is
+left is sampled towards target weights and packed into sequences. All stages but the last return the columns of ``docs``.
+Each stage is written to the shared folder and read again, so a lost executor repeats no finished stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratiotree.llm import exact, minhash, mixing, packing, queries, toxicity
+from ratiotree.llm.scratch import Scratch
+
+
+def _only_kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps. If ids repeat or are null, rows get other numbers in the order of (doc_id, text), so that each row is judged by itself."""
+    row = "_pipeline_row"
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        named = docs.withColumn(row, F.col("doc_id").cast("long"))
+    else:
+        named = scratch.put(docs.orderBy("doc_id", "text").withColumn(row, F.monotonically_increasing_id()))
+    wanted = scratch.put(decide(named.select(F.col(row).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(row)))
+    return named.join(wanted, row, "left_semi").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = queries.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(toxicity.remainder() != 1))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only_kept(docs, exact.exact_duplicates, Scratch(spark, "pipeline"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only_kept(docs, minhash.near_duplicates, Scratch(spark, "pipeline"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs, carry=True).where("kept").select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+ORACLE_SQL = None  # training a classifier and near copies are beyond SQL; tests/llm/test_pipeline.py has a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed corpus of the table ``documents``."""
+    scratch = Scratch(spark, "corpus")
+    docs = queries.documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+    return docs

@@ -123,7 +123,7 @@ with sentences as (
   select *, list_filter([{hits}], lambda x: x is not null) as hits from {last}
 )
 select doc_id, n_sentences, sentence_ids,
-       case when n_sentences = 0 then 'None' when len(hits) = 0 then 'Unknown' else array_to_string(list_reverse(list_distinct(list_reverse(hits))), ' AND ') end as license,
+       case when n_sentences = 0 then 'None' when len(hits) = 0 then 'Unknown' else array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i), ' AND ') end as license,
        cast(len(regexp_extract_all(rest{len(RULES)}, '<')) as bigint) as unmatched
 from verdicts
 """

@@ -44,7 +44,8 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     attempt = 0
     while len(row):
         attempt += 1
-        donor = (mix(col.astype(U) * U(0x9E3779B97F4A7C15) + U(attempt) * _SEED) % U(bins)).astype(np.int64)
+        shift = U(attempt * int(_SEED) & 0xFFFFFFFFFFFFFFFF)
+        donor = (mix(col.astype(U) * U(0x9E3779B97F4A7C15) + shift) % U(bins)).astype(np.int64)
         hit = full[row, donor]
         out[row[hit], col[hit]] = out[row[hit], donor[hit]]
         row, col = row[~hit], col[~hit]

@@ -28,7 +28,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, to
     lifts rare values. weight is the raked weight of a cell over its tokens, probability the weight over the largest weight,
     so that expected tokens are in proportion to the raked weights; kept if a number in [0, 1) made from doc_id and ``seed`` alone is
     below it. Null sources and languages are one value ``(none)``; documents without words have weight and probability 1 and are decided
-    like others; repeated rows share their fate. An empty table gives an empty result. ``carry``: the columns of ``docs`` come along as well.
+    like others; repeated rows share their fate. An empty table gives an empty result. ``carry``: instead, row (a struct of all columns of ``docs``), weight, probability, kept.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     space = " \t\n\x0b\x0c\r"
@@ -36,7 +36,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, to
     tokens = F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, "[\\x20\\x09-\\x0D]+"))).cast("long")
     named = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(f"_{c}") for c in ("source", "lang")]
     uniform = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    rows = docs.select(*(docs.columns if carry else ["doc_id"]), *named, F.expr(topic).alias("_topic"), tokens.alias("_tokens"), uniform.alias("_u"))
+    rows = docs.select(F.struct(*docs.columns).alias("row") if carry else "doc_id", *named, F.expr(topic).alias("_topic"), tokens.alias("_tokens"), uniform.alias("_u"))
     rows = rows if carry else scratch.put(rows)
     cells = scratch.put(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").cast("double").alias("t")).where("t > 0"))
     total = cells.agg(F.sum("t")).first()[0] or 0.0
@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, DataFrame] | None = None, to
     cells = cells.select("_source", "_lang", "_topic", F.round("f", 9).alias("weight"), F.round(F.col("f") / top, 9).alias("probability"))
     out = rows.join(cells, ["_source", "_lang", "_topic"], "left").fillna(1.0, ["weight", "probability"]).withColumn("kept", F.col("_u") < F.col("probability"))
     if carry:
-        return out
+        return out.select("row", "weight", "probability", "kept")
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "kept")
 
 

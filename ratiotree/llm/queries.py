@@ -65,10 +65,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_near_duplicates, op2_repeated_substrings, op3_exact_duplicates, op4_mix_sources, op5_order_minhash,
-        op6_shards, op7_chat_format, op8_pack_sequences, op9_toxicity, op10_licenses)}
+        op6_shards, op7_chat_format, op8_pack_sequences, op9_toxicity, op10_licenses, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

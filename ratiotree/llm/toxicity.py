@@ -1,8 +1,8 @@
 """Toxic passages as maximal-scoring segments.
 
 Each token's score is its log-odds between toxic and clean training documents under an informative Dirichlet prior (Monroe, Colaresi
-and Quinn, 2008), less a drift, so that the mean over clean text is negative. Words and their first 4, 5 and 6 bytes have log-odds,
-as insults are inflected; the surest of a word's counts. All maximal-scoring segments of a document come out of one
+and Quinn, 2008), less a drift, so that the mean over clean text is negative. Words and the first 4 to 8 bytes of longer words have
+log-odds, as insults are inflected; the surest of a word's counts. All maximal-scoring segments of a document come out of one
 scan (Ruzzo and Tompa, 1999). A segment of score S in n tokens of clean text is expected K n exp(-lambda S) times
 (Karlin and Altschul, 1990); lambda solves its equation over the clean tokens, K is fitted to the best scores of clean documents.
 The significant segments of a document add up, and a logistic curve over that evidence gives the score.
@@ -22,24 +22,31 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textscan import SPACE, U, slices, utf8, word_spans
 
-#: Words and word beginnings are counted in so many hash buckets: this bounds the model.
-BUCKETS = 1 << 20
-HEADS = (4, 5, 6)
-#: At most so many labelled documents train it, those with the least hashes of doc_id.
+HEADS = (4, 5, 6, 7, 8)
+#: At most so many labelled documents train it, those with the least hashes of doc_id: this bounds the model and what the driver holds.
 TRAINING_ROWS = 50_000
-#: Pseudo-counts in proportion to a bucket's share, and for each bucket; what each token loses; standard deviations and expected number that count.
-PRIOR, FLOOR, DRIFT, SURE, LEVEL = 1000.0, 0.5, 0.3, 3.0, 0.05
+#: Pseudo-counts in proportion to a token's share, and for each token; what each token loses besides the mean; standard deviations and expected number that count.
+PRIOR, FLOOR, DRIFT, SURE, LEVEL = 1000.0, 0.5, 0.02, 3.0, 0.05
 #: Shorter documents count as so many tokens: the law holds for long ones.
 SHORT = 64
+_SIEVE = 1 << 16
 
 STOPS = SPACE.copy()
 STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row."""
-    h, starts, ends, first = word_spans(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
-    return (h & U(BUCKETS - 1)).astype(np.int64), starts, ends, first
+    """Hashes (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row."""
+    return word_spans(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
+
+
+def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each document, in no order, and the document of each. One document's repeats prove nothing more."""
+    found, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for i in range(len(first) - 1):
+        found.append(np.unique(hashes[:, first[i] : first[i + 1]]))
+        rows.append(np.full(len(found[-1]), i))
+    return np.concatenate(found), np.concatenate(rows)
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -67,25 +74,39 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    score: np.ndarray  # of each bucket, 0 where it tells nothing
+    known: np.ndarray  # sorted hashes of the tokens that tell something
+    score: np.ndarray  # of each
     sure: np.ndarray  # in standard deviations
-    rate: float  # lambda
-    log_k: float
+    rate: float = 1.0  # lambda
+    log_k: float = 0.0
+    drift: float = DRIFT
     bias: float = 0.0
     slope: float = 1.0
 
-    def of(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known tokens stand, and which of the known each is."""
+        sieve = np.zeros(_SIEVE, dtype=bool)
+        sieve[self.known & U(_SIEVE - 1)] = True
+        at = np.flatnonzero(sieve[hashes & U(_SIEVE - 1)])
+        which = np.minimum(np.searchsorted(self.known, hashes[at]), max(0, len(self.known) - 1))
+        right = self.known[which] == hashes[at] if len(self.known) else np.zeros(0, dtype=bool)
+        return at[right], which[right]
+
+    def of(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The score of each token: of the surest of its rows. What a document repeats tells nothing new, as in training."""
-        best, sure = self.score[buckets[0]].astype(float), self.sure[buckets[0]]
-        for row in buckets[1:]:
-            other = self.sure[row]
-            more = other > sure
-            best[more], sure = self.score[row[more]], np.maximum(sure, other)
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        new = np.zeros(len(best), dtype=bool)
-        new[np.unique(row * BUCKETS + buckets[0], return_index=True)[1]] = True
-        best[~new] = 0.0
-        return best - DRIFT
+        n = hashes.shape[1]
+        best, sure = np.zeros(n), np.zeros(n)
+        for row in hashes:
+            at, which = self._find(row)
+            more = self.sure[which] > sure[at]
+            at, which = at[more], which[more]
+            best[at], sure[at] = self.score[which], self.sure[which]
+        at = np.flatnonzero(best)
+        row = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((at, hashes[0][at], row))
+        again = (row[order][1:] == row[order][:-1]) & (hashes[0][at][order][1:] == hashes[0][at][order][:-1])
+        best[at[order][1:][again]] = 0.0
+        return best - self.drift
 
     def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
         """The segments (start, end, score, log of the expected number) that clean text of this length would show fewer than LEVEL times."""
@@ -101,22 +122,29 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.slope * evidence)))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many clean and toxic documents each bucket is; the number of documents' different buckets as bucket -1. One document's repeats prove nothing more."""
-    clean, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, 0):
-        buckets, _, _, first = tokens(batch.column(0))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        once = np.unique(row * BUCKETS + buckets)
-        bad = batch.column(1).to_numpy(zero_copy_only=False)[once // BUCKETS] > 0
-        toxic += np.bincount(once[bad] % BUCKETS, minlength=BUCKETS)
-        clean += np.bincount(once[~bad] % BUCKETS, minlength=BUCKETS)
-    names = ["bucket", "clean", "toxic"]
-    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([clean.sum()]), pa.array([toxic.sum()])], names=names)
-    some = np.flatnonzero(clean + toxic)
-    for lo in range(0, len(some), 1 << 16):
-        part = some[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(clean[part]), pa.array(toxic[part])], names=names)
+def _count(only: np.ndarray | None):
+    """(hash, n): in how many documents each token is, of those in ``only`` (sorted) if given; the number of all documents' different tokens as hash 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found, _ = distinct(*(x for i, x in enumerate(tokens(batch.column(0))) if i in (0, 3)))
+            total = len(found)
+            if only is not None:
+                at = np.minimum(np.searchsorted(only, found), max(0, len(only) - 1))
+                found = found[only[at] == found] if len(only) else found[:0]
+            found, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found, U(0)).view(np.int64)), pa.array(np.append(n, total))], names=["hash", "n"])
+
+    return run
+
+
+def counted(texts: DataFrame, least: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted hashes of tokens in at least so many documents, in how many, and the number of all documents' different tokens."""
+    rows = texts.mapInArrow(_count(only), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(f"n >= {least} or hash = 0").toArrow()
+    h, n = rows["hash"].to_numpy().view(U), rows["n"].to_numpy().astype(float)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    return h[h > 0], n[h > 0], float(n[h == 0].sum())
 
 
 def log_odds(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_toxic: float) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +164,18 @@ def _spectrum(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(BINS) + 1, np.int64)
         for batch in slices(batches, 0):
-            buckets, _, _, first = tokens(batch.column(0))
+            hashes, _, _, first = tokens(batch.column(0))
             fine = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 0, np.diff(first))
-            count += np.bincount(np.searchsorted(BINS, model.of(buckets, first)[fine]), minlength=len(count))
+            count += np.bincount(np.searchsorted(BINS, model.of(hashes, first)[fine]), minlength=len(count))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], names=["bin", "n"])
 
     return run
 
 
-def calibrate(s: np.ndarray, n: np.ndarray) -> float:
-    """lambda: the positive solution of sum(p exp(lambda s)) = 1, for scores s seen n times; every positive score counts half a time more, so that it is finite."""
-    p = n + 0.5 * (s > 0)
-    p = p / p.sum()
+def calibrate(s: np.ndarray, n: np.ndarray, known: np.ndarray) -> float:
+    """lambda: the positive solution of sum(p exp(lambda s)) = 1, for scores s seen n times; each of the ``known`` tokens' scores counts half a time more, so that it is finite."""
+    s, n = np.append(s, known), np.append(n, np.full(len(known), 0.5))
+    p = n / n.sum()
     if (p * s).sum() >= 0:
         return 1.0
     f = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum()) - 1
@@ -180,8 +208,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _bests(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            buckets, _, _, first = tokens(batch.column(0))
-            s = model.of(buckets, first)
+            hashes, _, _, first = tokens(batch.column(0))
+            s = model.of(hashes, first)
             best, n, evidence = [], [], []
             for i in range(batch.num_rows):
                 part = s[first[i] : first[i + 1]]
@@ -196,27 +224,27 @@ def _bests(model: Model):
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from ``labels(doc_id, toxic)`` and the documents' texts; labels that are null count for nothing, of several for one document the highest counts.
 
-    At most ``rows`` labelled documents are used, those with the least hashes of doc_id; token counts in BUCKETS buckets and one line for each
+    At most ``rows`` labelled documents are used, those with the least hashes of doc_id; their tokens' counts and one line for each
     of those documents are all that the driver holds. Without toxic or without clean labels every score is 0.5.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = scratch.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
-    counts = texts.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where("toxic >= 2 or bucket < 0").toArrow().to_pandas()
-    all_clean, all_toxic = (float(counts[c][counts.bucket < 0].sum()) for c in ("clean", "toxic"))
-    score, sure = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    hashes, toxic, all_toxic = counted(texts.where("toxic > 0"), 2)
+    seen, n, all_clean = counted(texts.where("toxic <= 0"), 1, hashes)
     if not all_clean or not all_toxic:
-        return Model(score, sure, 1.0, 0.0, 0.0, 0.0)
-    counts = counts[counts.bucket >= 0]
-    delta, z = log_odds(counts.clean.to_numpy(float), counts.toxic.to_numpy(float), all_clean, all_toxic)
+        return Model(hashes[:0], toxic[:0], toxic[:0], bias=0.0, slope=0.0)
+    clean = np.zeros(len(hashes))
+    clean[np.searchsorted(hashes, seen)] = n
+    delta, z = log_odds(clean, toxic, all_clean, all_toxic)
     certain = z > SURE
-    at = counts.bucket.to_numpy()[certain]
-    score[at], sure[at] = delta[certain], z[certain]
-    model = Model(score, sure, 1.0, 0.0)
+    model = Model(hashes[certain], delta[certain], z[certain], drift=0.0)
     seen = texts.mapInArrow(_spectrum(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    model.rate = calibrate(np.append(BINS, BINS[-1])[seen.bin.to_numpy()], seen.n.to_numpy(float))
+    values, n = np.append(BINS, BINS[-1])[seen.bin.to_numpy()], seen.n.to_numpy(float)
+    values[np.abs(values) < 1e-9] = 0.0
+    model.drift = DRIFT + float((values * n).sum() / max(1.0, n.sum()))  # so that clean text loses on the whole
+    model.rate = calibrate(values - model.drift, n, model.score - model.drift)
     seen = texts.mapInArrow(_bests(model), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
     fine = seen[(seen.toxic == 0) & (seen.n > 0)]
     # the best score of clean text follows a Gumbel law: exp(-K n exp(-rate S)); this K has the greatest likelihood
@@ -234,15 +262,15 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     give a row. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
+    sent = spark.sparkContext.broadcast(model)  # at most as many tokens as the bounded training sample proves
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("log_expected", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, 1):
-            buckets, starts, ends, first = tokens(batch.column(1))
+            hashes, starts, ends, first = tokens(batch.column(1))
             _, rows = utf8(batch.column(1))
-            s = model.of(buckets, first)
+            s = model.of(hashes, first)
             evidence, found = np.zeros(batch.num_rows), []
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
@@ -256,6 +284,22 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     return docs.mapInArrow(run, "doc_id long, score double, predicted int, n_tokens long, passages array<struct<start:long,end:long,score:double,log_expected:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` whose score is below ``threshold``, with all their columns. Null and empty texts stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in slices(batches, place):
+            hashes, _, _, first = tokens(batch.column(place))
+            s = model.of(hashes, first)
+            evidence = np.array([model.evidence(s[first[i] : first[i + 1]]) for i in range(batch.num_rows)])
+            yield batch.filter(pa.array(model.chance(evidence) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder():
     """crc32 of doc_id as text, modulo 3; a null doc_id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 3
