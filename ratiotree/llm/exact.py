@@ -17,8 +17,8 @@ BLOCK = 4096
 
 
 def _named(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
-    """``rows`` with an integer ``name``, the same for rows with the same ``key``, in the order of the keys."""
-    names = scratch.put(rows.select(*key).distinct().orderBy(*key).withColumn("name", F.monotonically_increasing_id()))
+    """``rows`` with an integer ``name``, the same for rows with the same ``key``; each partition of the different keys is sorted and numbered, so the driver sees none of them."""
+    names = scratch.put(rows.select(*key).distinct().sortWithinPartitions(*key).withColumn("name", F.monotonically_increasing_id()))
     return rows.join(names, key).drop(*key)
 
 
