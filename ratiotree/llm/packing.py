@@ -9,6 +9,8 @@ numbered within their length and look their place up. Nothing but counts leaves
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,54 +24,87 @@ from .scratch import Scratch
 from .textscan import slices, utf8
 
 CAPACITY = 2048
-CACHE_WORDS, CACHE_BYTES = 400_000, 48 << 20
-PART = 4 << 20
+CACHE_WORDS, CACHE_BYTES = 600_000, 64 << 20
+PART = 2 << 20
+
+
+#: Texts that NFC and lower-casing treat sign by sign, and the tokenizer's own pattern for what it encodes by itself (fixed value).
+PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
+_SIGNS = {k: "".join(c for c in map(chr, range(0x80, 0x180)) if unicodedata.category(c)[0] == k) for k in "LN"}
+PIECES = re.compile(f"[a-z{_SIGNS['L']}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9{_SIGNS['N']}]|[^\\s0-9a-z{_SIGNS['L']}{_SIGNS['N']}]+")
 
 
 class WordIds:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that drops white space: then a text's ids are those of its words in turn."""
+    """Token ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer that drops white space and whose tokens at a piece's end end in ``</w>``.
+
+    A text is cut into the pieces that the tokenizer encodes one by one. Only pieces not met before are encoded, many in one call; the
+    ``</w>`` tell their ids apart. Words of signs outside ``PLAIN``, or with a special token's beginning, are encoded whole.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.by_piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.by_piece.normalizer = normalizers.Sequence([])
+        self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of pieces, and of whole words, which begin with a space here."""
         if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
-        new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = ids = np.asarray(found.ids, dtype="<u4").tobytes()
-            self.held += len(word) + len(ids)
-
-    def part(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(self.known)
-            self._learn(missing)
+        pieces, whole = [x for x in new if x[0] != " "], [x for x in new if x[0] == " "]
+        for lo in range(0, len(pieces), 1000):
+            part = pieces[lo : lo + 1000]
+            ids = np.asarray(self.by_piece.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(at) == len(part) + 1:
+                data = ids.tobytes()
+                self.known.update((w, data[i:j]) for w, i, j in zip(part, at, at[1:], strict=False))
+            else:
+                whole += part
+        for word, ids in zip(whole, self.tokenizer.encode_batch_fast([x.strip(" ") for x in whole], add_special_tokens=False), strict=True):
+            self.known[word] = np.asarray(ids.ids, dtype="<u4").tobytes()
+        self.held += sum(map(len, new))
+
+    @staticmethod
+    def _cut(text: bytes) -> list[str]:
+        signs = text.decode("utf-8", "replace")
+        if PLAIN.fullmatch(signs) and "<|" not in signs:
+            return PIECES.findall(signs.lower())
+        out: list[str] = []
+        for word in text.split():
+            signs = word.decode("utf-8", "replace")
+            out += PIECES.findall(signs.lower()) if PLAIN.fullmatch(signs) and "<|" not in signs else [f" {signs}"]
+        return out
+
+    def all(self, texts: list[bytes]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self._learn(new)
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return [b"".join(map(self.known.__getitem__, x)) for x in cut]
         except KeyError:  # the store was emptied meanwhile
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            self._learn(set().union(*cut).difference(self.known))
+            return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
-    def __call__(self, text: bytes) -> bytes:
-        if len(text) <= PART:
-            return self.part(text)
+    def long(self, text: bytes) -> bytes:
+        """The ids of a text of any length, a part after the other."""
         out, lo = [], 0
         while lo < len(text):
             hi = min(len(text), lo + PART)
             while hi < len(text) and text[hi] not in b" \t\n\r\x0b\x0c":
                 hi += 1
-            out.append(self.part(text[lo:hi]))
+            out += self.all([text[lo:hi]])
             lo = hi
         return b"".join(out)
 
@@ -80,12 +115,14 @@ _IDS: dict[str, WordIds] = {}
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _IDS.get(path) or _IDS.setdefault(path, WordIds(path))
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, most=PART):
             data, at = utf8(batch.column(1))
             data = data.tobytes()
+            texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            found = [encode.long(t) for t in texts] if len(data) > PART else encode.all(texts)
             row, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):
-                ids = encode(data[at[i] : at[i + 1]]) + b"\0\0\0\0"
+                ids = found[i] + b"\0\0\0\0"
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
                     row.append(i)
