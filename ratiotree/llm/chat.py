@@ -58,28 +58,24 @@ def best_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     own = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     parents = own.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    start = own.join(parents, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps"), "score")
-    step = scratch.put(start)
-    first, jumps = step, []
+    up = F.when(F.col("there"), F.col("parent"))
+    first = scratch.put(own.join(parents, "parent", "left").select("id", up.alias("up"), up.isNotNull().cast("long").alias("steps"), "score", F.when(up.isNull(), F.col("id")).alias("root")))
+    size = first.count()
+    reached, live, jumps = first.where("up is null"), first.where("up is not null"), []
     while True:
-        live = step.where("up is not null")
         n, deepest = live.agg(F.count(F.lit(1)), F.max("steps")).first()
-        if not n or deepest > 2 * first.count():
+        if not n or deepest > 2 * size:  # none left, or cycles alone
             break
         jumps.append(live.select("id", "up"))
-        over = step.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"), "root2" if "root2" in step.columns else F.col("root").alias("root2") if "root" in step.columns else F.when(F.col("up").isNull(), F.col("id")).alias("root2"))
-        root = F.col("root") if "root" in step.columns else F.when(F.col("up").isNull(), F.col("id"))
-        step = scratch.put(step.join(over, "up", "left").select(
-            "id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), F.coalesce(root, F.col("root2")).alias("root")))
-    if "root" not in step.columns:
-        step = step.withColumn("root", F.when(F.col("up").isNull(), F.col("id")))
-    reached = step.where("up is null and root is not null")
+        over = reached.union(live).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"), F.col("root").alias("root2"))
+        new = live.join(over, "up").select("id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score"), F.col("root2").alias("root"))
+        new = scratch.put(new)  # messages that have reached their root take no part in later joins
+        reached, live = reached.union(new.where("up is null")), new.where("up is not null")
     leaves = reached.join(own.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     on = leaves.groupBy("root").agg(F.min(F.struct((-F.col("score")).alias("worse"), "id")).alias("best")).select(F.col("best.id").alias("id"), "root")
     for jump in reversed(jumps):
         on = scratch.put(on.union(on.join(jump, "id").select(F.col("up").alias("id"), "root")))
-    return on.join(step.select("id", F.col("steps").alias("depth")), "id")
+    return on.join(reached.select("id", F.col("steps").alias("depth")), "id")
 
 
 def format_trees(messages: DataFrame) -> DataFrame:
