@@ -1,0 +1 @@
+"""Ratio models, their data preparation and reports, on Spark DataFrames."""
