@@ -23,8 +23,8 @@ def _only_kept(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], scratc
         named = docs.withColumn(row, F.col("doc_id").cast("long"))
     else:
         named = scratch.put(docs.orderBy("doc_id", "text").withColumn(row, F.monotonically_increasing_id()))
-    wanted = scratch.put(decide(named.select(F.col(row).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(row)))
-    return named.join(wanted, row, "left_semi").select(*docs.columns)
+    gone = scratch.put(decide(named.select(F.col(row).alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias(row)))
+    return named.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
