@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,16 @@ def _anchors(data: np.ndarray, ok: np.ndarray, length: int, gram: int) -> tuple[
     return first, size, g[at[first]], body
 
 
+def _later(anchor: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a segment's equal stands earlier among these."""
+    order = np.lexsort((start, ids, body, anchor))
+    out = np.zeros(len(order), dtype=bool)
+    out[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (body[order][1:] == body[order][:-1])
+    return out
+
+
 def _scan(length: int, gram: int):
-    """(anchor, body, id, start, size): all segments of all texts."""
+    """(anchor, body, id, start, size, done): all segments of all texts. Those done have an equal earlier one in the same block, so no other task need see them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, rows=4096, most=BLOCK // 2):
@@ -73,15 +82,21 @@ def _scan(length: int, gram: int):
                     ok[max(0, e - length + 1 - lo) : max(0, e - lo)] = False
                 first, size, anchor, body = _anchors(data[lo:hi], ok, length, gram)
                 row = np.searchsorted(at, first + lo, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64)), ids.take(pa.array(row)), pa.array(first + lo - at[row]), pa.array(size.astype(np.int32))], names=["anchor", "body", "id", "start", "size"])
+                who, start = ids.take(pa.array(row)), first + lo - at[row]
+                done = _later(anchor, body, who.to_numpy(zero_copy_only=False), start)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(body.view(np.int64)), who, pa.array(start), pa.array(size.astype(np.int32)), pa.array(done)], names=["anchor", "body", "id", "start", "size", "done"])
 
     return run
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, body, id, start -> those equal to an earlier one (open false), and the first of each body where an anchor has several (open true)."""
+    """Rows sorted by done, anchor, body, id, start -> those equal to an earlier one (open false), and the first of each body where an anchor has several (open true)."""
     held: list | None = None  # the last first-of-a-body: its row, and whether it is open already
     for batch in batches:
+        over = batch.filter(batch.column(5))
+        if over.num_rows:
+            yield pa.RecordBatch.from_arrays([*(over.column(i) for i in (0, 2, 3, 4)), pa.array(np.zeros(over.num_rows, dtype=bool))], names=["anchor", "id", "start", "size", "open"])
+        batch = batch.filter(pc.invert(batch.column(5)))
         if not batch.num_rows:
             continue
         c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
@@ -341,8 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         docs = docs.select("doc_id", F.col("doc_id").alias("id"), "text")
     else:  # other numbers, in the same order
         docs = scratch.put(docs.orderBy("doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("id"), "text"))
-    segments = docs.select("id", "text").mapInArrow(_scan(length, gram), "anchor long, body long, id long, start long, size int")
-    dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "body", "id", "start")
+    segments = docs.select("id", "text").mapInArrow(_scan(length, gram), "anchor long, body long, id long, start long, size int, done boolean")
+    # what is done already goes anywhere, so that a very common passage sends one segment of each block, not each of its copies, to its anchor's task
+    dealt = segments.repartition(F.when(F.col("done"), F.xxhash64("id", "start")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor", "body", "id", "start")
     settled = scratch.put(dealt.mapInArrow(_settle, "anchor long, id long, start long, size int, open boolean"))
     texts = docs.select("doc_id", "id", "text")
     wanted = settled.where("open").select("anchor", "id", "start", "size")

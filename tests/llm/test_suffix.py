@@ -58,7 +58,7 @@ def test_small_blocks_and_shards(spark, monkeypatch):
     import pyarrow as pa
 
     scan = suffix._scan(100, 32)
-    out = pa.Table.from_batches(scan(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])]))).sort_by([("anchor", "ascending"), ("body", "ascending"), ("id", "ascending"), ("start", "ascending")])
+    out = pa.Table.from_batches(scan(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])]))).sort_by([("done", "ascending"), ("anchor", "ascending"), ("body", "ascending"), ("id", "ascending"), ("start", "ascending")])
     assert sum(out["size"].to_pylist()) == len(text) - 99
     settled = pa.Table.from_batches(suffix._settle(iter(out.to_batches(max_chunksize=7)))).to_pylist()
     marks = [(x["start"], x["start"] + x["size"] + 99) for x in settled if not x["open"]]
