@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,5 +185,6 @@ def encode(rows: DataFrame, numeric: list[str], categorical: list[str], points:
                 codes[code(c)] = reduce(lambda e, iv: e.when(F.col(c) == iv[1], iv[0]), list(enumerate(values))[1:], F.when(F.col(c) == values[0], 0))
             else:
                 codes[code(c)] = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)]), F.col(c))
-    table = spark.createDataFrame(levels, "feature string, code int, number double, text string")
+    kinds = pa.schema([("feature", pa.string()), ("code", pa.int32()), ("number", pa.float64()), ("text", pa.string())])
+    table = spark.createDataFrame(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*levels, strict=True), kinds, strict=True)], schema=kinds))
     return Prepared(rows.withColumns({k: v.cast("int") for k, v in codes.items()}), table, numeric, categorical)

@@ -139,20 +139,18 @@ def _grow(data: Prepared, settings: ModelSettings, rows: DataFrame, rng: np.rand
     pools = Counter(r["feature"] for r in levels)
     texts = {(r["feature"], r["code"]): r["text"] for r in levels}
     bounds = {(r["feature"], r["code"]): r["number"] for r in levels}
-    top = rows.agg(F.sum("numerator"), F.sum("denominator"), F.sum("weight"), F.count(F.lit(1))).first()
-    root = Node(1, 0, *(float(x or 0.0) for x in top[:3]), int(top[3]))
+    chosen = _sampled(data.features, settings.sample_features, rng)
+    found = _by_node(level_sums(rows, chosen, F.lit(1), sums_of(settings.criterion)).toArrow(), chosen)
+    # every feature's levels add up to the node's rows, so the first pass also gives the root
+    whole = {s: float(v.sum()) for s, v in next(iter(found[1].values()))[1].items()} if found else dict.fromkeys("ndwc", 0.0)
+    root = Node(1, 0, whole["n"], whole["d"], whole["w"], int(round(whole["c"])))
     tree = Tree({1: root}, data.features)
     least = root.weight * -settings.min_weight if settings.min_weight < 0 else settings.min_weight
-    chosen = _sampled(data.features, settings.sample_features, rng)
-    open_nodes = [1] if root.weight >= 2 * least else []
-    while open_nodes and tree.nodes[open_nodes[0]].depth < settings.max_depth:
-        place = walk(tree, lambda n, still=frozenset(open_nodes): n.id if n.id in still else None, by_code=True)
-        if not settings.random_only_at_root:
-            chosen = _sampled(data.features, settings.sample_features, rng)
-        found = level_sums(rows, chosen, place, sums_of(settings.criterion)).toArrow()
+    open_nodes = [1] if found and root.weight >= 2 * least and settings.max_depth > 0 else []
+    while open_nodes:
         following = []
-        for i, sums in _by_node(found, chosen).items():
-            node = tree.nodes[i]
+        for i in open_nodes:
+            sums, node = found.get(i, {}), tree.nodes[i]
             use_top = settings.random_top if i == 1 or not settings.random_only_at_root else 0.0
             split = best_split(sums, set(data.numeric), pools, settings.criterion, least, settings.sort_categories_above, use_top, rng)
             if split is None:
@@ -167,9 +165,14 @@ def _grow(data: Prepared, settings: ModelSettings, rows: DataFrame, rng: np.rand
             is_left = codes <= node.codes[0] if split.numeric else np.isin(codes, node.codes)
             for child, side in ((2 * i, is_left), (2 * i + 1, ~is_left)):
                 tree.nodes[child] = Node(child, node.depth + 1, *(float(parts[s][side].sum()) for s in ("n", "d", "w")), int(round(parts["c"][side].sum())))
-                if tree.nodes[child].weight >= 2 * least:
+                if tree.nodes[child].weight >= 2 * least and tree.nodes[child].depth < settings.max_depth:
                     following.append(child)
         open_nodes = sorted(following)
+        if open_nodes:
+            if not settings.random_only_at_root:
+                chosen = _sampled(data.features, settings.sample_features, rng)
+            place = walk(tree, lambda n, still=frozenset(open_nodes): n.id if n.id in still else None, by_code=True)
+            found = _by_node(level_sums(rows, chosen, place, sums_of(settings.criterion)).toArrow(), chosen)
     for number, leaf in enumerate(sorted((n for n in tree.nodes.values() if n.feature is None), key=lambda n: (n.ratio, n.id)), 1):
         leaf.leaf = number
     return tree
