@@ -27,6 +27,8 @@ HEADS = (4, 5, 6, 7, 8)
 TRAINING_ROWS = 50_000
 #: Pseudo-counts in proportion to a token's share, and for each token; what each token loses besides the mean; standard deviations and expected number that count.
 PRIOR, FLOOR, DRIFT, SURE, LEVEL = 1000.0, 0.5, 0.02, 3.0, 0.05
+#: Less log-odds than this prove no insult: topics and languages of toxic documents have as much.
+LEAST = 2.5
 #: Shorter documents count as so many tokens: the law holds for long ones.
 SHORT = 64
 _SIEVE = 1 << 16
@@ -238,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     clean = np.zeros(len(hashes))
     clean[np.searchsorted(hashes, seen)] = n
     delta, z = log_odds(clean, toxic, all_clean, all_toxic)
-    certain = z > SURE
+    certain = (z > SURE) & (delta > LEAST)
     model = Model(hashes[certain], delta[certain], z[certain], drift=0.0)
     seen = texts.mapInArrow(_spectrum(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     values, n = np.append(BINS, BINS[-1])[seen.bin.to_numpy()], seen.n.to_numpy(float)
