@@ -1,7 +1,10 @@
 """Licences by known sentences (German, Manabe and Inoue, 2010).
 
-A text is cut into sentences, each sentence normalised and looked up among the known licence sentences; rules are sequences of
+A text is normalised and searched for the known licence sentences, from one sentence's end to another's; rules are sequences of
 their identifiers, tried in order. Each row is judged by itself with built-in functions: no shuffle, no join.
+
+``sql`` knows ``SENTENCES`` alone, and those only where no line or other ``END`` cuts them; the operator finds these and, besides, sentences
+over several lines and ``NOTICES``.
 """
 
 from __future__ import annotations
@@ -44,6 +47,22 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
+#: The further wording of standard notices, which ``sql`` does not have.
+NOTICES = {
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheWarranty",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "this program is free software you can redistribute it and or modify it under the terms of version # of the gnu general public license as published by the free software foundation": "GplOnly",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version": "LgplRef",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # # of the license or at your option any later version": "LgplRef",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version": "LgplRef",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version # of the license or at your option any later version": "LgplRef",
+    "this work is licensed under the creative commons attribution noncommercial # # international license": "CcByNc",
+    "this work is licensed under the creative commons attribution sharealike # # international license": "CcBySa",
+    "this work is licensed under the creative commons attribution # # international license": "CcBy",
+}
+
 #: (licence, pattern over identifiers, each with its numbers: ``<ApacheLic 2.0>``), in order; the first that matches takes its identifiers away.
 RULES = [
     ("Apache-2.0", r"<ApacheLic 2[.]0>(<ApacheComply >)?(<ApacheCopy >)?(<ApacheWarranty >)?"),
@@ -65,10 +84,36 @@ RULES = [
 
 #: Every known sentence has one of these.
 HINTS = ("licen", "permi", "redistribut", "software", "rights reserved")
-#: Where sentences end.
+#: Where sentences end, in ``sql``.
 END = r"[\n;:]+|[.!?]+[ \t\r\f]"
 NUMBER = " ([0-9]+) "
 
+#: Of a lower-case text with a line's end before and after it and without ``|`` and ``~``: patterns and what they become, in turn, so that only a-z, 0-9 and
+#: single marks are left. ``|`` ends a sentence, ``~`` may (a line's end, ``;``, ``:``), and a space does not. Each takes time in proportion to the text.
+MARKS = [
+    ("\n[^a-z0-9\n]+", "\n"),  # indents and comment marks, and lines without words
+    ("\n(?:[0-9]{1,2}|[a-z])[)][ \t]", "\n"),  # marks of lists
+    ("https?://www[.]apache[.]org/licenses/license-[0-9]+(?:[.][0-9]+)*", "|"),  # stands between two sentences of a notice without a point
+    ("\n\n+|[.!?][ \t\r\f\n]", "|"),
+    ("[\n;:]", "~"),
+    ("[^a-z0-9~|]+", " "),
+    (" ?~[ ~]*", "~"),
+    ("[ ~]?[|][ ~|]*", "|"),
+]
+#: The holder's name in the BSD clause is any.
+HOLDER = "neither the name of the copyright holder nor the names"
+ANY_HOLDER = "^neither the name of .* nor the names"
+
+
+def _search() -> str:
+    """A pattern of all known sentences, the longest first, each with the mark before it; the ``v.`` of a version ends no sentence."""
+
+    def one(sentence: str) -> str:
+        out = sentence.replace(HOLDER, "neither the name of ANY nor the names").replace(" ", "[ ~]").replace("[ ~]v[ ~]", "[ ~]v[ ~|]")
+        return out.replace("#", "[0-9]+").replace("ANY[ ~]", "(?:[a-z0-9]+[ ~|]){1,20}?")
+
+    return "[~|](?:" + "|".join(map(one, sorted(SENTENCES | NOTICES, key=lambda x: (-len(x), x)))) + ")(?=[~|])"
+
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_sentences, sentence_ids, license, unmatched.
@@ -78,18 +123,21 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rule order, joined by `` AND ``; unmatched counts the sentences no rule used. Null and empty
     texts, and an empty table, have no sentences. Repeated rows each give a row.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = F.lower(text)
     hinted = functools.reduce(operator.or_, (low.contains(h) for h in HINTS))
 
     def named(sentence: Column) -> Column:
-        words = F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), " ", "  ")
-        spaced = F.concat(F.lit(" "), words, F.lit(" "))
+        words = F.regexp_replace(F.trim(F.translate(sentence, "~|", "  ")), ANY_HOLDER, HOLDER)
+        spaced = F.concat(F.lit(" "), F.regexp_replace(words, " ", "  "), F.lit(" "))
         key = F.trim(F.regexp_replace(F.regexp_replace(spaced, NUMBER, " # "), "  ", " "))
         return F.concat(F.lit("<"), F.element_at(known, key), F.lit(" "), F.array_join(F.regexp_extract_all(spaced, F.lit(NUMBER), F.lit(1)), "."), F.lit(">"))
 
-    sentences = F.when(hinted, F.split(text, END)).otherwise(F.array().cast("array<string>"))
+    marked = F.concat(F.lit("\n"), F.translate(low, "~|", "  "), F.lit("\n"))
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    sentences = F.when(hinted, F.regexp_extract_all(marked, F.lit(_search()), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences.alias("s"))
     found = found.withColumn("ids", F.filter(F.transform("s", named), lambda x: x.isNotNull()))
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sentence_ids")).withColumn("rest", F.col("sentence_ids"))

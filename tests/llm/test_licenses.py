@@ -1,5 +1,8 @@
+import textwrap
+
 import duckdb
 import pandas as pd
+import pytest
 
 from ratiotree.llm import licenses
 
@@ -32,3 +35,69 @@ def test_equals_sql(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+FREE = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+BSD = [
+    "Copyright (c) 2015, Some Institute Inc. All rights reserved.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+ENDORSE = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: (paragraphs of a standard notice, licence, identifiers)
+STANDARD = [
+    (["Copyright 2015 A. Body", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'], "Apache-2.0", "<ApacheLic 2.0><ApacheComply ><ApacheCopy ><ApacheWarranty >"),
+    (["Licensed under the Apache License, Version 1.1."], "Apache", "<ApacheLic 1.1>"),
+    (["Copyright (c) 2015 A. Body", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.'], "MIT", "<MitGrant ><MitNotice ><AsIs >"),
+    (["This project is licensed under the MIT License."], "MIT", "<MitRef >"),
+    ([FREE.format("program", ":", "", ",", 3), WARRANTY], "GPL-3.0-or-later", "<GplLater 3><GplWarranty >"),
+    ([FREE.format("program", ";", "", ";", 2), WARRANTY], "GPL-2.0-or-later", "<GplLater 2><GplWarranty >"),
+    (["This program is free software; you can redistribute it and/or modify it under the terms of version 3 of the GNU General Public License as published by the Free Software Foundation.", WARRANTY], "GPL-3.0", "<GplOnly 3><GplWarranty >"),
+    (["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", WARRANTY], "GPL-2.0", "<GplOnly 2><GplWarranty >"),
+    (["This work is licensed under the GNU General Public License, version 3."], "GPL-3.0", "<GplRef 3>"),
+    ([FREE.format("library", ";", "Lesser ", ";", "2.1")], "LGPL", "<LgplRef 2.1>"),
+    ([FREE.format("program", ":", "Lesser ", ",", "3")], "LGPL", "<LgplRef 3>"),
+    ([FREE.format("library", ";", "Library ", ";", "2")], "LGPL", "<LgplRef 2>"),
+    ([*BSD, ENDORSE.format("the copyright holder")], "BSD-3-Clause", "<AllRights ><BsdGrant ><BsdSource ><BsdBinary ><BsdEndorse >"),
+    ([*BSD, ENDORSE.format("Some Institute Inc.")], "BSD-3-Clause", "<AllRights ><BsdGrant ><BsdSource ><BsdBinary ><BsdEndorse >"),
+    ([x.replace(". R", ") R") for x in BSD], "BSD-2-Clause", None),
+    (BSD, "BSD-2-Clause", "<AllRights ><BsdGrant ><BsdSource ><BsdBinary >"),
+    (["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."], "CC-BY-NC", "<CcByNc 4.0>"),
+    (["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."], "CC-BY-SA", "<CcBySa 4.0>"),
+    (["This work is licensed under the Creative Commons Attribution 4.0 International License."], "CC-BY", "<CcBy 4.0>"),
+    (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."], "MPL", "<MplRef 2.0>"),
+]
+
+
+@pytest.mark.parametrize("form", ["one line", "a line each", "plain", "# ", " * ", "// ", "! ", "\r"])
+def test_standard_notices(spark, form):
+    def laid(paragraphs):
+        if form == "one line":
+            return "Some words. " + " ".join(p + "." * p.endswith("Body") for p in paragraphs) + " More words follow."
+        if form == "a line each":
+            return "\n".join(paragraphs)
+        mark = "" if form in ("plain", "\r") else form
+        end = "\r\n" if form == "\r" else "\n"
+        lines = [f"{mark}{line}" for p in paragraphs for line in [*textwrap.wrap(p, 64), ""]]
+        return end.join(["int x;", *lines, "int y;"])
+
+    # on one line only a number and a point mark lists
+    rows = [(i, laid(p)) for i, (p, _, ids) in enumerate(STANDARD) if ids or form != "one line"]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, STANDARD[i][1]) for i, _ in rows]
+    assert all(r.sentence_ids == STANDARD[r.doc_id][2] for r in got if STANDARD[r.doc_id][2])
+
+
+def test_each_rule_has_a_standard_notice():
+    import re
+
+    ids = "".join(x or "" for _, _, x in STANDARD)
+    assert all(re.search(pattern, ids) for _, pattern in licenses.RULES)
+
+
+def test_paragraphs_and_sentences_do_not_join(spark):
+    rows = [(1, "Released under\n\nthe MIT License"), (2, "Released. Under the MIT License"), (3, "Released under\nthe MIT License"), (4, "~|Released under the~MIT|License|~"), (5, "Not released under\nthe MIT License")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "None"), (2, "None"), (3, "MIT"), (4, "MIT"), (5, "None")]
