@@ -9,9 +9,6 @@ over several lines and ``NOTICES``.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +79,6 @@ RULES = [
     ("MPL", r"<MplRef [0-9.]*>"),
 ]
 
-#: Every known sentence has one of these.
-HINTS = ("licen", "permi", "redistribut", "software", "rights reserved")
 #: Where sentences end, in ``sql``.
 END = r"[\n;:]+|[.!?]+[ \t\r\f]"
 NUMBER = " ([0-9]+) "
@@ -125,8 +120,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    low = F.lower(text)
-    hinted = functools.reduce(operator.or_, (low.contains(h) for h in HINTS))
 
     def named(sentence: Column) -> Column:
         words = F.regexp_replace(F.trim(F.translate(sentence, "~|", "  ")), ANY_HOLDER, HOLDER)
@@ -134,10 +127,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         key = F.trim(F.regexp_replace(F.regexp_replace(spaced, NUMBER, " # "), "  ", " "))
         return F.concat(F.lit("<"), F.element_at(known, key), F.lit(" "), F.array_join(F.regexp_extract_all(spaced, F.lit(NUMBER), F.lit(1)), "."), F.lit(">"))
 
-    marked = F.concat(F.lit("\n"), F.translate(low, "~|", "  "), F.lit("\n"))
+    marked = F.concat(F.lit("\n"), F.translate(F.lower(text), "~|", "  "), F.lit("\n"))
     for pattern, mark in MARKS:
         marked = F.regexp_replace(marked, pattern, mark)
-    sentences = F.when(hinted, F.regexp_extract_all(marked, F.lit(_search()), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    sentences = F.regexp_extract_all(marked, F.lit(_search()), F.lit(0))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences.alias("s"))
     found = found.withColumn("ids", F.filter(F.transform("s", named), lambda x: x.isNotNull()))
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "").alias("sentence_ids")).withColumn("rest", F.col("sentence_ids"))

@@ -101,3 +101,14 @@ def test_paragraphs_and_sentences_do_not_join(spark):
     rows = [(1, "Released under\n\nthe MIT License"), (2, "Released. Under the MIT License"), (3, "Released under\nthe MIT License"), (4, "~|Released under the~MIT|License|~"), (5, "Not released under\nthe MIT License")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license) for r in got) == [(1, "None"), (2, "None"), (3, "MIT"), (4, "MIT"), (5, "None")]
+
+
+def test_each_sentence_alone_equals_sql(spark):
+    keys = [k.replace("#", "3") for k in licenses.SENTENCES]
+    texts = [x for k in keys for x in (k, k.upper().replace(" ", "\t"), k.replace(" ", "-"), f"Words! {k.replace(' ', '  ')} . Words", f"\n\t{k}\r\n")]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(licenses.sql()).fetchall()
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and all(x[1] == 1 for x in want)
