@@ -61,7 +61,7 @@ ORACLE_SQL = None  # training a classifier and near copies are beyond SQL; tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of the packed corpus of the table ``documents``."""
+    """The pieces of the packed corpus of the table ``documents``, with their token ids."""
     scratch = Scratch(spark, "corpus")
     docs = queries.documents(spark, sf_dir)
     for _, stage in STAGES:

@@ -3,7 +3,7 @@
 Lengths are small integers, so the whole packing is planned on the counts of each length, at most one per token of capacity,
 on the driver: documents above a third of the capacity are matched greedily, two to a sequence at most; the smaller go, longest
 first, where they leave the smallest gap. The plan says which numbers of each length go to which sequences; documents are
-numbered within their length and look their place up. Nothing but counts leaves the executors.
+numbered within their length and look their place up. Nothing but counts leaves the executors. Each piece goes with its token ids.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +119,7 @@ def _pieces(path: str, capacity: int):
             data = data.tobytes()
             texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             found = [encode.long(t) for t in texts] if len(data) > PART else encode.all(texts)
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, parts = [], [], [], [], []
             for i in range(batch.num_rows):
                 ids = found[i] + b"\0\0\0\0"
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
@@ -129,8 +128,8 @@ def _pieces(path: str, capacity: int):
                     piece.append(k)
                     start.append(lo // 4)
                     length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     return run
 
@@ -188,8 +187,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row for each piece: doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset.
 
+    ids are the piece's token ids, little-endian unsigned 32-bit, that stand in the sequence ``sequence_id`` from ``offset`` on; ids_crc32 is made from them.
     A row of ``docs(doc_id, text, ...)`` is its text's ids (null: none) by the tokenizer file ``tokenizer``, which must drop white
     space, and then id 0. Longer ones than ``capacity`` are cut; all pieces are packed. Repeated rows are packed one by one, a null doc_id like
     any other. An empty table gives an empty result.
@@ -197,11 +197,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids binary"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     runs = plan(counts, capacity)
     table = pa.table(dict(zip(("length", "first", "n", "sequence", "offset"), (pa.array(x, pa.int64()) for x in zip(*runs)), strict=False))) if runs else pa.table({c: pa.array([], pa.int64()) for c in ("length", "first", "n", "sequence", "offset")})
     places = scratch.put(spark.createDataFrame(table))
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked = numbered(pieces.withColumn("_crc", F.crc32("ids")), ["length"], ["doc_id", "piece", "_crc"], "rank")
     at = ranked.join(places, "length").where("rank >= first and rank < first + n")
-    return at.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    return at.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")

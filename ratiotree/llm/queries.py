@@ -54,7 +54,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+    return packing.pack(documents(spark, sf_dir), tokenizer_path()).drop("ids")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,17 @@ def test_pieces(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_sequences_hold_the_ids(spark):
+    texts = {1: "A few words.", 2: "the long one " * 3000, 3: None, 4: "Some more, for one place after another"}
+    got = pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer_path()).toPandas()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    sequences, documents = {}, {}
+    for x in got.sort_values("offset").itertuples():
+        ids = np.frombuffer(x.ids, "<u4").tolist()
+        assert len(ids) == x.length and zlib.crc32(x.ids) == x.ids_crc32 and x.offset == len(sequences.setdefault(x.sequence_id, []))
+        sequences[x.sequence_id] += ids
+        documents.setdefault(x.doc_id, []).append((x.piece, ids))
+    assert {i: [k for _, ids in sorted(v) for k in ids] for i, v in documents.items()} == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+    assert all(len(x) <= 2048 for x in sequences.values())
