@@ -94,8 +94,8 @@ class Model:
         right = self.known[which] == hashes[at] if len(self.known) else np.zeros(0, dtype=bool)
         return at[right], which[right]
 
-    def of(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The score of each token: of the surest of its rows. What a document repeats tells nothing new, as in training."""
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The score of each token: of the surest of its rows. Each occurrence counts, as a passage may repeat what stood before; the law is calibrated on the same scores."""
         n = hashes.shape[1]
         best, sure = np.zeros(n), np.zeros(n)
         for row in hashes:
@@ -103,11 +103,6 @@ class Model:
             more = self.sure[which] > sure[at]
             at, which = at[more], which[more]
             best[at], sure[at] = self.score[which], self.sure[which]
-        at = np.flatnonzero(best)
-        row = np.searchsorted(first, at, "right") - 1
-        order = np.lexsort((at, hashes[0][at], row))
-        again = (row[order][1:] == row[order][:-1]) & (hashes[0][at][order][1:] == hashes[0][at][order][:-1])
-        best[at[order][1:][again]] = 0.0
         return best - self.drift
 
     def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
@@ -168,7 +163,7 @@ def _spectrum(model: Model):
         for batch in slices(batches, 0):
             hashes, _, _, first = tokens(batch.column(0))
             fine = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 0, np.diff(first))
-            count += np.bincount(np.searchsorted(BINS, model.of(hashes, first)[fine]), minlength=len(count))
+            count += np.bincount(np.searchsorted(BINS, model.of(hashes)[fine]), minlength=len(count))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], names=["bin", "n"])
 
     return run
@@ -211,7 +206,7 @@ def _bests(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             hashes, _, _, first = tokens(batch.column(0))
-            s = model.of(hashes, first)
+            s = model.of(hashes)
             best, n, evidence = [], [], []
             for i in range(batch.num_rows):
                 part = s[first[i] : first[i + 1]]
@@ -272,7 +267,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
         for batch in slices(batches, 1):
             hashes, starts, ends, first = tokens(batch.column(1))
             _, rows = utf8(batch.column(1))
-            s = model.of(hashes, first)
+            s = model.of(hashes)
             evidence, found = np.zeros(batch.num_rows), []
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
@@ -295,7 +290,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         model = sent.value
         for batch in slices(batches, place):
             hashes, _, _, first = tokens(batch.column(place))
-            s = model.of(hashes, first)
+            s = model.of(hashes)
             evidence = np.array([model.evidence(s[first[i] : first[i + 1]]) for i in range(batch.num_rows)])
             yield batch.filter(pa.array(model.chance(evidence) < threshold))
 

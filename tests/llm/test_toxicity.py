@@ -85,3 +85,16 @@ def test_repeats_count_once():
     hashes, _, _, first = toxicity.tokens(column)
     found, rows = toxicity.distinct(hashes, first)
     assert np.bincount(rows, minlength=4).tolist() == [2, 0, 0, 1] or np.bincount(rows, minlength=4).tolist()[1:3] == [0, 0]
+
+
+def test_passages_of_words_seen_before(spark):
+    model = toxicity.train(*made(spark))
+    far, passage = "ab " * 300_000, "zorgly qqrat vlexx mwump"
+    alone = " ".join(far + w for w in passage.split())
+    texts = [(1, f"{alone} {far}{passage} {far}"), (2, f"{passage} {'ab ' * 3000}{passage} {'ab ' * 3000}{passage}")]
+    rows = {x.doc_id: (x, dict(texts)[x.doc_id]) for x in toxicity.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for i, n in ((1, 1), (2, 3)):
+        row, text = rows[i]
+        assert row.predicted == 1 and [text[p.start : p.end] for p in row.passages] == [passage] * n
+    kept = toxicity.keep_clean(spark.createDataFrame(texts, "doc_id long, text string"), model)
+    assert kept.count() == 0
