@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from .scratch import Scratch
 from .textscan import slices, utf8
 
 CAPACITY = 2048
-CACHE_WORDS, CACHE_BYTES = 600_000, 64 << 20
-PART = 2 << 20
+#: The store of pieces is emptied beyond either, before the next megabyte of text.
+CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+PART = 1 << 20
 
 
 #: Texts that NFC and lower-casing treat sign by sign, and the tokenizer's own pattern for what it encodes by itself (fixed value).
@@ -57,9 +59,6 @@ class WordIds:
 
     def _learn(self, new: set[str]) -> None:
         """Keep the ids of pieces, and of whole words, which begin with a space here."""
-        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
         pieces, whole = [x for x in new if x[0] != " "], [x for x in new if x[0] == " "]
         for lo in range(0, len(pieces), 1000):
             part = pieces[lo : lo + 1000]
@@ -86,15 +85,17 @@ class WordIds:
         return out
 
     def all(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.forget()
         cut = [self._cut(t) for t in texts]
         new = set().union(*cut).difference(self.known)
         if new:
             self._learn(new)
-        try:
-            return [b"".join(map(self.known.__getitem__, x)) for x in cut]
-        except KeyError:  # the store was emptied meanwhile
-            self._learn(set().union(*cut).difference(self.known))
-            return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+
+    def forget(self) -> None:
+        self.known = {}
+        self.held = 0
 
     def long(self, text: bytes) -> bytes:
         """The ids of a text of any length, a part after the other."""
@@ -119,7 +120,7 @@ def _pieces(path: str, capacity: int):
             data = data.tobytes()
             texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             found = [encode.long(t) for t in texts] if len(data) > PART else encode.all(texts)
-            row, piece, start, length, parts = [], [], [], [], []
+            row, piece, start, length, crc, parts = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 ids = found[i] + b"\0\0\0\0"
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
@@ -128,8 +129,10 @@ def _pieces(path: str, capacity: int):
                     piece.append(k)
                     start.append(lo // 4)
                     length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
                     parts.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 
@@ -191,17 +194,25 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 
     ids are the piece's token ids, little-endian unsigned 32-bit, that stand in the sequence ``sequence_id`` from ``offset`` on; ids_crc32 is made from them.
     A row of ``docs(doc_id, text, ...)`` is its text's ids (null: none) by the tokenizer file ``tokenizer``, which must drop white
-    space, and then id 0. Longer ones than ``capacity`` are cut; all pieces are packed. Repeated rows are packed one by one, a null doc_id like
-    any other. An empty table gives an empty result.
+    space, and then id 0. Longer ones than ``capacity`` are cut, whatever their length, a megabyte of text at a time; all pieces are packed. Repeated rows are
+    packed one by one, a null doc_id like any other; further columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids binary"))
+    pieces = scratch.put(rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    runs = plan(counts, capacity)
-    table = pa.table(dict(zip(("length", "first", "n", "sequence", "offset"), (pa.array(x, pa.int64()) for x in zip(*runs)), strict=False))) if runs else pa.table({c: pa.array([], pa.int64()) for c in ("length", "first", "n", "sequence", "offset")})
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    for length, first, _, sequence, offset in plan(counts, capacity):
+        runs.setdefault(length, []).append((first, sequence - first, offset))
+    # one row for each length: where its runs begin, rising, and for each what to add to a rank and the offset; the last run that begins at or before a rank is its own
+    kinds = pa.schema([("length", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first", "shift", "offsets"))])
+    table = pa.Table.from_arrays([pa.array(list(runs), pa.int64()), *(pa.array([[x[i] for x in r] for r in runs.values()], pa.list_(pa.int64())) for i in range(3))], schema=kinds)
     places = scratch.put(spark.createDataFrame(table))
-    ranked = numbered(pieces.withColumn("_crc", F.crc32("ids")), ["length"], ["doc_id", "piece", "_crc"], "rank")
-    at = ranked.join(places, "length").where("rank >= first and rank < first + n")
-    return at.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank").join(places, "length")
+    steps = max(1, max((len(r) for r in runs.values()), default=1).bit_length())
+    at = ranked.withColumn("_run", F.lit(0))
+    for k in reversed(range(steps)):  # halving: the greatest place whose run begins at or before the rank
+        more = F.col("_run") + F.lit(1 << k)
+        at = at.withColumn("_run", F.when((more < F.size("first")) & (F.get("first", more) <= F.col("rank")), more).otherwise(F.col("_run")))
+    return at.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", (F.col("rank") + F.get("shift", F.col("_run"))).alias("sequence_id"), F.get("offsets", F.col("_run")).alias("offset"))

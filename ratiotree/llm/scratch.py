@@ -8,6 +8,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_LIVE: list[Scratch] = []
+
+
 class Scratch:
-    """The tables of one query. They go when the driver ends, or before by ``drop``."""
+    """The tables of one query. They go when the driver ends, or before by ``drop``, ``clear`` or at the end of ``released``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(self._delete, self.root)
+        _LIVE.append(self)
+        atexit.register(self.clear)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return a reader of what was written."""
@@ -40,14 +45,23 @@ class Scratch:
         path = f"{self.root}/{self._count}"
         df.write.parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(read)] = path
+        read._scratch_path = path
         return read
 
     def drop(self, read: DataFrame | None) -> None:
         """Delete a table that ``put`` returned and that no later step reads."""
-        if path := self._paths.pop(id(read), None):
+        path = getattr(read, "_scratch_path", "")
+        if path.startswith(f"{self.root}/"):
             self._delete(path)
 
+    def clear(self) -> None:
+        """Delete all tables of this query."""
+        if self in _LIVE:
+            _LIVE.remove(self)
+            atexit.unregister(self.clear)
+            if self._count:
+                self._delete(self.root)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         if jvm is None or self.spark.sparkContext._jsc is None:
@@ -58,3 +72,12 @@ class Scratch:
         except Exception as e:  # the session is gone; the folder's owner removes the rest
             if "NoSuchFile" not in str(e):
                 return
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """What queries called within put there is deleted at the end; their results must be written by then."""
+    before = len(_LIVE)
+    yield
+    for scratch in _LIVE[before:]:
+        scratch.clear()

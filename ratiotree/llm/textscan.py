@@ -6,6 +6,7 @@ the hashes of all words of a block. Equal words have equal hashes in every proce
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +37,32 @@ LOWER = TABLE.copy()
 LOWER[65:91] = TABLE[97:123]
 
 
+#: So many powers of a base are kept; more, for words or texts that no block can cut, are made anew each time.
+_KEPT = BLOCK + 4096
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n-1), modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + 4096), base, dtype=U)
+    have = _POWERS.get(base) if n <= _KEPT else None
+    if have is None:
+        have = np.full(max(n, _KEPT), base, dtype=U)
         have[0] = 1
-        have = np.multiply.accumulate(have)
-        _POWERS[base] = have
+        np.multiply.accumulate(have, out=have)
+        if n <= _KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column end to end, and where each row starts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,15 +100,13 @@ def _block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, stops: np.nd
     return tuple(out)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of all rows, and the number of words before each row.
-
-    With ``heads`` the hashes are rows of a matrix: of the words, then of their first so many bytes (of shorter words, the word's own).
+def word_blocks(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, starts and ends of the words of all rows, a block of bytes after the other; no word is cut, a long row may be.
 
+    The hashes are rows of a matrix: of the words, then of their first so many bytes for each of ``heads`` (of shorter words, the word's own).
     A word is a run of bytes outside ``stops`` (as default ``[^\\x20\\x09-\\x0D]+``) within a row. ``lower``: A-Z count as a-z.
     """
     table = LOWER if lower else TABLE
-    hashes, starts, ends = [np.zeros((1 + len(heads), 0), U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lo, n = 0, len(data)
     while lo < n:
         hi = min(n, lo + BLOCK)
@@ -112,13 +126,19 @@ def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.n
                         hi = first + int(cut[0]) + 1
         breaks = at[np.searchsorted(at, lo, "right") : np.searchsorted(at, hi, "left")] - lo
         s, e, *h = _block(data[lo:hi], breaks, table, stops, heads)
-        hashes.append(np.stack(h))
-        starts.append(s + lo)
-        ends.append(e + lo)
+        yield np.stack(h), s + lo, e + lo
         lo = hi
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of all rows, and the number of words before each row."""
+    hashes, starts, ends = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for h, s, e in word_blocks(data, at, lower, stops):
+        hashes.append(h[0])
+        starts.append(s)
+        ends.append(e)
     where = np.concatenate(starts)
-    found = np.concatenate(hashes, axis=1)
-    return found if heads else found[0], where, np.concatenate(ends), np.searchsorted(where, at, "left")
+    return np.concatenate(hashes), where, np.concatenate(ends), np.searchsorted(where, at, "left")
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True, stops: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +179,8 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each has at most so many rows and, but for single rows, bytes in a column."""
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each has at most so many rows and, but for single rows, bytes in a column. After the last, free memory goes back to the system."""
     for batch in batches:
         lo, n = 0, batch.num_rows
         if not n:
@@ -171,3 +191,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, mos
             hi = max(lo + 1, min(lo + rows, int(np.searchsorted(sizes, before + most, "right"))))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    tidy()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textscan import SPACE, U, slices, utf8, word_spans
+from .textscan import SPACE, U, slices, utf8, word_blocks
 
 HEADS = (4, 5, 6, 7, 8)
 #: At most so many labelled documents train it, those with the least hashes of doc_id: this bounds the model and what the driver holds.
@@ -37,18 +37,26 @@ STOPS = SPACE.copy()
 STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row."""
-    return word_spans(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
+def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A block after the other: hashes (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens."""
+    return word_blocks(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
 
 
-def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes of each document, in no order, and the document of each. One document's repeats prove nothing more."""
-    found, rows = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for i in range(len(first) - 1):
-        found.append(np.unique(hashes[:, first[i] : first[i + 1]]))
-        rows.append(np.full(len(found[-1]), i))
-    return np.concatenate(found), np.concatenate(rows)
+def distinct(column: pa.Array) -> np.ndarray:
+    """The different hashes of each document, of all documents end to end. One document's repeats prove nothing more."""
+    _, at = utf8(column)
+    found, held, last = [np.zeros(0, U)], np.zeros(0, U), -1
+    for hashes, starts, _ in tokens(column):
+        row = np.searchsorted(at, starts, "right") - 1
+        edge = np.flatnonzero(np.diff(row, prepend=-2))
+        for a, b in zip(edge, np.append(edge[1:], len(row)), strict=True):
+            new = np.unique(hashes[:, a:b])
+            if row[a] != last:
+                found.append(held)
+                held, last = new, row[a]
+            else:  # a long document goes on from the block before
+                held = np.union1d(held, new)
+    return np.concatenate([*found, held])
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -105,6 +113,16 @@ class Model:
             best[at], sure[at] = self.score[which], self.sure[which]
         return best - self.drift
 
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row. Hashes are dropped block by block."""
+        score, starts, ends = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for hashes, s, e in tokens(column):
+            score.append(self.of(hashes))
+            starts.append(s)
+            ends.append(e)
+        where = np.concatenate(starts)
+        return np.concatenate(score), where, np.concatenate(ends), np.searchsorted(where, utf8(column)[1], "left")
+
     def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
         """The segments (start, end, score, log of the expected number) that clean text of this length would show fewer than LEVEL times."""
         size = math.log(max(SHORT, len(score)))
@@ -124,7 +142,7 @@ def _count(only: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found, _ = distinct(*(x for i, x in enumerate(tokens(batch.column(0))) if i in (0, 3)))
+            found = distinct(batch.column(0))
             total = len(found)
             if only is not None:
                 at = np.minimum(np.searchsorted(only, found), max(0, len(only) - 1))
@@ -161,9 +179,9 @@ def _spectrum(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(BINS) + 1, np.int64)
         for batch in slices(batches, 0):
-            hashes, _, _, first = tokens(batch.column(0))
+            score, _, _, first = model.read(batch.column(0))
             fine = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 0, np.diff(first))
-            count += np.bincount(np.searchsorted(BINS, model.of(hashes)[fine]), minlength=len(count))
+            count += np.bincount(np.searchsorted(BINS, score[fine]), minlength=len(count))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(count))), pa.array(count)], names=["bin", "n"])
 
     return run
@@ -205,8 +223,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _bests(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            hashes, _, _, first = tokens(batch.column(0))
-            s = model.of(hashes)
+            s, _, _, first = model.read(batch.column(0))
             best, n, evidence = [], [], []
             for i in range(batch.num_rows):
                 part = s[first[i] : first[i + 1]]
@@ -265,9 +282,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, 1):
-            hashes, starts, ends, first = tokens(batch.column(1))
+            s, starts, ends, first = model.read(batch.column(1))
             _, rows = utf8(batch.column(1))
-            s = model.of(hashes)
             evidence, found = np.zeros(batch.num_rows), []
             for i in range(batch.num_rows):
                 a, b = first[i], first[i + 1]
@@ -289,8 +305,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in slices(batches, place):
-            hashes, _, _, first = tokens(batch.column(place))
-            s = model.of(hashes)
+            s, _, _, first = model.read(batch.column(place))
             evidence = np.array([model.evidence(s[first[i] : first[i + 1]]) for i in range(batch.num_rows)])
             yield batch.filter(pa.array(model.chance(evidence) < threshold))
 
