@@ -30,6 +30,13 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], wo
     return out.drop("_range", *[f"_{a}_{k}" for k in sums for a in "vo"])
 
 
+def ranked(df: DataFrame, column: str, name: str, work: Workspace | None = None) -> DataFrame:
+    """``df`` with the place of its value among the different values of ``column``, from 1; null has none. The values are numbered by ranges and joined back."""
+    values = df.select(F.col(column).alias("_value")).where("_value is not null").distinct()
+    places = running_sums(values, [F.col("_value")], {"_place": F.lit(1.0)}, work).select("_value", F.col("_place").cast("int").alias(name))
+    return df.join(places, df[column] == places["_value"], "left").drop("_value")
+
+
 #: Tables of at most so many different values are summed on the driver, of which they take some megabytes; larger ones by ranges, with the same result.
 DRIVER_VALUES = 200_000
 
@@ -39,7 +46,12 @@ def all_weighted_quantiles(df: DataFrame, values: list[str], weight: str, shares
 
     Null values and rows without weight are left out; a column without values gets an empty list. All columns are counted in one pass.
     """
-    work = work or Workspace(df.sparkSession)
+    if work is None:
+        work = Workspace(df.sparkSession)
+        try:
+            return all_weighted_quantiles(df, values, weight, shares, work)
+        finally:
+            work.delete()
     pairs = ", ".join(f"'{i}', cast(`{v}` as double)" for i, v in enumerate(values))
     long = df.select(F.col(weight).cast("double").alias("w"), F.expr(f"stack({len(values)}, {pairs}) as (k, v)")).where("v is not null and w > 0")
     levels = work.write(long.groupBy("k", "v").agg(F.sum("w").alias("w")))
@@ -83,6 +95,16 @@ def first_at_least(value: Column, bounds: list[float]) -> Column:
 
     if len(bounds) <= 32:
         return tree(0, len(bounds))
-    # a long tree would pass the JVM's limit for a method: count the smaller bounds in a literal array instead
-    array = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(array, lambda b: b < value)) + F.lit(1)
+    # a long tree would pass the JVM's limit for a method: halve down to a short part of the bounds, and count the smaller ones there
+    part = max(16, -(-len(bounds) // 32))
+    firsts = list(range(0, len(bounds), part))
+    pieces = F.array(*[F.array(*[F.lit(float(b)) for b in bounds[a : a + part]]) for a in firsts])
+
+    def which(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.lit(lo + 1)
+        middle = (lo + hi) // 2
+        return F.when(value <= F.lit(float(bounds[firsts[middle] - 1])), which(lo, middle)).otherwise(which(middle, hi))
+
+    at = which(0, len(firsts))
+    return F.size(F.filter(F.element_at(pieces, at), lambda b: b < value)) + (at - 1) * F.lit(part) + F.lit(1)

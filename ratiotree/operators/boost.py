@@ -6,14 +6,17 @@ import json
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import error_stats
 from ..settings import ModelSettings
 from ..sources.workspace import Workspace
+from .histogram import Cells, cells, scaled
 from .prepare import Prepared
+from .sampling import sampled
 from .scores import ScoreTable, score_table
-from .tree import Tree, check_features, fit_tree, walk
+from .tree import Tree, check_features, fit_tree, grow, with_leaf
 
 
 @dataclass
@@ -33,41 +36,55 @@ class Boosted:
         return Boosted([Tree.from_json(json.dumps(t)) for t in data["trees"]], data["rates"], data["mean"], ScoreTable(**data["scores"]), data["history"])
 
 
-def factor(tree: Tree, rate: float, by_code: bool = False) -> Column:
-    """What a tree multiplies an estimate by: its leaf's ratio, moderated."""
-    return walk(tree, lambda n: (n.ratio - 1.0) * rate + 1.0, by_code)
-
-
 def fit_boosted(data: Prepared, settings: ModelSettings, track: bool = False) -> Boosted:
     """Trees on numerator over estimated numerator, one after the other.
 
-    The rows keep one estimate. It is written to the shared folder every ``checkpoint_every`` trees, so that neither plan nor
-    loss of an executor grows with the number of trees.
+    An estimate follows from the codes, so it stands with the sums of equal codes where those are few, and with the rows else. It is written to the shared
+    folder every ``checkpoint_every`` trees, so that neither plan nor loss of an executor grows with the number of trees.
     """
     work = Workspace(data.rows.sparkSession)
     rng = np.random.default_rng(settings.seed)
-    top = data.rows.where("is_train").agg(F.sum("numerator"), F.sum("denominator")).first()
-    mean = top[0] / top[1]
-    rows = data.rows.withColumn("estimate", F.lit(float(mean)))
+    train = data.rows.where("is_train")
+    base = cells(train, data.features, settings.criterion)
+    top = base.rows.agg(F.sum("n"), F.sum("d")).first()
+    mean = float(top[0] / top[1])
+    rows, tracked = base.rows.withColumn("estimate", F.lit(mean)), data.rows.withColumn("estimate", F.lit(mean))
     trees: list[Tree] = []
     history: list[dict] = []
     for i, rate in enumerate(settings.rates()):
-        target = rows.where("is_train").withColumn("denominator", F.col("estimate") * F.col("denominator"))
-        tree = fit_tree(data, settings, target, rng)
+        if settings.sample_rows < 1:
+            inside = train.where(sampled(train, settings.sample_rows, int(rng.integers(1 << 31))))
+            part = cells(inside, data.features, settings.criterion)
+            known = part.rows.withColumn("estimate", F.lit(mean))
+            for t, r in zip(trees, settings.rates(), strict=False):
+                known = multiplied(known, t, r, by_code=True)
+            tree = grow(data, settings, scaled(Cells(known, part.sums, part.free), F.col("estimate")), rng)
+            part.free()
+        else:
+            tree = grow(data, settings, scaled(Cells(rows, base.sums, base.free), F.col("estimate")), rng)
         if min(leaf.ratio for leaf in tree.leaves) < 0:
             raise ValueError(f"iteration {i + 1}: a leaf has a negative relativity")
         trees.append(tree)
-        rows = rows.withColumn("estimate", F.col("estimate") * factor(tree, rate, by_code=True))
+        rows = multiplied(rows, tree, rate, by_code=True)
         if (i + 1) % settings.checkpoint_every == 0:
             rows = work.write(rows)
         if track:
             from .reports import error_row
 
-            history.append({"iteration": i + 1, **error_row(rows)})
-    rows = work.write(rows.withColumn("relativity", F.col("estimate") / F.lit(float(mean))))
-    table = score_table(rows.where("is_train"), settings.n_scores, settings.smooth_estimates, work)
+            tracked = multiplied(tracked, tree, rate, by_code=True)
+            if (i + 1) % settings.checkpoint_every == 0:
+                tracked = work.write(tracked)
+            history.append({"iteration": i + 1, **error_row(tracked)})
+    ready = rows.select(F.col("n").alias("numerator"), F.col("d").alias("denominator"), F.col("w").alias("weight"), "estimate", (F.col("estimate") / F.lit(mean)).alias("relativity"))
+    table = score_table(work.write(ready), settings.n_scores, settings.smooth_estimates, work)
     work.delete()
-    return Boosted(trees, settings.rates(), float(mean), table, history)
+    base.free()
+    return Boosted(trees, settings.rates(), mean, table, history)
+
+
+def multiplied(df: DataFrame, tree: Tree, rate: float, name: str = "estimate", by_code: bool = False) -> DataFrame:
+    """``df`` with a column times a tree's moderated ratio."""
+    return with_leaf(df, tree, {"_factor": lambda n: (n.ratio - 1.0) * rate + 1.0}, by_code).withColumn(name, F.col(name) * F.col("_factor")).drop("_factor")
 
 
 def predict_boosted(df: DataFrame, model: Boosted) -> DataFrame:
@@ -76,20 +93,38 @@ def predict_boosted(df: DataFrame, model: Boosted) -> DataFrame:
         check_features(df, tree)
     out = df.withColumn("raw", F.lit(model.mean))
     for tree, rate in zip(model.trees, model.rates, strict=True):
-        out = out.withColumn("raw", F.col("raw") * factor(tree, rate))
+        out = multiplied(out, tree, rate, "raw")
     table = model.scores
     out = out.withColumn("relativity", F.col("raw") / F.lit(model.mean)).withColumn("_place", table.place(F.col("relativity")))
     columns = (("score", table.numbers), ("unsmoothed", table.observed), ("smoothed", table.smoothed))
     return out.withColumns({name: table.look_up(F.col("_place"), values) for name, values in columns}).drop("_place")
 
 
-def iteration_matrix(df: DataFrame, model: Boosted, key: str = "key") -> DataFrame:
-    """key, iteration, leaf, estimate: what each tree made of each row, as a long table."""
-    parts, estimate = [], F.lit(model.mean)
+def iteration_matrix(df: DataFrame, model: Boosted, key: str = "key", tables: list[ScoreTable] | None = None) -> DataFrame:
+    """key, iteration, leaf, estimate, estimate_from_score: what each tree made of each row, as a long table.
+
+    ``tables`` has a score table for each iteration (``score_tables``); the last column is the smoothed ratio of the row's score by then, null without tables.
+    """
+    out, parts = df.withColumn("_e0", F.lit(model.mean)), []
     for i, (tree, rate) in enumerate(zip(model.trees, model.rates, strict=True), 1):
-        estimate = estimate * factor(tree, rate)
-        parts.append(F.struct(F.lit(i).alias("iteration"), walk(tree, lambda n: n.leaf).alias("leaf"), estimate.alias("estimate")))
-    return df.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*")
+        out = with_leaf(out, tree, {f"_l{i}": lambda n: n.leaf, "_factor": lambda n, rate=rate: (n.ratio - 1.0) * rate + 1.0})
+        out = out.withColumn(f"_e{i}", F.col(f"_e{i - 1}") * F.col("_factor")).drop("_factor")
+        scored = F.lit(None).cast("double")
+        if tables:
+            scored = tables[i - 1].look_up(tables[i - 1].place(F.col(f"_e{i}") / F.lit(model.mean)), tables[i - 1].smoothed)
+        parts.append(F.struct(F.lit(i).alias("iteration"), F.col(f"_l{i}").alias("leaf"), F.col(f"_e{i}").alias("estimate"), scored.alias("estimate_from_score")))
+    return out.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*")
+
+
+def score_tables(data: Prepared, model: Boosted, scores: int, from_ratios: bool = True) -> list[ScoreTable]:
+    """The score table after each iteration, from the training rows."""
+    work = Workspace(data.rows.sparkSession)
+    rows, out = data.rows.where("is_train").withColumn("estimate", F.lit(model.mean)), []
+    for tree, rate in zip(model.trees, model.rates, strict=True):
+        rows = work.write(multiplied(rows, tree, rate, by_code=True))
+        out.append(score_table(rows.withColumn("relativity", F.col("estimate") / F.lit(model.mean)), scores, from_ratios, work))
+    work.delete()
+    return out
 
 
 @dataclass
@@ -98,23 +133,39 @@ class Bagged:
     weights: list[float]
 
 
-def fit_bagged(data: Prepared, settings: ModelSettings) -> Bagged:
-    """Trees on samples of the training rows; a tree weighs one over its squared error on the rows it has not seen."""
+#: What a bagged tree's weight is one over, on the rows it has not seen; ``uniform`` weighs all alike.
+ERRORS = ("mse", "mae", "mrse", "mrae", "uniform")
+
+
+def fit_bagged(data: Prepared, settings: ModelSettings, error: str = "mse") -> Bagged:
+    """Trees on samples of exact size of the training rows; a tree weighs one over its ``error`` (of ratios, weighted by ``weight``) on the rows it has not seen."""
+    if error not in ERRORS:
+        raise ValueError(f"error must be one of {', '.join(ERRORS)}")
     rng = np.random.default_rng(settings.seed)
     share = settings.sample_rows if settings.sample_rows < 1 else 0.632
     plain = settings.update(sample_rows=1.0)
+    train = data.rows.where("is_train")
     trees, errors = [], []
     for _ in range(settings.iterations):
-        inside = (F.pmod(F.xxhash64("key", F.lit(int(rng.integers(1 << 31)))), F.lit(1_000_000)) / 1_000_000.0) < share
-        train = data.rows.where("is_train")
+        inside = sampled(train, share, int(rng.integers(1 << 31)))
         tree = fit_tree(data, plain, train.where(inside), rng)
-        miss = F.col("numerator") - walk(tree, lambda n: n.ratio, by_code=True) * F.col("denominator")
-        errors.append(train.where(~inside).agg(F.avg(miss * miss)).first()[0] or 0.0)
+        if error != "uniform":
+            unseen = with_leaf(train.where(~inside), tree, {"fitted": lambda n: float(n.ratio)}, by_code=True).withColumn("ratio", F.try_divide("numerator", "denominator"))
+            errors.append(error_stats(unseen, "ratio", "fitted", "weight").first()[error])
         trees.append(tree)
-    weights = np.array([1 / max(e, 1e-12) for e in errors])
-    return Bagged(trees, (weights / weights.sum()).tolist())
+    return Bagged(trees, inverse_weights(errors) if error != "uniform" else [1 / len(trees)] * len(trees))
+
+
+def inverse_weights(errors: list[float | None]) -> list[float]:
+    """One over each error, scaled to 1; an error of 0 or none counts as the least one, and all alike if none is left."""
+    weights = [1 / e if e else None for e in errors]
+    top = max((w for w in weights if w is not None), default=1.0)
+    weights = [top if w is None else w for w in weights]
+    return [w / sum(weights) for w in weights]
 
 
 def predict_bagged(df: DataFrame, model: Bagged) -> DataFrame:
-    parts = [walk(t, lambda n: n.ratio) * w for t, w in zip(model.trees, model.weights, strict=True)]
-    return df.withColumn("fitted", sum(parts[1:], parts[0]))
+    out = df.withColumn("fitted", F.lit(0.0))
+    for tree, weight in zip(model.trees, model.weights, strict=True):
+        out = with_leaf(out, tree, {"_part": lambda n, weight=weight: float(n.ratio) * weight}).withColumn("fitted", F.col("fitted") + F.col("_part")).drop("_part")
+    return out

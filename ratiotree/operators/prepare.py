@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.running import all_weighted_quantiles, first_at_least, running_sums
+from ..functions.running import all_weighted_quantiles, first_at_least, ranked
+from .sampling import sampled
 
 ROLES = ("key", "numerator", "denominator", "weight", "is_train")
 #: More levels than this in one feature are refused: the search state must stay small.
@@ -71,9 +72,8 @@ def known_levels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the place of the value of ``column`` among its different values, from 1."""
-    places = df.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)))  # over the different values of one feature
-    return df.join(F.broadcast(places), column) if places.count() <= MOST_LEVELS else df.join(places, column)
+    """``df`` with the place of the value of ``column`` among its different values, from 1, whatever their number; rows without a value go."""
+    return ranked(df.where(F.col(column).isNotNull()), column, name)
 
 
 def sanity(df: DataFrame, numerator: str, denominator: str, weight: str, columns: list[str]) -> DataFrame:
@@ -91,11 +91,8 @@ def train_flag(key: Column, validation: float, seed: int) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """``df`` with is_train true for exactly round(share * n) rows: those first in the order of a hash of the key."""
-    want = round(share * df.count())
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    placed = running_sums(hashed, [F.col("_h"), F.col(key)], {"_place": F.lit(1.0)})
-    return placed.withColumn("is_train", F.col("_place") <= want).drop("_h", "_place")
+    """``df`` with is_train true for exactly round(share * n) rows: those first in the order of a hash of the key. Rows of one key go together."""
+    return df.withColumn("is_train", sampled(df, share, seed, key))
 
 
 def split_points(df: DataFrame, columns: list[str], points: int, weight: str | None = None) -> dict[str, list[float]]:

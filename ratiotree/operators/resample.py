@@ -8,10 +8,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import ranked
 from ..settings import ModelSettings
 from .boost import fit_bagged, fit_boosted, predict_bagged, predict_boosted
 from .prepare import Prepared
 from .reports import band, band_metrics, error_row, grouped_stats, stats_of_stats
+from .sampling import fold, sampled
 from .tree import fit_tree, predict_tree
 
 
@@ -24,18 +26,11 @@ class CrossValidation:
     use_all: bool = True
 
 
-def fold(key: Column, folds: int, seed: int) -> Column:
-    """0 to folds - 1, by a hash of the key alone: stable under any partitioning, and about equal in size."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
-
-
-def training_flags(options: CrossValidation, seed: int) -> list[Column]:
-    """For each fold, the column that says whether a row trains."""
-    key = F.col("key")
+def training_flags(rows: DataFrame, options: CrossValidation, seed: int) -> list[Column]:
+    """For each fold, the column that says whether a row trains; folds and samples have exact sizes, by a hash of the key alone."""
     if options.share > 0:
-        n = abs(options.folds)
-        return [(F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(1_000_000)) / 1_000_000.0) < options.share for i in range(n)]
-    place = fold(key, abs(options.folds), seed)
+        return [sampled(rows, options.share, seed + i) for i in range(abs(options.folds))]
+    place = fold(rows, abs(options.folds), seed)
     return [place == i if options.folds < 0 else place != i for i in range(abs(options.folds))]
 
 
@@ -56,7 +51,8 @@ def run_model(data: Prepared, settings: ModelSettings) -> Run:
         scored = scored.withColumn("estimate", F.col(estimate)).withColumn("group", band(F.col("score"), settings.score_bands))
     elif settings.model_type == "bagged_tree":
         model = fit_bagged(data, settings)
-        scored = predict_bagged(data.rows, model).withColumn("estimate", F.col("fitted")).withColumn("group", F.dense_rank().over(_by_value()))
+        scored = predict_bagged(data.rows, model).withColumn("estimate", F.round("fitted", 12))
+        scored = ranked(scored, "estimate", "group")
     else:
         model = fit_tree(data, settings)
         scored = predict_tree(data.rows, model).withColumn("estimate", F.col("fitted")).withColumn("group", F.col("leaf"))
@@ -64,12 +60,6 @@ def run_model(data: Prepared, settings: ModelSettings) -> Run:
     return Run(model, scored, measures | error_row(scored))
 
 
-def _by_value():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("fitted")
-
-
 def _attempts(jobs: list, threads: int) -> list[dict]:
     """The jobs' measures, several at a time; a job that fails gives an error and no measures."""
 
@@ -104,7 +94,7 @@ def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValida
 
         return run
 
-    found = _attempts([job(f, i) for i, f in enumerate(training_flags(options, settings.seed))], threads)
+    found = _attempts([job(f, i) for i, f in enumerate(training_flags(base.rows, options, settings.seed))], threads)
     table = _table(data.rows.sparkSession, found, "fold")
     names = [c for c in table.columns if c not in ("fold", "error")]
     return table, stats_of_stats(table, names)

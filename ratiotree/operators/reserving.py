@@ -9,7 +9,7 @@ from ..functions.running import first_at_least, running_sums, weighted_quantiles
 from ..settings import ModelSettings
 from ..sources.workspace import Workspace
 from .prepare import encode
-from .tree import fit_tree, walk
+from .tree import fit_tree, with_leaf
 
 
 def triangle(payments: DataFrame, origin: str = "origin", dev: str = "dev", amount: str = "amount", by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,9 +94,10 @@ def quantile_groups(rows: DataFrame, value: str, groups: int, name: str = "group
 
 
 def corrected_errors(rows: DataFrame, truth: str, estimate: str, total: float, shares: list[float]) -> DataFrame:
-    """share, error: quantiles of estimate less truth, with estimates scaled to a total."""
+    """share, error: lower quantiles of estimate less truth, with estimates scaled to a total; no task holds all errors."""
     scale = total / rows.agg(F.sum(estimate)).first()[0]
-    found = rows.agg(F.percentile(F.col(estimate) * scale - F.col(truth), F.array(*[F.lit(float(s)) for s in shares])).alias("e")).first()[0]
+    errors = rows.select((F.col(estimate) * scale - F.col(truth)).alias("e"), F.lit(1.0).alias("w"))
+    found = weighted_quantiles(errors, "e", "w", shares)
     return rows.sparkSession.createDataFrame(list(zip(map(float, shares), found, strict=True)), "share double, error double")
 
 
@@ -106,7 +107,7 @@ def development_trees(claims: DataFrame, year: str, columns: list[str], numeric:
     for k in range(1, len(columns)):
         before, after = F.col(columns[k - 1]).cast("double"), F.col(columns[k]).cast("double")
         rows = claims.where((F.col(year) <= last - k) & (after > 0)).select(
-            F.monotonically_increasing_id().cast("string").alias("key"), before.alias("numerator"), after.alias("denominator"), F.lit(1.0).alias("weight"),
+            F.hex(F.xxhash64(*claims.columns)).alias("key"), before.alias("numerator"), after.alias("denominator"), F.lit(1.0).alias("weight"),
             F.lit(True).alias("is_train"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
         trees.append(fit_tree(encode(rows, numeric, categorical, settings.max_splitting_points), settings))
     return trees
@@ -114,7 +115,11 @@ def development_trees(claims: DataFrame, year: str, columns: list[str], numeric:
 
 def tree_ultimates(claims: DataFrame, trees: list, year: str, columns: list[str], last: int) -> DataFrame:
     """``claims`` with paid, ratios (one for each development year) and ultimate."""
-    paid = paid_to_date(claims, year, columns, last).withColumn("ratios", F.array(*[walk(t, lambda n: n.ratio) for t in trees]))
+    paid = paid_to_date(claims, year, columns, last)
+    names = [f"_ratio{i}" for i in range(len(trees))]
+    for name, tree in zip(names, trees, strict=True):
+        paid = with_leaf(paid, tree, {name: lambda n: float(n.ratio)})
+    paid = paid.withColumn("ratios", F.array(*names)).drop(*names)
     return row_ultimates(paid.withColumn("_start", (F.lit(last) - F.col(year) + 1).cast("int")), "paid", "ratios", "_start").drop("_start")
 
 

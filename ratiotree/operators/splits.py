@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from ..functions.criteria import CRITERIA, SUMS, ArrayMath, ColumnMath, Side
 
 
+#: All subsets of more levels are not tried, but refused.
+MOST_SUBSET_LEVELS = 16
+#: Values that agree in so many digits are ties, so that the order of sums does not decide.
+DIGITS = 10
+
+
+def settled(value: float) -> float:
+    return float(f"{value:.{DIGITS - 1}e}")
+
+
 @dataclass
 class Split:
     feature: str
@@ -49,12 +59,17 @@ def candidates(levels: DataFrame, criterion: str, least: float = -0.1, by_mean:
 
 
 def subset_candidates(levels: DataFrame, criterion: str, least: float = -0.1) -> DataFrame:
-    """node, feature, mask, wl, wr, value: each bipartition of at most 12 levels; bit i of ``mask`` is set if the level of place i (from 0) is left, the last never is."""
+    """node, feature, mask, wl, wr, value: each bipartition of a feature's levels; bit i of ``mask`` is set if the level of place i (from 0) is left, the last never is.
+
+    Their number doubles with each level, so a feature of more than MOST_SUBSET_LEVELS stops the query; ``candidates`` with ``by_mean`` is for those.
+    """
     sums = [s for s in SUMS if s in ("c", "n", "d", "w") or s in CRITERIA[criterion].sums]
     group = Window.partitionBy("node", "feature")
     placed = levels.withColumn("place", F.row_number().over(group.orderBy("level")) - 1).withColumn("k", F.count(F.lit(1)).over(group))
-    placed = placed.where("k between 2 and 12").withColumns({f"t_{s}": F.sum(s).over(group) for s in sums})
-    masks = placed.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("cast(pow(2, k - 1) as int) - 1"))))
+    placed = placed.where("k >= 2").withColumns({f"t_{s}": F.sum(s).over(group) for s in sums})
+    refused = F.raise_error(F.concat(F.lit(f"more than {MOST_SUBSET_LEVELS} levels, too many to try all subsets: "), F.col("feature").cast("string"))).cast("int")
+    top = F.when(F.col("k") > MOST_SUBSET_LEVELS, refused).otherwise(F.expr("cast(pow(2, k - 1) as int) - 1"))
+    masks = placed.withColumn("mask", F.explode(F.sequence(F.lit(1), top)))
     left = masks.groupBy("node", "feature", "mask").agg(*[F.sum(F.expr(f"if((shiftright(mask, place) & 1) = 1, {s}, 0D)")).alias(f"l_{s}") for s in sums], *[F.first(f"t_{s}").alias(f"t_{s}") for s in sums])
     return _valued(left, criterion, sums, least).select("node", "feature", "mask", F.col("l_w").alias("wl"), (F.col("t_w") - F.col("l_w")).alias("wr"), "value")
 
@@ -92,7 +107,7 @@ def feature_splits(sums: dict[str, np.ndarray], codes: np.ndarray, numeric: bool
     with np.errstate(all="ignore"):
         value = CRITERIA[criterion].value(Side(**left), Side(**{s: total[s] - left[s] for s in left}), Side(**{s: np.asarray(v) for s, v in total.items()}), ArrayMath)
         fit = (left["w"] > least) & (total["w"] - least > left["w"]) & np.isfinite(value)
-    return [(float(value[i]), [int(codes[j]) for j in sets[i]], float(left["w"][i])) for i in np.flatnonzero(fit)]
+    return [(settled(float(value[i])), [int(codes[j]) for j in sets[i]], float(left["w"][i])) for i in np.flatnonzero(fit)]
 
 
 def best_split(node: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]], numeric: set[str], pools: dict[str, int], criterion: str, least: float, sort_above: int, top: float = 0.0, rng: np.random.Generator | None = None) -> Split | None:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from itertools import combinations
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import ModelSettings
-from .histogram import level_sums, sums_of
+from .histogram import Cells, cells, long_sums
 from .prepare import Prepared, code
-from .splits import best_split
+from .sampling import sampled
+from .splits import Split, best_split
 
 
 @dataclass
@@ -126,58 +130,129 @@ def fit_tree(data: Prepared, settings: ModelSettings, rows: DataFrame | None = N
     rng = rng or np.random.default_rng(settings.seed)
     rows = rows if rows is not None else data.rows.where("is_train")
     if settings.sample_rows < 1:
-        rows = rows.where((F.pmod(F.xxhash64("key", F.lit(int(rng.integers(1 << 31)))), F.lit(1_000_000)) / 1_000_000.0) < settings.sample_rows)
-    rows = rows.select("numerator", "denominator", "weight", *[F.col(f"`{code(f)}`") for f in data.features]).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.where(sampled(rows, settings.sample_rows, int(rng.integers(1 << 31))))
+    found = cells(rows, data.features, settings.criterion)
     try:
-        return _grow(data, settings, rows, rng)
+        return grow(data, settings, found, rng)
     finally:
-        rows.unpersist()
+        found.free()
 
 
-def _grow(data: Prepared, settings: ModelSettings, rows: DataFrame, rng: np.random.Generator) -> Tree:
+def grow(data: Prepared, settings: ModelSettings, base: Cells, rng: np.random.Generator) -> Tree:
+    """A tree on sums. Each level of it is one aggregate over the rows of open nodes, which carry their node's number from level to level."""
     levels = data.levels.collect()  # at most MOST_LEVELS a feature
     pools = Counter(r["feature"] for r in levels)
     texts = {(r["feature"], r["code"]): r["text"] for r in levels}
     bounds = {(r["feature"], r["code"]): r["number"] for r in levels}
+    rows = base.rows.withColumn("node", F.lit(1).cast("long"))
     chosen = _sampled(data.features, settings.sample_features, rng)
-    found = _by_node(level_sums(rows, chosen, F.lit(1), sums_of(settings.criterion)).toArrow(), chosen)
+    found = level_table(rows, chosen, base.sums).toArrow()
+    sides = _by_node(found, chosen)
     # every feature's levels add up to the node's rows, so the first pass also gives the root
-    whole = {s: float(v.sum()) for s, v in next(iter(found[1].values()))[1].items()} if found else dict.fromkeys("ndwc", 0.0)
-    root = Node(1, 0, whole["n"], whole["d"], whole["w"], int(round(whole["c"])))
-    tree = Tree({1: root}, data.features)
+    whole = {s: float(v.sum()) for s, v in next(iter(sides[1].values()))[1].items()} if sides else dict.fromkeys("ndwc", 0.0)
+    tree = Tree({1: Node(1, 0, whole["n"], whole["d"], whole["w"], int(round(whole["c"])))}, data.features)
+    root = tree.nodes[1]
     least = root.weight * -settings.min_weight if settings.min_weight < 0 else settings.min_weight
-    open_nodes = [1] if found and root.weight >= 2 * least and settings.max_depth > 0 else []
+    open_nodes = [1] if sides and root.weight >= 2 * least and settings.max_depth > 0 else []
+    held: DataFrame | None = None
     while open_nodes:
-        following = []
+        find = Search(chosen, set(data.numeric), dict(pools), settings, least, int(rng.integers(1 << 31)))
+        cuts = {i: find.best(i, sides[i]) for i in open_nodes if i in sides} if sides is not None else find.on_executors(found)
+        following, done = [], []
         for i in open_nodes:
-            sums, node = found.get(i, {}), tree.nodes[i]
-            use_top = settings.random_top if i == 1 or not settings.random_only_at_root else 0.0
-            split = best_split(sums, set(data.numeric), pools, settings.criterion, least, settings.sort_categories_above, use_top, rng)
-            if split is None:
+            cut, node = cuts.get(i), tree.nodes[i]
+            if cut is None:
                 continue
+            split = cut.split
             node.feature, node.numeric, node.value = split.feature, split.numeric, split.value
             node.codes = [max(split.left)] if split.numeric else sorted(split.left)
             if split.numeric:
                 node.bound = bounds[split.feature, node.codes[0]]
             else:
                 node.texts = [texts[split.feature, c] for c in node.codes]
-            codes, parts = sums[split.feature]
-            is_left = codes <= node.codes[0] if split.numeric else np.isin(codes, node.codes)
-            for child, side in ((2 * i, is_left), (2 * i + 1, ~is_left)):
-                tree.nodes[child] = Node(child, node.depth + 1, *(float(parts[s][side].sum()) for s in ("n", "d", "w")), int(round(parts["c"][side].sum())))
-                if tree.nodes[child].weight >= 2 * least and tree.nodes[child].depth < settings.max_depth:
+            done.append(node)
+            for child, part in ((2 * i, cut.left), (2 * i + 1, cut.right)):
+                tree.nodes[child] = Node(child, node.depth + 1, part["n"], part["d"], part["w"], int(round(part["c"])))
+                if part["w"] >= 2 * least and node.depth + 1 < settings.max_depth:
                     following.append(child)
         open_nodes = sorted(following)
         if open_nodes:
             if not settings.random_only_at_root:
                 chosen = _sampled(data.features, settings.sample_features, rng)
-            place = walk(tree, lambda n, still=frozenset(open_nodes): n.id if n.id in still else None, by_code=True)
-            found = _by_node(level_sums(rows, chosen, place, sums_of(settings.criterion)).toArrow(), chosen)
+            rows = advance(rows, done, data.features, frozenset(open_nodes)).persist(StorageLevel.MEMORY_AND_DISK)
+            found = level_table(rows, chosen, base.sums)
+            if len(open_nodes) * sum(pools[f] for f in chosen) <= DRIVER_LEVELS:
+                sides = _by_node(found.toArrow(), chosen)
+            else:  # too many sums for the driver: each node's split is found where its sums are
+                sides = None
+        if held is not None:
+            held.unpersist()
+        held = rows if open_nodes else None
     for number, leaf in enumerate(sorted((n for n in tree.nodes.values() if n.feature is None), key=lambda n: (n.ratio, n.id)), 1):
         leaf.leaf = number
     return tree
 
 
+#: So many sums of a level of the tree are searched on the driver, some megabytes; more on executors, with the same result.
+DRIVER_LEVELS = 200_000
+
+
+def level_table(rows: DataFrame, features: list[str], sums: list[str]) -> DataFrame:
+    return long_sums(rows, {f: code(f) for f in features}, sums)
+
+
+def advance(rows: DataFrame, done: list[Node], features: list[str], still: frozenset[int]) -> DataFrame:
+    """The rows of nodes that are split, with their child's number, of those children that stay open. The splits, one row for each node of a level, are broadcast."""
+    table = rows.sparkSession.createDataFrame([(n.id, features.index(n.feature) + 1, [int(c) for c in n.codes], n.numeric, 2 * n.id in still, 2 * n.id + 1 in still) for n in done], "node long, _at int, _codes array<int>, _numeric boolean, _l boolean, _r boolean")
+    level = F.element_at(F.array(*[F.col(f"`{code(f)}`") for f in features]), F.col("_at"))
+    left = F.when(F.col("_numeric"), level <= F.col("_codes")[0]).otherwise(F.array_contains("_codes", level))
+    out = rows.join(F.broadcast(table), "node").withColumn("_left", left).where(F.when(F.col("_left"), F.col("_l")).otherwise(F.col("_r")))
+    return out.select(F.when(F.col("_left"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), *[c for c in (f"`{x}`" for x in rows.columns if x != "node")])
+
+
+@dataclass
+class Cut:
+    """A node's split with the sums c, n, d and w of both sides."""
+
+    split: Split
+    left: dict[str, float]
+    right: dict[str, float]
+
+
+@dataclass
+class Search:
+    """The search for splits of nodes; the same on driver and executors, as a node's random choice depends on its number and ``salt`` alone."""
+
+    features: list[str]
+    numeric: set[str]
+    pools: dict[str, int]
+    settings: ModelSettings
+    least: float
+    salt: int
+
+    def best(self, node: int, sums: dict) -> Cut | None:
+        top = self.settings.random_top if node == 1 or not self.settings.random_only_at_root else 0.0
+        rng = np.random.default_rng([self.salt, node])
+        split = best_split(sums, self.numeric, self.pools, self.settings.criterion, self.least, self.settings.sort_categories_above, top, rng)
+        if split is None:
+            return None
+        codes, parts = sums[split.feature]
+        left = codes <= max(split.left) if split.numeric else np.isin(codes, split.left)
+        return Cut(split, *({s: float(parts[s][side].sum()) for s in "cndw"} for side in (left, ~left)))
+
+    def on_executors(self, found: DataFrame) -> dict[int, Cut]:
+        """One row for each node comes to the driver."""
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            node = key[0].as_py()
+            cut = self.best(node, _by_node(table, self.features)[node])
+            rows = [] if cut is None else [{"node": node, "feature": cut.split.feature, "numeric": cut.split.numeric, "codes": cut.split.left, "value": cut.split.value, "sums": [*cut.left.values(), *cut.right.values()]}]
+            return pa.Table.from_pylist(rows, schema=pa.schema([("node", pa.int64()), ("feature", pa.string()), ("numeric", pa.bool_()), ("codes", pa.list_(pa.int32())), ("value", pa.float64()), ("sums", pa.list_(pa.float64()))]))
+
+        rows = found.groupBy("node").applyInArrow(run, "node long, feature string, numeric boolean, codes array<int>, value double, sums array<double>").collect()
+        return {r["node"]: Cut(Split(r["feature"], r["numeric"], r["codes"], r["value"], r["sums"][3], r["sums"][7]), dict(zip("cndw", r["sums"][:4], strict=True)), dict(zip("cndw", r["sums"][4:], strict=True))) for r in rows}
+
+
 def _sampled(features: list[str], share: float, rng: np.random.Generator) -> list[str]:
     if share >= 1:
         return features
@@ -206,21 +281,28 @@ def _by_node(found, features: list[str]) -> dict[int, dict]:  # noqa: ANN001
 NESTED_LEAVES = 64
 
 
-def apply_tree(df: DataFrame, tree: Tree, fitted: str = "fitted", leaf: str = "leaf") -> DataFrame:
-    """``df`` with the ratio and the number of the leaf of each row, by the features' values. Levels that training has not seen go right."""
+def with_leaf(df: DataFrame, tree: Tree, columns: dict[str, Callable[[Node], Any]], by_code: bool = False) -> DataFrame:
+    """``df`` with a column for each of ``columns``, a function of the leaf. Large trees go level by level, with the nodes' splits in a map, and look the leaf up in a broadcast table."""
     if len(tree.leaves) <= NESTED_LEAVES:
-        return df.withColumn(leaf, walk(tree, lambda n: n.leaf)).withColumn(fitted, _lookup(F.col(leaf), [n.ratio for n in tree.leaves]))
+        out = df.withColumn("_leaf", walk(tree, lambda n: n.leaf, by_code))
+        return out.withColumns({name: _lookup(F.col("_leaf"), [f(n) for n in tree.leaves]) for name, f in columns.items()}).drop("_leaf")
     out = df.withColumn("_node", F.lit(1).cast("long"))
     for depth in range(tree.depth):
         inner = [n for n in tree.nodes.values() if n.depth == depth and n.feature]
-        step = reduce(lambda e, n: e.when(F.col("_node") == n.id, F.when(_goes_left(n, False), 2 * n.id).otherwise(2 * n.id + 1)), inner[1:], F.when(F.col("_node") == inner[0].id, F.when(_goes_left(inner[0], False), 2 * inner[0].id).otherwise(2 * inner[0].id + 1)))
+        step = reduce(lambda e, n: e.when(F.col("_node") == n.id, F.when(_goes_left(n, by_code), 2 * n.id).otherwise(2 * n.id + 1)), inner[1:], F.when(F.col("_node") == inner[0].id, F.when(_goes_left(inner[0], by_code), 2 * inner[0].id).otherwise(2 * inner[0].id + 1)))
         out = out.withColumn("_node", F.coalesce(step, F.col("_node")).cast("long"))
-    table = df.sparkSession.createDataFrame([(n.id, n.leaf, n.ratio) for n in tree.leaves], f"_node long, {leaf} int, {fitted} double")
+    kinds = ", ".join(f"`{name}` {'int' if isinstance(f(tree.leaves[0]), int) else 'double'}" for name, f in columns.items())
+    table = df.sparkSession.createDataFrame([(n.id, *(f(n) for f in columns.values())) for n in tree.leaves], f"_node long, {kinds}")
     return out.join(F.broadcast(table), "_node").drop("_node")  # a row for each leaf
 
 
-def _lookup(place: Column, values: list[float]) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), place)
+def apply_tree(df: DataFrame, tree: Tree, fitted: str = "fitted", leaf: str = "leaf") -> DataFrame:
+    """``df`` with the ratio and the number of the leaf of each row, by the features' values. Levels that training has not seen go right."""
+    return with_leaf(df, tree, {leaf: lambda n: n.leaf, fitted: lambda n: float(n.ratio)})
+
+
+def _lookup(place: Column, values: list) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), place)
 
 
 def check_features(df: DataFrame, tree: Tree) -> None:

@@ -15,7 +15,8 @@ from ..functions.running import first_at_least, weighted_quantiles
 from ..operators import prepare, reports, reserving, splits
 from ..operators.boost import Boosted, fit_bagged, fit_boosted, iteration_matrix, predict_bagged, predict_boosted
 from ..operators.histogram import level_sums, sums_of
-from ..operators.resample import CrossValidation, cross_validate, fold, search
+from ..operators.resample import CrossValidation, cross_validate, search
+from ..operators.sampling import fold
 from ..operators.tree import apply_tree, fit_tree, importance_table
 from ..settings import ModelSettings, grid
 from .export import tree_sql
@@ -516,9 +517,14 @@ def kfold_stats(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(reports.stats_of_stats(each, ["train", "test"]))
 
 
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepared(spark, sf_dir).rows
+    return rows.withColumn("fold", fold(rows, 5, 1))
+
+
 @query()
 def kfold_sizes(spark, sf_dir):  # noqa: ANN001, ANN201
-    return prepared(spark, sf_dir).rows.groupBy(fold(F.col("key"), 5, 1).alias("fold")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return _folded(spark, sf_dir).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query()

@@ -29,15 +29,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     return spark.read.jdbc(url, table, properties=properties or {})
 
 
-def typed(df: DataFrame, share: float = 1.0, sample: int = 10_000) -> DataFrame:
-    """String columns as doubles where at least ``share`` of a sample's non-empty values are numbers; values that are not become null."""
+def typed(df: DataFrame, share: float = 1.0) -> DataFrame:
+    """String columns as doubles where at least ``share`` of all non-empty values are numbers, counted over the whole table in one pass.
+
+    With a share of 1 no value is lost; with less, those that are no numbers become null, which is what the caller asked for.
+    """
     names = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
     if not names:
         return df
-    seen = df.select(*names).limit(sample)
     counts = [F.count(F.expr(f"nullif(trim(`{n}`), '')")).alias(f"all_{i}") for i, n in enumerate(names)]
     counts += [F.count(F.expr(f"try_cast(trim(`{n}`) as double)")).alias(f"num_{i}") for i, n in enumerate(names)]
-    row = seen.agg(*counts).first()
+    row = df.agg(*counts).first()
     numeric = [n for i, n in enumerate(names) if row[f"all_{i}"] and row[f"num_{i}"] >= share * row[f"all_{i}"]]
     return df.withColumns({n: F.expr(f"try_cast(trim(`{n}`) as double)") for n in numeric})
 
@@ -75,6 +77,17 @@ def read_prepared(spark: SparkSession, folder: str):  # noqa: ANN201
     return Prepared(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/levels"), about["numeric"], about["categorical"])
 
 
+def unzip_files(archive: str, folder: str) -> list[str]:
+    """The files of an archive, unpacked into a folder; a name that leads out of it is refused."""
+    root = Path(folder).resolve()
+    with zipfile.ZipFile(archive) as found:
+        for name in found.namelist():
+            if not (root / name).resolve().is_relative_to(root):
+                raise ValueError(f"not inside the archive's folder: {name}")
+        found.extractall(root)
+        return [str(root / n) for n in found.namelist()]
+
+
 def zip_files(files: list[str], target: str) -> str:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in files:
