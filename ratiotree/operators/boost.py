@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_stats
 from ..settings import ModelSettings
 from ..sources.workspace import Workspace
-from .histogram import Cells, cells, scaled
+from .histogram import at_hand, cells, scaled
 from .prepare import Prepared
 from .sampling import sampled
 from .scores import ScoreTable, score_table
-from .tree import Tree, check_features, fit_tree, grow, with_leaf
+from .tree import Tree, check_features, fit_tree, grow, leaves_of, with_leaf
 
 
 @dataclass
@@ -49,6 +50,8 @@ def fit_boosted(data: Prepared, settings: ModelSettings, track: bool = False) ->
     top = base.rows.agg(F.sum("n"), F.sum("d")).first()
     mean = float(top[0] / top[1])
     rows, tracked = base.rows.withColumn("estimate", F.lit(mean)), data.rows.withColumn("estimate", F.lit(mean))
+    near = at_hand(base, data.features) if settings.sample_rows == 1 else None
+    estimate = np.full(len(near.sums["c"]), mean) if near else None
     trees: list[Tree] = []
     history: list[dict] = []
     for i, rate in enumerate(settings.rates()):
@@ -58,16 +61,21 @@ def fit_boosted(data: Prepared, settings: ModelSettings, track: bool = False) ->
             known = part.rows.withColumn("estimate", F.lit(mean))
             for t, r in zip(trees, settings.rates(), strict=False):
                 known = multiplied(known, t, r, by_code=True)
-            tree = grow(data, settings, scaled(Cells(known, part.sums, part.free), F.col("estimate")), rng)
+            tree = grow(data, settings, scaled(replace(part, rows=known), F.col("estimate")), rng)
             part.free()
+        elif near:
+            tree = grow(data, settings, near.scaled(estimate), rng)
         else:
-            tree = grow(data, settings, scaled(Cells(rows, base.sums, base.free), F.col("estimate")), rng)
+            tree = grow(data, settings, scaled(replace(base, rows=rows), F.col("estimate")), rng)
         if min(leaf.ratio for leaf in tree.leaves) < 0:
             raise ValueError(f"iteration {i + 1}: a leaf has a negative relativity")
         trees.append(tree)
-        rows = multiplied(rows, tree, rate, by_code=True)
-        if (i + 1) % settings.checkpoint_every == 0:
-            rows = work.write(rows)
+        if near:
+            estimate = estimate * np.array([(n.ratio - 1.0) * rate + 1.0 for n in tree.leaves])[leaves_of(tree, near.codes) - 1]
+        else:
+            rows = multiplied(rows, tree, rate, by_code=True)
+            if (i + 1) % settings.checkpoint_every == 0:
+                rows = work.write(rows)
         if track:
             from .reports import error_row
 
@@ -75,6 +83,8 @@ def fit_boosted(data: Prepared, settings: ModelSettings, track: bool = False) ->
             if (i + 1) % settings.checkpoint_every == 0:
                 tracked = work.write(tracked)
             history.append({"iteration": i + 1, **error_row(tracked)})
+    if near:
+        rows = data.rows.sparkSession.createDataFrame(pa.table({"estimate": estimate, **{s: near.sums[s] for s in "ndw"}}))
     ready = rows.select(F.col("n").alias("numerator"), F.col("d").alias("denominator"), F.col("w").alias("weight"), "estimate", (F.col("estimate") / F.lit(mean)).alias("relativity"))
     table = score_table(work.write(ready), settings.n_scores, settings.smooth_estimates, work)
     work.delete()
@@ -127,6 +137,14 @@ def score_tables(data: Prepared, model: Boosted, scores: int, from_ratios: bool
     return out
 
 
+def levels_used(model: Boosted, data: Prepared) -> DataFrame:
+    """feature, code, number, text, used: whether any split of the model takes the level to its left side, or, for numbers, ends there."""
+    found = {(n.feature, c) for t in model.trees for n in t.nodes.values() if n.feature for c in n.codes}
+    spark = data.rows.sparkSession
+    table = spark.createDataFrame(sorted(found), "feature string, code int").withColumn("used", F.lit(True))  # at most the levels of all features
+    return data.levels.join(F.broadcast(table), ["feature", "code"], "left").fillna(False, ["used"])
+
+
 @dataclass
 class Bagged:
     trees: list[Tree]

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ class Cells:
     rows: DataFrame
     sums: list[str]
     free: Callable[[], None]
+    summed: bool
 
 
 def check(rows: DataFrame, criterion: str, features: list[str]) -> tuple[int, int]:
@@ -69,13 +71,37 @@ def cells(rows: DataFrame, features: list[str], criterion: str) -> Cells:
     base = rows.select(*codes, *[F.expr(SUMS[s]).alias(s) for s in wanted])
     if features and different * WORTH <= n:
         work = Workspace(rows.sparkSession)
-        return Cells(work.write(base.groupBy(*codes).agg(*[F.sum(s).alias(s) for s in wanted])), wanted, work.delete)
+        return Cells(work.write(base.groupBy(*codes).agg(*[F.sum(s).alias(s) for s in wanted])), wanted, work.delete, True)
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    return Cells(base, wanted, base.unpersist)
+    return Cells(base, wanted, base.unpersist, False)
+
+
+#: At most so many combinations of codes, some megabytes, are searched on the driver, which spares a job for each level of a tree; the tree is the same.
+LOCAL_CELLS = 100_000
+#: How sums follow a factor of all denominators.
+_POWERS = {"d": 1, "q": -1, "r": -1, "r2": -2}
+
+
+@dataclass
+class LocalCells:
+    """Combinations of codes with their sums, as arrays."""
+
+    codes: dict[str, np.ndarray]
+    sums: dict[str, np.ndarray]
+
+    def scaled(self, factor: np.ndarray) -> LocalCells:
+        return LocalCells(self.codes, {s: v * factor ** _POWERS[s] if s in _POWERS else v for s, v in self.sums.items()})
+
+
+def at_hand(part: Cells, features: list[str]) -> LocalCells | None:
+    """The cells as arrays, or None if they are too many."""
+    if not part.summed or part.rows.count() > LOCAL_CELLS:
+        return None
+    table = part.rows.toArrow()
+    return LocalCells({f: table[code(f)].to_numpy() for f in features}, {s: table[s].to_numpy().astype(float) for s in part.sums})
 
 
 def scaled(part: Cells, factor: Column) -> Cells:
     """The same with each row's denominator times ``factor``, which must follow from the codes alone."""
-    powers = {"d": 1, "q": -1, "r": -1, "r2": -2}
-    new = {s: F.col(s) * F.pow(factor, F.lit(p)) if p != 1 else F.col(s) * factor for s, p in powers.items() if s in part.sums}
-    return Cells(part.rows.withColumns(new), part.sums, part.free)
+    new = {s: F.col(s) * F.pow(factor, F.lit(p)) if p != 1 else F.col(s) * factor for s, p in _POWERS.items() if s in part.sums}
+    return Cells(part.rows.withColumns(new), part.sums, part.free, part.summed)

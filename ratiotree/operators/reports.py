@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import poisson_error
+from ..functions.metrics import error_histogram, gini, normalized_gini, poisson_error, squares
 from ..functions.running import first_at_least
+from ..sources.workspace import Workspace
 
 #: Measures of a run, and whether the greatest or the least is best.
 MEASURES = {
     "correlation": max, "lift_trn": max, "lift_val": max, "reversals_trn": min, "reversals_val": min, "std_trn": max, "std_val": max, "std_ratio": max,
-    "rel_diff": min, "rel_diff_fitted": min, "poisson_error_trn": min, "poisson_error_val": min}
+    "rel_diff": min, "rel_diff_fitted": min, "min_relativity_trn": min, "max_relativity_trn": max, "min_observed_trn": min, "max_observed_trn": max,
+    "min_relativity_val": min, "max_relativity_val": max, "min_observed_val": min, "max_observed_val": max, "normalized_gini_trn": max, "normalized_gini_val": max,
+    "gini_trn": max, "gini_val": max, "r2_ratio_trn": max, "r2_ratio_val": max, "r2_trn": max, "r2_val": max, "rss_ratio_trn": min, "rss_ratio_val": min,
+    "rss_trn": min, "rss_val": min, "poisson_error_trn": min, "poisson_error_val": min}
 
 
 def band(score: Column, starts: list[int]) -> Column:
@@ -38,7 +42,7 @@ def grouped_stats(rows: DataFrame, group: str, estimate: str) -> DataFrame:
 
 def band_metrics(stats: DataFrame, group: str) -> DataFrame:
     """One row from ``grouped_stats``: correlation of the two parts' relativities; for each part lift (last relativity over first), reversals and
-    std (the weighted variance of the observed ratios around the total); the mean difference of relativities (rel_diff), and of validation
+    std (the weighted variance of the observed ratios around the total), least and greatest relativity and observed ratio; the mean difference of relativities (rel_diff), and of validation
     relativities from training fitted ratios (rel_diff_fitted), both weighted by the estimates of training rows.
     """
     rows = stats.where(F.col(group).isNotNull())
@@ -56,7 +60,8 @@ def band_metrics(stats: DataFrame, group: str) -> DataFrame:
         out += [
             F.try_divide(F.max(end)[f"relativity_{s}"], F.min(end)[f"relativity_{s}"]).alias(f"lift_{s}"),
             F.coalesce(F.sum(f"_falls_{s}"), F.lit(0)).alias(f"reversals_{s}"),
-            F.try_divide(F.sum(F.col(f"weight_{s}") * miss * miss), F.sum(f"weight_{s}")).alias(f"std_{s}")]
+            F.try_divide(F.sum(F.col(f"weight_{s}") * miss * miss), F.sum(f"weight_{s}")).alias(f"std_{s}"),
+            *[f(f"{c}_{s}").alias(f"{n}_{c}_{s}") for n, f in (("min", F.min), ("max", F.max)) for c in ("relativity", "observed")]]
     mean = lambda x: F.try_divide(F.sum(x * F.col("estimated_trn")), F.sum("estimated_trn"))
     out += [mean(F.abs(F.col("relativity_trn") - F.col("relativity_val"))).alias("rel_diff"), mean(F.abs(F.col("relativity_val") - F.col("fitted_trn"))).alias("rel_diff_fitted")]
     return wide.agg(*out).withColumn("std_ratio", F.try_divide("std_val", "std_trn"))
@@ -69,6 +74,33 @@ def error_row(rows: DataFrame) -> dict:
     return row.asDict()
 
 
+def measures_row(rows: DataFrame, group: str, ginis: bool = True) -> dict:
+    """All measures of rows with numerator, denominator, weight, estimate (a ratio), is_train and a group: those of ``band_metrics``, Poisson errors, and
+    for each part residual squares and R2 of numerators and of ratios, and the ginis; ``ginis`` False leaves those out, as they need an order over all rows.
+    """
+    out = band_metrics(grouped_stats(rows, group, "estimate"), group).first().asDict() | error_row(rows)
+    guess = rows.withColumn("_guess", F.col("estimate") * F.col("denominator"))
+    for s, part in (("trn", guess.where("is_train")), ("val", guess.where(~F.col("is_train")))):
+        found = squares(part, "numerator", "denominator", "_guess").first()
+        out |= {f"{name}_{s}": found[name] for name in ("r2_ratio", "r2", "rss_ratio", "rss")}
+        if ginis:
+            work = Workspace(rows.sparkSession)
+            out[f"normalized_gini_{s}"] = normalized_gini(part, "numerator", "estimate", work).first()["normalized"]
+            out[f"gini_{s}"] = gini(part, "_guess", work).first()["gini"]
+            work.delete()
+    return out
+
+
+def numerator_errors(rows: DataFrame, truth: str, estimates: list[str], step: float = 0.001) -> DataFrame:
+    """estimate, upto, n, share, cumulative: for each of several estimated numerators the rows by absolute error relative to the estimate, in steps up to 100 % and one bin above."""
+    parts = [error_histogram(rows, truth, e, step).withColumn("estimate", F.lit(e)) for e in estimates]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    total = Window.partitionBy("estimate")  # at most 1 / step + 1 rows each
+    return out.select("estimate", "bin", "upto", "n", F.try_divide("n", F.sum("n").over(total)).alias("share"), "cumulative")
+
+
 def univariate(rows: DataFrame, features: list[str], estimate: str, score: str | None = None) -> DataFrame:
     """feature, level, weight, numerator, denominator, observed, fitted, difference, score: every level of every feature in one aggregate."""
     pairs = ", ".join(f"'{f}', cast(`{f}` as string)" for f in features)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.running import ranked
 from ..settings import ModelSettings
+from ..sources.workspace import Workspace
 from .boost import fit_bagged, fit_boosted, predict_bagged, predict_boosted
 from .prepare import Prepared
-from .reports import band, band_metrics, error_row, grouped_stats, stats_of_stats
+from .reports import band, measures_row, stats_of_stats
 from .sampling import fold, sampled
 from .tree import fit_tree, predict_tree
 
@@ -41,7 +42,7 @@ class Run:
     measures: dict
 
 
-def run_model(data: Prepared, settings: ModelSettings) -> Run:
+def run_model(data: Prepared, settings: ModelSettings, ginis: bool = True) -> Run:
     """Fit, score all rows, and measure."""
     settings.validate()
     if settings.model_type == "boosted_tree":
@@ -56,8 +57,7 @@ def run_model(data: Prepared, settings: ModelSettings) -> Run:
     else:
         model = fit_tree(data, settings)
         scored = predict_tree(data.rows, model).withColumn("estimate", F.col("fitted")).withColumn("group", F.col("leaf"))
-    measures = band_metrics(grouped_stats(scored, "group", "estimate"), "group").first().asDict()
-    return Run(model, scored, measures | error_row(scored))
+    return Run(model, scored, measures_row(scored, "group", ginis))
 
 
 def _attempts(jobs: list, threads: int) -> list[dict]:
@@ -79,9 +79,11 @@ def _table(spark, results: list[dict], first: str) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(rows, ", ".join([f"{first} int", *[f"{k} double" for k in names], "error string"]))
 
 
-def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValidation, threads: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(measures of each fold, statistics over folds)."""
+def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValidation, threads: int = 2, ginis: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(measures of each fold, statistics over folds). The prepared rows are written once, as each fold reads them several times."""
     base = data if options.use_all else data.where("is_train")
+    work = Workspace(data.rows.sparkSession)
+    base = replace(base, rows=work.write(base.rows))
     total = base.rows.count()
 
     def job(flag: Column, i: int):  # noqa: ANN202
@@ -90,16 +92,21 @@ def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValida
             own = settings
             if settings.min_weight > 0:  # an absolute weight follows the size of the training set
                 own = settings.update(min_weight=settings.min_weight * part.rows.where("is_train").count() / max(1, total))
-            return run_model(part, replace(own, seed=settings.seed + i)).measures
+            return run_model(part, replace(own, seed=settings.seed + i), ginis).measures
 
         return run
 
     found = _attempts([job(f, i) for i, f in enumerate(training_flags(base.rows, options, settings.seed))], threads)
+    work.delete()
     table = _table(data.rows.sparkSession, found, "fold")
     names = [c for c in table.columns if c not in ("fold", "error")]
     return table, stats_of_stats(table, names)
 
 
-def search(data: Prepared, options: list[ModelSettings], threads: int = 2) -> DataFrame:
-    """model, the measures of each of many settings."""
-    return _table(data.rows.sparkSession, _attempts([lambda s=s: run_model(data, s).measures for s in options], threads), "model")
+def search(data: Prepared, options: list[ModelSettings], threads: int = 2, ginis: bool = True) -> DataFrame:
+    """model, the measures of each of many settings. The prepared rows are written once, as each model reads them several times."""
+    work = Workspace(data.rows.sparkSession)
+    base = replace(data, rows=work.write(data.rows))
+    found = _attempts([lambda s=s: run_model(base, s, ginis).measures for s in options], threads)
+    work.delete()
+    return _table(data.rows.sparkSession, found, "model")

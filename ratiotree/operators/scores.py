@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,18 @@ class ScoreTable:
     observed: list[float]
     modelled: list[float]
     smoothed: list[float]
+    weights: list[float] = field(default_factory=list)  # of the training rows of each range
+    scores: int = 0  # the number asked for
+
+    def filled(self) -> list[dict]:
+        """A row for each score up to the number asked for: a range that holds the weight of several scores is repeated, with weight 0, until the next one's number."""
+        out = []
+        for i, first in enumerate(self.numbers):
+            last = self.numbers[i + 1] - 1 if i + 1 < len(self.numbers) else self.scores
+            for number in range(first if i else 1, last + 1):
+                upto = self.bounds[i] if i < len(self.bounds) else None
+                out.append({"score": number, "upto": upto, "weight": self.weights[i] if number == last else 0.0, "observed": self.observed[i], "modelled": self.modelled[i], "smoothed": self.smoothed[i]})
+        return out
 
     def place(self, relativity: Column) -> Column:
         return F.least(first_at_least(relativity, self.bounds), F.lit(len(self.observed)))
@@ -66,7 +78,7 @@ def score_table(rows: DataFrame, scores: int, from_ratios: bool = True, work: Wo
     quantiles = quantile_list(rows, "relativity", "weight", scores, work)
     cuts = sorted(set(quantiles))
     place = F.least(first_at_least(F.col("relativity"), cuts), F.lit(len(cuts)))
-    sums = rows.groupBy(place.alias("score")).agg(F.sum("numerator").alias("n"), F.sum("denominator").alias("d"), F.sum(F.col("estimate") * F.col("denominator")).alias("e"), F.max("relativity").alias("hi"), F.min("relativity").alias("lo"))
+    sums = rows.groupBy(place.alias("score")).agg(F.sum("numerator").alias("n"), F.sum("denominator").alias("d"), F.sum("weight").alias("w"), F.sum(F.col("estimate") * F.col("denominator")).alias("e"), F.max("relativity").alias("hi"), F.min("relativity").alias("lo"))
     found = sums.orderBy("score").collect()  # at most ``scores`` rows
     bounds = [(a["hi"] + b["lo"]) / 2 for a, b in zip(found, found[1:], strict=False)]
     observed = np.array([r["n"] / r["d"] if r["d"] else 0.0 for r in found])
@@ -77,4 +89,4 @@ def score_table(rows: DataFrame, scores: int, from_ratios: bool = True, work: Wo
     else:
         smoothed = smooth(observed) if len(observed) > 1 else observed
     numbers = [quantiles.index(cuts[r["score"] - 1]) + 1 for r in found]
-    return ScoreTable([float(b) for b in bounds], numbers, observed.tolist(), modelled.tolist(), [float(x) for x in smoothed])
+    return ScoreTable([float(b) for b in bounds], numbers, observed.tolist(), modelled.tolist(), [float(x) for x in smoothed], [float(r["w"]) for r in found], scores)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import ModelSettings
-from .histogram import Cells, cells, long_sums
+from .histogram import Cells, LocalCells, at_hand, cells, long_sums
 from .prepare import Prepared, code
 from .sampling import sampled
 from .splits import Split, best_split
@@ -133,31 +133,97 @@ def fit_tree(data: Prepared, settings: ModelSettings, rows: DataFrame | None = N
         rows = rows.where(sampled(rows, settings.sample_rows, int(rng.integers(1 << 31))))
     found = cells(rows, data.features, settings.criterion)
     try:
-        return grow(data, settings, found, rng)
+        return grow(data, settings, at_hand(found, data.features) or found, rng)
     finally:
         found.free()
 
 
-def grow(data: Prepared, settings: ModelSettings, base: Cells, rng: np.random.Generator) -> Tree:
-    """A tree on sums. Each level of it is one aggregate over the rows of open nodes, which carry their node's number from level to level."""
+class Frontier:
+    """The rows of open nodes, which carry their node's number from level to level; each level's sums are one aggregate over them."""
+
+    def __init__(self, base: Cells, features: list[str]):
+        self.features, self.wanted = features, base.sums
+        self.rows, self.held = base.rows.withColumn("node", F.lit(1).cast("long")), None
+
+    def sums(self, chosen: list[str], much: bool) -> dict | DataFrame:
+        """The open nodes' level sums; if they are too much for the driver, the table that has them."""
+        found = level_table(self.rows, chosen, self.wanted)
+        return found if much else _by_node(found.toArrow(), chosen)
+
+    def split(self, done: list[Node], still: frozenset[int]) -> None:
+        before, self.rows = self.held, advance(self.rows, done, self.features, still).persist(StorageLevel.MEMORY_AND_DISK)
+        if before is not None:
+            self.rows.count()  # kept before what it is made of goes
+            before.unpersist()
+        self.held = self.rows
+
+    def close(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+
+
+class LocalFrontier:
+    """The same for cells at hand."""
+
+    def __init__(self, base: LocalCells, pools: Counter):
+        self.base, self.pools = base, pools
+        self.node = np.ones(len(base.sums["c"]), dtype=np.int64)
+
+    def sums(self, chosen: list[str], much: bool) -> dict:
+        nodes, place = np.unique(self.node, return_inverse=True)
+        out: dict[int, dict] = {int(i): {} for i in nodes if i}
+        for f in chosen:
+            pool = self.pools[f]
+            key = place * pool + self.base.codes[f]
+            table = {s: np.bincount(key, v, len(nodes) * pool).reshape(-1, pool) for s, v in self.base.sums.items()}
+            for k, i in enumerate(nodes):
+                if i:
+                    codes = np.flatnonzero(table["c"][k])
+                    out[int(i)][f] = (codes, {s: v[k, codes] for s, v in table.items()})
+        return out
+
+    def split(self, done: list[Node], still: frozenset[int]) -> None:
+        new = np.zeros_like(self.node)
+        for n in done:
+            at = np.flatnonzero(self.node == n.id)
+            codes = self.base.codes[n.feature][at]
+            new[at] = 2 * n.id + ~(codes <= n.codes[0] if n.numeric else np.isin(codes, n.codes))
+        self.node = np.where(np.isin(new, list(still)), new, 0)
+
+    def close(self) -> None:
+        pass
+
+
+def leaves_of(tree: Tree, codes: dict[str, np.ndarray]) -> np.ndarray:
+    """The number of the leaf of each of some combinations of codes."""
+    node = np.ones(len(next(iter(codes.values()))), dtype=np.int64)
+    for n in sorted((n for n in tree.nodes.values() if n.feature), key=lambda n: n.id):
+        at = np.flatnonzero(node == n.id)
+        values = codes[n.feature][at]
+        node[at] = 2 * n.id + ~(values <= n.codes[0] if n.numeric else np.isin(values, n.codes))
+    number = {n.id: n.leaf for n in tree.leaves}
+    found, place = np.unique(node, return_inverse=True)
+    return np.array([number[int(i)] for i in found])[place]
+
+
+def grow(data: Prepared, settings: ModelSettings, base: Cells | LocalCells, rng: np.random.Generator) -> Tree:
+    """A tree on sums."""
     levels = data.levels.collect()  # at most MOST_LEVELS a feature
     pools = Counter(r["feature"] for r in levels)
     texts = {(r["feature"], r["code"]): r["text"] for r in levels}
     bounds = {(r["feature"], r["code"]): r["number"] for r in levels}
-    rows = base.rows.withColumn("node", F.lit(1).cast("long"))
     chosen = _sampled(data.features, settings.sample_features, rng)
-    found = level_table(rows, chosen, base.sums).toArrow()
-    sides = _by_node(found, chosen)
+    front = LocalFrontier(base, pools) if isinstance(base, LocalCells) else Frontier(base, data.features)
+    sides = front.sums(chosen, False)
     # every feature's levels add up to the node's rows, so the first pass also gives the root
     whole = {s: float(v.sum()) for s, v in next(iter(sides[1].values()))[1].items()} if sides else dict.fromkeys("ndwc", 0.0)
     tree = Tree({1: Node(1, 0, whole["n"], whole["d"], whole["w"], int(round(whole["c"])))}, data.features)
     root = tree.nodes[1]
     least = root.weight * -settings.min_weight if settings.min_weight < 0 else settings.min_weight
     open_nodes = [1] if sides and root.weight >= 2 * least and settings.max_depth > 0 else []
-    held: DataFrame | None = None
     while open_nodes:
         find = Search(chosen, set(data.numeric), dict(pools), settings, least, int(rng.integers(1 << 31)))
-        cuts = {i: find.best(i, sides[i]) for i in open_nodes if i in sides} if sides is not None else find.on_executors(found)
+        cuts = {i: find.best(i, sides[i]) for i in open_nodes if i in sides} if isinstance(sides, dict) else find.on_executors(sides)
         following, done = [], []
         for i in open_nodes:
             cut, node = cuts.get(i), tree.nodes[i]
@@ -179,15 +245,9 @@ def grow(data: Prepared, settings: ModelSettings, base: Cells, rng: np.random.Ge
         if open_nodes:
             if not settings.random_only_at_root:
                 chosen = _sampled(data.features, settings.sample_features, rng)
-            rows = advance(rows, done, data.features, frozenset(open_nodes)).persist(StorageLevel.MEMORY_AND_DISK)
-            found = level_table(rows, chosen, base.sums)
-            if len(open_nodes) * sum(pools[f] for f in chosen) <= DRIVER_LEVELS:
-                sides = _by_node(found.toArrow(), chosen)
-            else:  # too many sums for the driver: each node's split is found where its sums are
-                sides = None
-        if held is not None:
-            held.unpersist()
-        held = rows if open_nodes else None
+            front.split(done, frozenset(open_nodes))
+            sides = front.sums(chosen, len(open_nodes) * sum(pools[f] for f in chosen) > DRIVER_LEVELS)
+    front.close()
     for number, leaf in enumerate(sorted((n for n in tree.nodes.values() if n.feature is None), key=lambda n: (n.ratio, n.id)), 1):
         leaf.leaf = number
     return tree

@@ -136,3 +136,10 @@ def test_tie_goes_to_the_earlier_feature_and_the_lighter_side_is_left():
     b = splits.best_split({"t": flip}, set(), {"t": 2}, "difference", 1.0, 7)
     assert a.feature == "x" and b.left == [1] and b.left_weight == 3.0
     assert splits.best_split({"x": part}, {"x"}, {"x": 2}, "difference", 4.0, 7) is None
+
+
+def test_many_levels_are_searched_or_refused(spark):
+    rows = lambda k: spark.createDataFrame([(1, "f", f"{i:02}", 1.0, float(i % 5 + 1), 2.0, 1.0) for i in range(k)], "node long, feature string, level string, c double, n double, d double, w double")
+    assert splits.subset_candidates(rows(13), "difference", 0.0).count() == 2**12 - 1
+    with pytest.raises(Exception, match="too many to try all subsets"):
+        splits.subset_candidates(rows(splits.MOST_SUBSET_LEVELS + 1), "difference", 0.0).count()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratiotree.operators import boost, reports, tree
+from ratiotree.operators import boost, histogram, reports, tree
 from ratiotree.operators.prepare import prepare
 from ratiotree.operators.resample import CrossValidation, cross_validate, run_model, search, training_flags
 from ratiotree.operators.scores import local_line, smooth
@@ -56,6 +56,38 @@ def test_partitions_do_not_matter(data):
     assert shapes[0] == shapes[1] == shapes[2]
 
 
+@pytest.mark.parametrize("criterion", ["gammadeviance", "mse"])
+def test_paths_of_growth_agree(data, monkeypatch, criterion):
+    """Cells on the driver, cells on executors, rows, and the search where the sums are: one tree."""
+    settings = ModelSettings(criterion=criterion, min_weight=-0.06, random_top=0.3, random_only_at_root=False)
+    boosting = settings.update(model_type="boosted_tree", criterion="difference" if criterion.startswith("mse") else criterion, iterations=2, random_top=0.0, n_scores=10, score_bands=[1])
+    few = type(data)(data.rows, data.levels, ["power"], ["area", "odd"])
+    shape = lambda t: [(i, n.feature, n.codes, n.count) for i, n in sorted(t.nodes.items())]
+    steps = lambda m: [shape(t) for t in m.trees]
+    want, boosted = shape(tree.fit_tree(few, settings)), steps(boost.fit_boosted(few, boosting))
+    monkeypatch.setattr(histogram, "LOCAL_CELLS", 0)
+    assert shape(tree.fit_tree(few, settings)) == want and steps(boost.fit_boosted(few, boosting)) == boosted
+    monkeypatch.setattr(histogram, "WORTH", 1e9)
+    assert shape(tree.fit_tree(few, settings)) == want and steps(boost.fit_boosted(few, boosting)) == boosted
+    monkeypatch.setattr(tree, "DRIVER_LEVELS", 0)
+    assert shape(tree.fit_tree(few, settings)) == want
+
+
+def test_refused_rows(data):
+    wrong = {"poisson": "numerator - 1", "gamma": "-numerator - 1"}
+    for criterion, numerator in wrong.items():
+        with pytest.raises(ValueError, match="negative numerator"):
+            tree.fit_tree(type(data)(data.rows.withColumn("numerator", F.expr(numerator)), data.levels, data.numeric, data.categorical), ModelSettings(criterion=criterion))
+    for criterion in ("sse", "mse"):
+        with pytest.raises(ValueError, match="denominator 0"):
+            tree.fit_tree(type(data)(data.rows.withColumn("denominator", F.expr("if(key = '1', 0D, denominator)")), data.levels, data.numeric, data.categorical), ModelSettings(criterion=criterion))
+
+
+def test_inverse_weights():
+    assert boost.inverse_weights([1.0, 2.0]) == pytest.approx([2 / 3, 1 / 3])
+    assert boost.inverse_weights([0.5, 0.0, None]) == pytest.approx([1 / 3] * 3) and boost.inverse_weights([0.0, None]) == [0.5, 0.5]
+
+
 def test_first_split_equals_brute_force(data):
     model = tree.fit_tree(data, ModelSettings(min_weight=-0.1, max_depth=1))
     rows = data.rows.where("is_train").toPandas()
@@ -115,7 +147,15 @@ def test_boosting_improves_on_training_rows(data, boosted):
     got = scored.where("is_train").groupBy("score").agg((F.sum("numerator") / F.sum("denominator")).alias("o"), F.max("unsmoothed").alias("u")).collect()
     assert all(r.o == pytest.approx(r.u) for r in got)
     assert boost.Boosted.from_json(boosted.to_json()).to_json() == boosted.to_json()
-    assert boost.iteration_matrix(data.rows, boosted).count() == 4 * 1500
+    tables = boost.score_tables(data, boosted, 30)
+    long = boost.iteration_matrix(data.rows, boosted, tables=tables)
+    last = long.where("iteration = 4").join(scored.select("key", "raw", "smoothed"), "key")
+    assert long.count() == 4 * 1500 and last.where("abs(estimate - raw) > 1e-9 or abs(estimate_from_score - smoothed) > 1e-9").count() == 0
+    filled = table.filled()
+    assert len(filled) == 30 and sum(r["weight"] > 0 for r in filled) == len(table.observed) and [r["smoothed"] for r in filled] == sorted(r["smoothed"] for r in filled)
+    assert sum(r["weight"] for r in filled) == pytest.approx(data.rows.where("is_train").agg(F.sum("weight")).first()[0])
+    used = boost.levels_used(boosted, data)
+    assert used.where("used").select("feature").distinct().count() == len({f for t in boosted.trees for f in t.levels_used()})
 
 
 def test_one_step_of_boosting(data):
@@ -176,6 +216,7 @@ def test_cross_validation_and_search(spark, data):
     assert found.where("error is null").count() == 2 and reports.best(found.where("error is null"), "lift_val").count() == 1
     with pytest.raises(ValueError):
         reports.best(found, "nope")
+    assert set(reports.MEASURES) <= set(table.columns) and table.where("gini_trn is null or rss_ratio_val is null or min_observed_trn is null").count() == 0
 
 
 def test_stream_scoring(spark, data, tmp_path):

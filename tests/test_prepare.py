@@ -1,4 +1,7 @@
+import hashlib
 import random
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from ratiotree.functions import running
 from ratiotree.functions.running import all_weighted_quantiles, first_at_least, running_sums
 from ratiotree.operators import prepare as P
+from ratiotree.operators import sampling
 from ratiotree.settings import ModelSettings, grid, stats_columns
 from ratiotree.sources import tables
 
@@ -78,6 +82,40 @@ def test_running_sums_and_places(spark):
         assert all(x.k == int(np.searchsorted(bounds, x.v)) + 1 for x in places)
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_samples_and_folds_are_exact(spark, monkeypatch, few):
+    monkeypatch.setattr(sampling, "FEW", few)
+    df = spark.range(1003).withColumn("key", F.col("id").cast("string")).withColumn("key", F.expr("if(id = 1002, null, key)"))
+    hashes = sorted(int(hashlib.md5(f"{i}:5".encode()).hexdigest()[:15], 16) for i in range(1002))
+    got = sampling.cutoffs(df, sampling.hashed(F.col("key"), 5), lambda n: [0, 1, 17, 500, n])
+    assert got == [-1, hashes[0], hashes[16], hashes[499], hashes[-1]]
+    sizes = {r[0]: r[1] for r in df.where("key is not null").groupBy(sampling.fold(df, 4, 5).alias("f")).count().collect()}
+    assert [sizes[i] for i in range(4)] == [250, 251, 251, 250]
+    assert df.where(sampling.sampled(df, 0.25, 9)).count() == 250 and sampling.cutoffs(df.where("false"), sampling.hashed(F.col("key"), 5), lambda n: [n]) == [-1]
+
+
+def test_late_strings_are_not_lost(spark):
+    df = spark.range(20_000).select(F.expr("if(id < 15000, cast(id as string), 'x')").alias("a"), F.col("id").cast("string").alias("b"), F.lit(None).cast("string").alias("c"))
+    assert dict(tables.typed(df).dtypes) == {"a": "string", "b": "double", "c": "string"}
+    assert tables.typed(df, 0.7).where("a is null").count() == 5000
+
+
+def test_ranks_of_many_values(spark):
+    df = spark.range(5000).select((F.col("id") % 2500).alias("v")).union(spark.createDataFrame([(None,)], "v long"))
+    got = P.ranks(df, "v", "place")
+    assert got.count() == 5000 and got.where("place <> v + 1").count() == 0
+
+
+def test_archives(tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    packed = tables.zip_files([str(tmp_path / "a.txt")], str(tmp_path / "a.zip"))
+    assert [Path(f).read_text() for f in tables.unzip_files(packed, str(tmp_path / "out"))] == ["x"]
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as bad:
+        bad.writestr("../b.txt", "y")
+    with pytest.raises(ValueError):
+        tables.unzip_files(str(tmp_path / "bad.zip"), str(tmp_path / "out"))
+
+
 def test_split_does_not_depend_on_partitions(table):
     a = {r.id: r.is_train for r in P.exact_split(table, "id", 0.35, 3).collect()}
     b = {r.id: r.is_train for r in P.exact_split(table.repartition(13), "id", 0.35, 3).collect()}
