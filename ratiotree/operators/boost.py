@@ -137,6 +137,23 @@ def score_tables(data: Prepared, model: Boosted, scores: int, from_ratios: bool
     return out
 
 
+def iteration_measures(data: Prepared, model: Boosted, starts: list[int], scores: int, ginis: bool = True) -> DataFrame:
+    """iteration and all measures of a run after each iteration, over the bands of its scores that begin at ``starts``; iteration 0 is the mean alone, in one band."""
+    from .reports import MEASURES, band, measures_row
+
+    work = Workspace(data.rows.sparkSession)
+    rows, found = data.rows.withColumn("estimate", F.lit(model.mean)), []
+    found.append({"iteration": 0, **measures_row(rows.withColumn("_band", F.lit(1)), "_band", ginis)})
+    for i, (tree, rate, table) in enumerate(zip(model.trees, model.rates, score_tables(data, model, scores), strict=True), 1):
+        rows = work.write(multiplied(rows, tree, rate, by_code=True))
+        score = table.look_up(table.place(F.col("estimate") / F.lit(model.mean)), table.numbers)
+        found.append({"iteration": i, **measures_row(rows.withColumn("_band", band(score, starts)), "_band", ginis)})
+    work.delete()
+    names = [n for n in MEASURES if ginis or "gini" not in n]
+    table = [(r["iteration"], *[None if r.get(n) is None else float(r[n]) for n in names]) for r in found]
+    return data.rows.sparkSession.createDataFrame(table, ", ".join(["iteration int", *[f"{n} double" for n in names]]))
+
+
 def levels_used(model: Boosted, data: Prepared) -> DataFrame:
     """feature, code, number, text, used: whether any split of the model takes the level to its left side, or, for numbers, ends there."""
     found = {(n.feature, c) for t in model.trees for n in t.nodes.values() if n.feature for c in n.codes}

@@ -71,6 +71,18 @@ def known_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.*").distinct()
 
 
+def without_noise(value: Column, eps: float = 2.0**-52) -> Column:
+    """Numbers that rounding left next to 0, less than two machine steps away, as 0."""
+    return F.when(F.abs(value) < 2 * eps, F.lit(0.0)).otherwise(value)
+
+
+def capped(value: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Numbers beyond the bounds as the bounds; null stays null."""
+    if low is not None:
+        value = F.when(value < low, F.lit(float(low))).otherwise(value)
+    return F.when(value > high, F.lit(float(high))).otherwise(value) if high is not None else value
+
+
 def ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the place of the value of ``column`` among its different values, from 1, whatever their number; rows without a value go."""
     return ranked(df.where(F.col(column).isNotNull()), column, name)

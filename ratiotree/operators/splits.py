@@ -110,6 +110,15 @@ def feature_splits(sums: dict[str, np.ndarray], codes: np.ndarray, numeric: bool
     return [(settled(float(value[i])), [int(codes[j]) for j in sets[i]], float(left["w"][i])) for i in np.flatnonzero(fit)]
 
 
+def all_splits(node: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]], numeric: set[str], pools: dict[str, int], criterion: str, least: float, sort_above: int) -> list[Split]:
+    """Every feasible split of every feature of a node, the best first; ties in the order of features and search."""
+    found = []
+    for feature, (codes, sums) in node.items():
+        weight = float(sums["w"].sum())
+        found += [Split(feature, feature in numeric, left, value, wl, weight - wl) for value, left, wl in feature_splits(sums, codes, feature in numeric, criterion, least, sort_above, pools[feature])]
+    return sorted(found, key=lambda s: -s.value)
+
+
 def best_split(node: dict[str, tuple[np.ndarray, dict[str, np.ndarray]]], numeric: set[str], pools: dict[str, int], criterion: str, least: float, sort_above: int, top: float = 0.0, rng: np.random.Generator | None = None) -> Split | None:
     """The best split over features: greatest value, ties to the earlier feature and the earlier split. With ``top``, one of the best so large share, by ``rng``."""
     found: list[tuple[float, int, int, str, list[int], float, float]] = []

@@ -222,7 +222,7 @@ def grow(data: Prepared, settings: ModelSettings, base: Cells | LocalCells, rng:
     least = root.weight * -settings.min_weight if settings.min_weight < 0 else settings.min_weight
     open_nodes = [1] if sides and root.weight >= 2 * least and settings.max_depth > 0 else []
     while open_nodes:
-        find = Search(chosen, set(data.numeric), dict(pools), settings, least, int(rng.integers(1 << 31)))
+        find = Search(chosen, set(data.numeric), dict(pools), settings, least, int(rng.integers(1 << 31)) if settings.random_top else 0)
         cuts = {i: find.best(i, sides[i]) for i in open_nodes if i in sides} if isinstance(sides, dict) else find.on_executors(sides)
         following, done = [], []
         for i in open_nodes:

@@ -7,18 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.running import first_at_least, weighted_quantiles
 from ..operators import prepare, reports, reserving, splits
-from ..operators.boost import Boosted, fit_bagged, fit_boosted, iteration_matrix, predict_bagged, predict_boosted
+from ..operators.boost import Boosted, fit_bagged, fit_boosted, iteration_matrix, levels_used, predict_bagged, predict_boosted
 from ..operators.histogram import level_sums, sums_of
 from ..operators.resample import CrossValidation, cross_validate, search
 from ..operators.sampling import fold
 from ..operators.tree import apply_tree, fit_tree, importance_table
 from ..settings import ModelSettings, grid
+from . import oracle
 from .export import tree_sql
 
 TRAIN = "(l_orderkey * 7 + l_linenumber * 13 + l_partkey * 3) % 10 < 7"
@@ -88,6 +90,20 @@ def rare_level_recode(spark, sf_dir):  # noqa: ANN001, ANN201
     return prepare.others(table(spark, sf_dir, "part"), "p_brand", 10, "other").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""with b as (select p_brand, row_number() over (order by count(*) desc, p_brand) as k from part group by 1), t as (select p_type, row_number() over (order by count(*) desc, p_type) as k from part group by 1)
+select case when b.k <= 3 then p_brand else '~' end as p_brand, case when t.k <= 3 then p_type else '~' end as p_type, count(*) as n from part join b using (p_brand) join t using (p_type) group by 1, 2""")
+def recode_all(spark, sf_dir):  # noqa: ANN001, ANN201
+    return prepare.others_in_all(table(spark, sf_dir, "part").select("p_brand", "p_type"), 4).groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with x as (select l_linenumber, (0.1 + l_discount) - 0.1 - l_discount as v from (select l_linenumber, cast(l_discount as double) as l_discount from lineitem))
+select l_linenumber, count(*) filter (case when abs(v) < 2 * pow(2, -52) then 0 else v end = 0) as zeros from x group by 1""")
+def clamp_noise(spark, sf_dir):  # noqa: ANN001, ANN201
+    d = F.col("l_discount")
+    items = table(spark, sf_dir, "lineitem").withColumn("v", prepare.without_noise((F.lit(0.1) + d) - F.lit(0.1) - d))
+    return items.groupBy("l_linenumber").agg(F.count_if(F.col("v") == 0).alias("zeros"))
+
+
 @query("""select distinct 'p_brand' as feature, upper(p_brand) as level from part union all select distinct 'p_type', upper(p_type) from part""")
 def known_levels(spark, sf_dir):  # noqa: ANN001, ANN201
     return prepare.known_levels(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
@@ -128,7 +144,7 @@ def sanity_counts(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query("""select l_linenumber, count(*) as n, round(sum(least(l_quantity, 40)), 4) as capped from lineitem group by 1""")
 def cap_outliers(spark, sf_dir):  # noqa: ANN001, ANN201
-    items = table(spark, sf_dir, "lineitem").withColumn("c", F.least("l_quantity", F.lit(40.0)))
+    items = table(spark, sf_dir, "lineitem").withColumn("c", prepare.capped(F.col("l_quantity"), high=40.0))
     return items.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c"), 4).alias("capped"))
 
 
@@ -261,34 +277,68 @@ def tree_depth2_leaves(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(tree.leaf_table(spark).select("leaf", "weight", "ratio"))
 
 
-@query()
+#: Levels that the SQL of trees is unrolled to; trees end sooner, as each leaf has a share of the weight.
+DEPTH = 12
+_TREE_SQL = f"with {ROWS_SQL}, {oracle.cells('r')}, {oracle.tree('t', 'cells', 'poissondeviance', 0.05, DEPTH)}"
+_LEAF_ROWS = "x as (select t.*, leaf, ratio as estimate from t join t_leaves using (node))"
+
+
+def _band_columns(source: str, more: str = "") -> str:
+    """The measures of bands, rounded like ``_band_rounded``."""
+    places = {"correlation": 6, "std_trn": 12, "std_val": 12, "std_ratio": 6}
+    columns = [f"cast({c} as bigint) as {c}" if c.startswith("reversals") else f"round({c}, {places.get(c, 9)}) as {c}" for c in oracle.BAND_MEASURES]
+    return f"select {more}{', '.join(columns)} from {source}"
+
+
+def _band_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, correlation=6, std_trn=12, std_val=12, std_ratio=6)
+
+
+def _group_columns(source: str, group: str) -> str:
+    return f"""select case when tot = 0 then grp end as {group}, is_train, weight, round(numerator, 4) as numerator, round(denominator, 4) as denominator, round(observed, 9) as observed, round(estimated, 4) as estimated,
+  round(fitted, 9) as fitted, round(relativity, 9) as relativity from {source}"""
+
+
+def _group_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, numerator=4, denominator=4, estimated=4)
+
+
+@query(f"""{_TREE_SQL} select leaf, node, depth, n_rows, weight, round(numerator, 4) as numerator, round(denominator, 4) as denominator, round(ratio, 9) as ratio,
+coalesce((select string_agg(rule, ' and ' order by above) from t_paths p where p.node = l.node), '') as rule from t_leaves l""")
 def tree_leaves(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rounded(_tree(spark, sf_dir)[1].leaf_table(spark), 6)
+    return _group_rounded(_tree(spark, sf_dir)[1].leaf_table(spark))
 
 
-@query()
+@query(f"""with {ROWS_SQL}, {oracle.cells('r')}, {oracle.tree('t', 'cells', 'difference', 0.05, 18)}
+select leaf, node, depth, n_rows, weight, round(numerator, 4) as numerator, round(denominator, 4) as denominator, round(ratio, 9) as ratio,
+coalesce((select string_agg(rule, ' and ' order by above) from t_paths p where p.node = l.node), '') as rule from t_leaves l""")
+def tree_leaves_difference(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _group_rounded(_tree(spark, sf_dir, criterion="difference")[1].leaf_table(spark))
+
+
+@query(f"{_TREE_SQL}, {_LEAF_ROWS}, {oracle.grouped('x', 'st', 'leaf')} {_group_columns('st', 'leaf')}")
 def leaf_segments(spark, sf_dir):  # noqa: ANN001, ANN201
     data, tree = _tree(spark, sf_dir)
-    return rounded(reports.grouped_stats(apply_tree(data.rows, tree), "leaf", "fitted"), 6)
+    return _group_rounded(reports.grouped_stats(apply_tree(data.rows, tree), "leaf", "fitted"))
 
 
-@query()
+@query(f"{_TREE_SQL}, {_LEAF_ROWS}, {oracle.grouped('x', 'st', 'leaf')}, {oracle.band_measures('st', 'm')} {_band_columns('m')}")
 def tree_measures(spark, sf_dir):  # noqa: ANN001, ANN201
     data, tree = _tree(spark, sf_dir)
-    return rounded(reports.band_metrics(reports.grouped_stats(apply_tree(data.rows, tree), "leaf", "fitted"), "leaf"), 6)
+    return _band_rounded(reports.band_metrics(reports.grouped_stats(apply_tree(data.rows, tree), "leaf", "fitted"), "leaf"))
 
 
-@query()
+@query(f"{_TREE_SQL}, {oracle.importance(['t_paths'])} select {oracle.feature_name('f')} as feature, round(importance, 9) as importance from importance")
 def variable_importance(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(importance_table([_tree(spark, sf_dir)[1]], spark))
 
 
-@query()
+@query(f"{_TREE_SQL}, {oracle.importance(['t_paths'], pairs=True)} select {oracle.feature_name('f')} as feature, {oracle.feature_name('g')} as other, round(importance, 9) as importance from importance")
 def variable_importance_pairs(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(importance_table([_tree(spark, sf_dir)[1]], spark, pairs=True))
 
 
-@query()
+@query(f"{_TREE_SQL}, {_LEAF_ROWS} select leaf, cast(sum(c) as bigint) as n, cast(sum(c) as bigint) as agree from x group by 1")
 def predict_by_sql_text(spark, sf_dir):  # noqa: ANN001, ANN201
     """Rows where the exported SQL and the model agree."""
     data, tree = _tree(spark, sf_dir)
@@ -303,7 +353,9 @@ def partial_dependence(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(reports.partial_dependence(rows(spark, sf_dir), "l_quantity", [10.0, 20.0, 30.0, 40.0, 50.0], lambda df: df.withColumn("fitted", fixed)))
 
 
-@query()
+@query(f"""{_TREE_SQL}, levels as (select unnest([1.0, 13.0, 25.0, 38.0, 50.0]::double[]) as level),
+fixed as (select level, level as l_quantity, l_tax, l_linenumber, l_returnflag, l_linestatus, sum(c) as c from cells, levels group by all),
+{oracle.applied('p', 't', 'fixed', DEPTH)} select level, round(sum(c * fitted) / sum(c), 9) as mean from p group by 1""")
 def partial_dependence_tree(spark, sf_dir):  # noqa: ANN001, ANN201
     data, tree = _tree(spark, sf_dir)
     return rounded(reports.partial_dependence(data.rows, "l_quantity", [1.0, 13.0, 25.0, 38.0, 50.0], lambda df: apply_tree(df, tree)))
@@ -321,6 +373,9 @@ def _boosted(spark: SparkSession, sf_dir: str) -> tuple[prepare.Prepared, Booste
     return data, fit_boosted(data, _boost_settings())
 
 
+_BOOST_SQL = f"with {ROWS_SQL}, {oracle.cells('r')}, {oracle.boosted('cells', 3, 0.3, 0.1, 9)}"
+
+
 @query(f"""with {ROWS_SQL}, m as (select sum(n) / sum(d) as mean from r where is_train), e as (select r.*, mean, mean * d as ed from r, m),
 p as (select l_quantity as level, sum(sum(n)) over up as ln, sum(sum(ed)) over up as ld, sum(sum(w)) over up as wl, sum(sum(n)) over () as tn, sum(sum(ed)) over () as td, sum(sum(w)) over () as tw
   from e where is_train group by 1 window up as (order by l_quantity rows between unbounded preceding and current row)),
@@ -335,36 +390,73 @@ def boost_one_iteration(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(scored.groupBy((F.col("l_quantity") <= root.bound).alias("is_left"), "is_train").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("estimate")))
 
 
-@query()
+@query(f"""{_BOOST_SQL}, {oracle.scores('e3', 20)} select cast(score as integer) as score, is_train, cast(sum(c) as bigint) as n_rows, round(min(e), 9) as least, round(max(e), 9) as most,
+round(max(unsmoothed), 9) as unsmoothed, round(max(smoothed), 9) as smoothed from scored group by 1, 2""")
 def boosted_scores(spark, sf_dir):  # noqa: ANN001, ANN201
     data, model = _boosted(spark, sf_dir)
     out = predict_boosted(data.rows, model).groupBy("score", "is_train").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("least"), F.max("raw").alias("most"), F.max("unsmoothed").alias("unsmoothed"), F.max("smoothed").alias("smoothed"))
-    return rounded(out, 6)
+    return rounded(out)
 
 
-@query()
+@query(f"""{_BOOST_SQL}, {oracle.scores('e3', 20)}, x as (select * exclude (d), d0 as d, e as estimate, cast(1 + cast(score > 5.5 as integer) + cast(score > 10.5 as integer) + cast(score > 15.5 as integer) as integer) as band from scored),
+{oracle.grouped('x', 'st', 'band')} {_group_columns('st', 'band')}""")
 def boosted_bands(spark, sf_dir):  # noqa: ANN001, ANN201
     data, model = _boosted(spark, sf_dir)
     scored = predict_boosted(data.rows, model).withColumn("band", reports.band(F.col("score"), [1, 6, 11, 16]))
-    return rounded(reports.grouped_stats(scored, "band", "raw"), 6)
+    return _group_rounded(reports.grouped_stats(scored, "band", "raw"))
 
 
-@query()
+@query(f"{_BOOST_SQL} " + " union all ".join(f"select {i} as iteration, leaf, cast(sum(c) as bigint) as n_rows, round(sum(c * e) / sum(c), 9) as estimate from e{i} group by 2" for i in (1, 2, 3)))
 def boosted_iterations(spark, sf_dir):  # noqa: ANN001, ANN201
     data, model = _boosted(spark, sf_dir)
-    return iteration_matrix(data.rows, model).groupBy("iteration", "leaf").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("estimate"), 6).alias("estimate"))
+    return iteration_matrix(data.rows, model).groupBy("iteration", "leaf").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("estimate"), 9).alias("estimate"))
 
 
-@query()
+@query(f"{_BOOST_SQL}, {oracle.importance(['b1_paths', 'b2_paths', 'b3_paths'])} select {oracle.feature_name('f')} as feature, round(importance, 9) as importance from importance")
 def boosted_importance(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(importance_table(_boosted(spark, sf_dir)[1].trees, spark))
 
 
-@query()
+@query(f"""{_BOOST_SQL}, used as (select distinct feat, level from ({' union all '.join(f"select feat, unnest(case when bound is not null then [cast(bound as varchar)] else goes_left end) as level from b{i}_s{k}" for i in (1, 2, 3) for k in range(9))})),
+levels as ({' union all '.join(f"select distinct {i} as feat, cast({f'cast({f} as double)' if f in oracle.NUMERIC else f} as varchar) as level from cells" for i, f in enumerate(oracle.FEATURES))})
+select {oracle.feature_name('feat')} as feature, level, level in (select level from used u where u.feat = l.feat) as used from levels l""")
+def boosted_levels_used(spark, sf_dir):  # noqa: ANN001, ANN201
+    data, model = _boosted(spark, sf_dir)
+    return levels_used(model, data).select("feature", F.coalesce(F.col("number").cast("string"), "text").alias("level"), "used")
+
+
+@query(f"""{_BOOST_SQL}, {oracle.scores('e3', 20)}, weights as (select score, sum(w) as w from scored where is_train group by 1),
+steps as (select number, observed, smoothed, coalesce(lead(number) over (order by number) - 1, 20) as last, row_number() over (order by number) as k from smoothed)
+select cast(i as integer) as score, case when i = last then w else 0 end as weight, round(observed, 9) as observed, round(smoothed, 9) as smoothed
+from steps join weights on score = number, range(1, 21) t(i) where i <= last and (i >= number or k = 1)""")
+def scores_filled(spark, sf_dir):  # noqa: ANN001, ANN201
+    found = _boosted(spark, sf_dir)[1].scores.filled()
+    return rounded(spark.createDataFrame([(r["score"], r["weight"], r["observed"], r["smoothed"]) for r in found], "score int, weight double, observed double, smoothed double"))
+
+
+_KEY_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def _bagged_sql() -> str:
+    rng = np.random.default_rng(ModelSettings().seed)
+    parts, errors, last = [], [], "all_cells"
+    for i in range(3):
+        parts.append(f"h{i} as materialized (select *, {oracle.hashed(_KEY_SQL, int(rng.integers(1 << 31)))} as h from r where is_train)")
+        parts.append(f"i{i} as materialized (select *, h <= {oracle.cutoff(f'h{i}', 0.632)} as inside from h{i})")
+        parts.append(oracle.cells(f"i{i}", "inside", name=f"cells{i}"))
+        parts.append(oracle.tree(f"t{i}", f"cells{i}", "sse", 0.1, 9))
+        errors.append(f"select {i} as tree, 1 / (sum(r2 - 2 * ratio * r + ratio * ratio * c) / sum(c)) as u from t{i} join t{i}_leaves using (node) where not is_train")
+        parts.append(oracle.applied(f"a{i}", f"t{i}", last, 9, column=f"f{i}"))
+        last = f"a{i}"
+    return f"""with {ROWS_SQL}, {oracle.cells('r', name='all_cells')}, {', '.join(parts)}, weights as (select tree, u / sum(u) over () as u from ({' union all '.join(errors)}))
+select is_train, cast(sum(c) as bigint) as n_rows, round(sum(c * ({' + '.join(f'f{i} * (select u from weights where tree = {i})' for i in range(3))})) / sum(c), 9) as fitted from {last} group by 1"""
+
+
+@query(_bagged_sql())
 def bagged_trees(spark, sf_dir):  # noqa: ANN001, ANN201
     data = prepared(spark, sf_dir)
     model = fit_bagged(data, ModelSettings(model_type="bagged_tree", criterion="sse", min_weight=-0.1, iterations=3))
-    return predict_bagged(data.rows, model).groupBy("is_train").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("fitted"), 6).alias("fitted"))
+    return predict_bagged(data.rows, model).groupBy("is_train").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("fitted"), 9).alias("fitted"))
 
 
 _RELATIVITY = "0.8 + l_quantity / 100 + l_tax"
@@ -395,17 +487,10 @@ def band_stats_rollup(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(reports.grouped_stats(scored, "band", "est"), numerator=4, denominator=4, estimated=4)
 
 
-@query(f"""with {ROWS_SQL}, s as (select *, cast(ceil(l_quantity / 10) as integer) as band, d * ({_SCORED}) as e from r),
-t as (select sum(n) filter (is_train) / sum(d) filter (is_train) as ot, sum(n) filter (not is_train) / sum(d) filter (not is_train) as ov from s),
-b as (select band, sum(n) filter (is_train) / sum(d) filter (is_train) as zt, sum(n) filter (not is_train) / sum(d) filter (not is_train) as zv, sum(w) filter (is_train) as wt, sum(w) filter (not is_train) as wv,
-  sum(e) filter (is_train) as et, sum(e) filter (is_train) / sum(d) filter (is_train) as ft from s group by 1),
-x as (select *, zt / ot as rt, zv / ov as rv, zt / ot < lag(zt / ot) over (order by band) as xt, zv / ov < lag(zv / ov) over (order by band) as xv from b, t)
-select round(corr(rt, rv), 6) as correlation, round(arg_max(rt, band) / arg_min(rt, band), 9) as lift_trn, count(*) filter (xt) as reversals_trn, round(sum(wt * (zt - ot) * (zt - ot)) / sum(wt), 12) as std_trn,
-  round(arg_max(rv, band) / arg_min(rv, band), 9) as lift_val, count(*) filter (xv) as reversals_val, round(sum(wv * (zv - ov) * (zv - ov)) / sum(wv), 12) as std_val,
-  round(sum(abs(rt - rv) * et) / sum(et), 9) as rel_diff, round(sum(abs(rv - ft) * et) / sum(et), 9) as rel_diff_fitted, round(sum(wv * (zv - ov) * (zv - ov)) / sum(wv) / (sum(wt * (zt - ot) * (zt - ot)) / sum(wt)), 6) as std_ratio from x""")
+@query(f"""with {ROWS_SQL}, x as (select *, cast(ceil(l_quantity / 10) as integer) as band, {_SCORED} as estimate from r), {oracle.grouped('x', 'st', 'band')}, {oracle.band_measures('st', 'm')} {_band_columns('m')}""")
 def band_metrics(spark, sf_dir):  # noqa: ANN001, ANN201
     scored = rows(spark, sf_dir).withColumn("band", F.ceil(F.col("l_quantity") / 10).cast("int")).withColumn("est", F.expr(_SCORED))
-    return rounded(reports.band_metrics(reports.grouped_stats(scored, "band", "est"), "band"), correlation=6, std_trn=12, std_val=12, std_ratio=6)
+    return _band_rounded(reports.band_metrics(reports.grouped_stats(scored, "band", "est"), "band"))
 
 
 @query(f"""with {ROWS_SQL}, s as (select is_train, n as t, d * ({_SCORED}) as e from r)
@@ -457,6 +542,14 @@ def abs_rel_error_hist(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(metrics.error_histogram(scored, "numerator", "est", 0.05, 1.0), 6)
 
 
+@query(f"""with {ROWS_SQL}, s as (select estimate, least(floor(abs((n - e) / e) / 0.05), 20) as bin from (select n, d * ({_SCORED}) as e, 'first' as estimate from r union all select n, d * 0.05, 'second' from r)),
+c as (select estimate, cast(bin as integer) as bin, count(*) as n from s group by 1, 2)
+select estimate, bin, case when bin < 20 then round(cast((bin + 1) * 0.05 as double), 6) end as upto, n, round(n / sum(n) over (partition by estimate), 9) as share, cast(sum(n) over (partition by estimate order by bin) as bigint) as cumulative from c""")
+def numerator_errors(spark, sf_dir):  # noqa: ANN001, ANN201
+    scored = rows(spark, sf_dir).withColumns({"first": F.col("denominator") * F.expr(_SCORED), "second": F.col("denominator") * 0.05})
+    return rounded(reports.numerator_errors(scored, "numerator", ["first", "second"], 0.05), upto=6)
+
+
 @query(f"""with {ROWS_SQL}, s as (select * from (select 'l_returnflag' as feature, l_returnflag as level, n, d, w, d * ({_SCORED}) as e from r where is_train union all select 'l_linestatus', l_linestatus, n, d, w, d * ({_SCORED}) from r where is_train))
 select feature, level, sum(w) as weight, round(sum(n), 4) as numerator, round(sum(d), 4) as denominator, round(sum(n) / sum(d), 9) as observed, round(sum(e) / sum(d), 9) as fitted, round(sum(e) / sum(d) - sum(n) / sum(d), 9) as difference from s group by 1, 2""")
 def univariate_report(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -517,28 +610,62 @@ def kfold_stats(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(reports.stats_of_stats(each, ["train", "test"]))
 
 
+def _folds_sql(folds: int, seed: int) -> str:
+    """``folded``: r with fold; equal hashes stay together."""
+    cuts = " + ".join(f"cast(h > (select max(h) from keyed where i <= round({i} * m / {folds})) as integer)" for i in range(1, folds))
+    return f"keyed as materialized (select *, row_number() over (order by h) as i, count(*) over () as m from (select *, {oracle.hashed(_KEY_SQL, seed)} as h from r)), folded as materialized (select *, {cuts} as fold from keyed)"
+
+
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prepared(spark, sf_dir).rows
     return rows.withColumn("fold", fold(rows, 5, 1))
 
 
-@query()
+@query(f"with {ROWS_SQL}, {_folds_sql(5, 1)} select fold, count(*) as n_rows from folded group by 1")
 def kfold_sizes(spark, sf_dir):  # noqa: ANN001, ANN201
     return _folded(spark, sf_dir).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query()
+#: Decimal places of a run's measures, sums of squares apart, which are rounded in proportion.
+_RUN = [*oracle.BAND_MEASURES, *(f"{m}_{s}" for s in ("trn", "val") for m in ("poisson_error", "r2", "rss", "r2_ratio", "rss_ratio"))]
+_PLACES = {"correlation": 6, "std_trn": 12, "std_val": 12, "std_ratio": 6, "poisson_error_trn": 4, "poisson_error_val": 4, "rss_trn": -3, "rss_val": -3, "rss_ratio_trn": 6, "rss_ratio_val": 6}
+
+
+def _run_columns(source: str, more: str) -> str:
+    return f"select {more}, " + ", ".join(f"round(cast({c} as double), {_PLACES.get(c, 8)}) as {c}" for c in _RUN) + f", cast(null as varchar) as error from {source}"
+
+
+def _run_rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, _PLACES.get(c, 8)) for c in _RUN})
+
+
+def _cross_validation_sql() -> str:
+    parts = [oracle.cells("folded", "true", name="by_fold", more="fold,")]
+    for i in range(3):
+        parts += [f"cells{i} as materialized (select * replace (fold <> {i} as is_train) from by_fold)", oracle.tree(f"t{i}", f"cells{i}", "difference", 0.1, 3), oracle.run_measures(f"t{i}")]
+    return f"with {ROWS_SQL}, {_folds_sql(3, ModelSettings().seed)}, {', '.join(parts)} " + " union all ".join(_run_columns(f"t{i}_m", f"cast({i + 1} as integer) as fold") for i in range(3))
+
+
+@query(_cross_validation_sql())
 def cross_validation(spark, sf_dir):  # noqa: ANN001, ANN201
-    return rounded(cross_validate(prepared(spark, sf_dir), ModelSettings(min_weight=-0.1, max_depth=3), CrossValidation(3))[0].drop("error"), 6)
+    return _run_rounded(cross_validate(prepared(spark, sf_dir), ModelSettings(min_weight=-0.1, max_depth=3), CrossValidation(3), ginis=False)[0])
+
+
+def _grid_search_sql() -> str:
+    parts = []
+    options = [(least, criterion) for least in (0.1, 0.2) for criterion in ("difference", "sse")]
+    for i, (least, criterion) in enumerate(options):
+        parts += [oracle.tree(f"t{i}", "cells", criterion, least, 3), oracle.run_measures(f"t{i}")]
+    return f"with {ROWS_SQL}, {oracle.cells('r')}, {', '.join(parts)} " + " union all ".join(_run_columns(f"t{i}_m", f"cast({i + 1} as integer) as model") for i in range(len(options)))
 
 
-@query()
+@query(_grid_search_sql())
 def grid_search(spark, sf_dir):  # noqa: ANN001, ANN201
     options = grid(ModelSettings(max_depth=3), min_weight=[-0.1, -0.2], criterion=["difference", "sse"])
-    return rounded(search(prepared(spark, sf_dir), options).drop("error"), 6)
+    return _run_rounded(search(prepared(spark, sf_dir), options, ginis=False))
 
 
-@query()
+@query(f"""with o as (select {oracle.hashed('o_orderkey', 7)} as h from orders) select h <= {oracle.cutoff('o', 0.65)} as is_train, count(*) as n_rows from o group by 1""")
 def exact_resplit(spark, sf_dir):  # noqa: ANN001, ANN201
     return prepare.exact_split(table(spark, sf_dir, "orders"), "o_orderkey", 0.65, 7).groupBy("is_train").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -601,7 +728,19 @@ def concentration_curve(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(reserving.concentration(table(spark, sf_dir, "orders"), "o_totalprice", [0.01, 0.1, 0.5]))
 
 
-@query()
+def _reserves_sql() -> str:
+    parts, last, of = [], "paid_claims", ["o_orderpriority"]
+    for k in range(1, 5):
+        parts.append(f"y{k} as (select o_orderpriority, cast(p{k - 1} as double) as n, cast(p{k} as double) as d, cast(1 as double) as w from claims where p4 > 0 and ay <= {7 - k} and p{k} > 0)")
+        parts += [oracle.cells(f"y{k}", "true", of, f"cells{k}"), oracle.tree(f"t{k}", f"cells{k}", "difference", 0.1, 5, of), oracle.applied(f"a{k}", f"t{k}", last, 5, of, column=f"r{k}")]
+        last = f"a{k}"
+    to_date = "case least(8 - ay, 5) when 1 then p0 when 2 then p1 when 3 then p2 when 4 then p3 when 5 then p4 else 0 end"
+    rest = " * ".join(f"case when 8 - ay <= {k} then r{k} else 1 end" for k in range(1, 5))
+    return f"""with {_CLAIMS}, paid_claims as (select *, {to_date} as paid from claims where p4 > 0), {', '.join(parts)}
+select cast(ay as integer) as ay, round(sum(paid), 2) as paid, round(sum(paid / ({rest})), 2) as ultimate from {last} group by 1"""
+
+
+@query(_reserves_sql())
 def tree_reserves(spark, sf_dir):  # noqa: ANN001, ANN201
     claims = _claims(spark, sf_dir).where("p4 > 0")
     trees = reserving.development_trees(claims, "ay", COLUMNS, [], ["o_orderpriority"], 7, ModelSettings(min_weight=-0.1))
