@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from ratiotree.llm.exact import exact_duplicates
 
 
@@ -27,8 +29,23 @@ def test_equals_brute_force(spark):
     long = "".join(r.choices("abc", k=70_000))
     rows += [(1000, long), (1001, long + " "), (1002, long[:-1] + "x"), (1003, None), (1004, ""), (1005, "\t \x0b"), (1006, "\xa0"), (1007, long[:-1])]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, name string, len int")
-    for block in (16, 4096):
+    for block in (64, 4096):
         assert sorted(map(tuple, exact_duplicates(df, block).collect())) == brute(rows)
+    few = [(i, t and t[:500]) for i, t in rows]  # few bits: most names need ranks
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    assert sorted(map(tuple, exact_duplicates(df, 32, 3).collect())) == brute(few)
+
+
+def test_names_do_not_follow_partitions(spark):
+    from ratiotree.llm import exact
+
+    docs = spark.range(40).selectExpr("cast(repeat(concat('x', id), 50) as binary) as data")
+    parts = F.array(F.col("data"), F.substring("data", 1, 16))
+    found = []
+    for n in (1, 7):
+        named, names = exact._block_names(docs.repartition(n), parts, exact.Scratch(spark, "test"), 2)
+        found.append({bytes(x.data): x.names for x in named.select("data", names.alias("names")).collect()})
+    assert found[0] == found[1] and len({x[0] for x in found[0].values()}) == 40
 
 
 def test_one_large_group(spark):
