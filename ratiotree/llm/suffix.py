@@ -3,8 +3,12 @@
 A byte string of the least length holds a window of grams; the gram with the least hash is its anchor, the same wherever the
 string stands. The starts that share an anchor make a segment, so all copies of a string meet under one hash, on one
 executor. Segments equal to an earlier one are settled by their hashes. Where different segments share an anchor, their bytes go to shards; each
-shard is sorted by induced sorting (Nong, Zhang and Chan, 2009) and neighbours in its suffix array are compared in text order (permuted
-common prefixes), which shows every string that stands in an earlier place as well.
+shard is sorted by induced sorting (Nong, Zhang and Chan, 2009): suffixes are classified, leftmost-smaller substrings are sorted by induction and
+named, the string of names is sorted by the same means, and its order induces that of all suffixes, in time linear in the shard. The common
+prefixes of neighbours, permuted to text order, show every string that stands in an earlier place as well.
+
+An anchor with very many different segments is split by what stands next to it: two equal strings share half of what they hold besides the anchor on its
+left or on its right, so starts go by that half's bytes; parts that are still large are halved again, until the whole string is the key.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from .textscan import TABLE, U, mix, powers, slices, utf8
 LENGTH, GRAM = 100, 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE2 = 0xC2B2AE3D27D4EB4F
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
 BLOCK = 1 << 20
-SHARD = 2 << 20
+#: Bytes of a shard, and of the segments of one anchor beyond which it is split; a shard holds less than both together.
+SHARD, HOT = 1 << 20, 256 << 10
 _PLACE = U(BLOCK * 2 - 1)
 
 
@@ -52,8 +59,11 @@ def _anchors(data: np.ndarray, ok: np.ndarray, length: int, gram: int) -> tuple[
     stop = np.flatnonzero(ok & ~np.append(ok[1:] & (at[1:] == at[:-1]), False)) + 1
     size = stop - first
     end = stop + length - 1
-    body = mix((total[end] - total[first]) * back[first] + size.astype(U) * U(0xA24BAED4963EE407))
-    return first, size, g[at[first]], body
+    anchor = g[at[first]]
+    # another base: the two hashes that settle a segment do not fail together
+    np.cumsum(TABLE[data] * powers(_BASE2, n), out=total[1:])
+    body = mix((total[end] - total[first]) * powers(_INVERSE2, n + 1)[first] + size.astype(U) * U(0xA24BAED4963EE407))
+    return first, size, anchor, body
 
 
 def _later(anchor: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -89,47 +99,75 @@ def _scan(length: int, gram: int):
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by done, anchor, body, id, start -> those equal to an earlier one (open false), and the first of each body where an anchor has several (open true)."""
-    held: list | None = None  # the last first-of-a-body: its row, and whether it is open already
-    for batch in batches:
-        over = batch.filter(batch.column(5))
-        if over.num_rows:
-            yield pa.RecordBatch.from_arrays([*(over.column(i) for i in (0, 2, 3, 4)), pa.array(np.zeros(over.num_rows, dtype=bool))], names=["anchor", "id", "start", "size", "open"])
-        batch = batch.filter(pc.invert(batch.column(5)))
-        if not batch.num_rows:
-            continue
-        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-        anchor, body = c[0], c[1]
-        same = np.zeros(len(anchor), dtype=bool)
-        same[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
-        if held is not None:
-            same[0] = anchor[0] == held[0][0] and body[0] == held[0][1]
-        first = np.flatnonzero(~same)
-        rows, opens = [np.flatnonzero(same)], [np.zeros(int(same.sum()), dtype=bool)]
-        extra = None
-        if len(first):
-            fa = anchor[first]
-            near = np.zeros(len(first), dtype=bool)
-            near[1:] |= fa[1:] == fa[:-1]
-            near[:-1] |= fa[1:] == fa[:-1]
+def _settle(length: int, hot: int):
+    """Rows sorted by done, anchor, body, id, start -> those equal to an earlier one (open false), and the first of each body where an anchor has several (open true).
+
+    After an anchor whose open segments have more than ``hot`` bytes comes a row of size 0.
+    """
+    names = ["anchor", "id", "start", "size", "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # the last first-of-a-body: its row, and whether it is open already
+        weight = [0, 0]  # the anchor at hand, and the bytes of its open segments so far
+
+        def out(anchor, who, start, size, opens) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, who, start, size, opens)], names=names)
+            if not opens.any():
+                return
+            a, w = anchor[opens], size[opens].astype(np.int64) + (length - 1)
+            order = np.argsort(a, kind="stable")
+            a, w = a[order], w[order]
+            edge = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            sums = np.add.reduceat(w, edge)
+            a = a[edge]
+            if a[0] == weight[0]:
+                sums[0] += weight[1]
+            weight[:] = [int(a[-1]), int(sums[-1])]
+            large = sums > hot
+            if large.any():
+                k = int(large.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(a[large]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.zeros(k, np.int32)), pa.array(np.ones(k, dtype=bool))], names=names)
+
+        for batch in batches:
+            over = batch.filter(batch.column(5))
+            if over.num_rows:
+                yield pa.RecordBatch.from_arrays([*(over.column(i) for i in (0, 2, 3, 4)), pa.array(np.zeros(over.num_rows, dtype=bool))], names=names)
+            batch = batch.filter(pc.invert(batch.column(5)))
+            if not batch.num_rows:
+                continue
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            anchor, body = c[0], c[1]
+            same = np.zeros(len(anchor), dtype=bool)
+            same[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
             if held is not None:
-                joins = fa[0] == held[0][0]
-                near[0] |= joins
-                if joins or held[1]:
-                    extra = held[0]
-            held = [tuple(x[first[-1]] for x in c), bool(near[-1])]
-            keep = first[:-1][near[:-1]]
-            rows.append(keep)
-            opens.append(np.ones(len(keep), dtype=bool))
-        rows, opens = np.concatenate(rows), np.concatenate(opens)
-        columns = [c[0][rows], c[2][rows], c[3][rows], c[4][rows], opens]
-        if extra is not None:
-            columns = [np.append(x, np.array([v], dtype=x.dtype)) for x, v in zip(columns, (extra[0], extra[2], extra[3], extra[4], True), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "id", "start", "size", "open"])
-    if held is not None and held[1]:
-        h = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array([h[0]], pa.int64()), pa.array([h[2]], pa.int64()), pa.array([h[3]], pa.int64()), pa.array([h[4]], pa.int32()), pa.array([True])], names=["anchor", "id", "start", "size", "open"])
+                same[0] = anchor[0] == held[0][0] and body[0] == held[0][1]
+            first = np.flatnonzero(~same)
+            rows, opens = [np.flatnonzero(same)], [np.zeros(int(same.sum()), dtype=bool)]
+            extra = None
+            if len(first):
+                fa = anchor[first]
+                near = np.zeros(len(first), dtype=bool)
+                near[1:] |= fa[1:] == fa[:-1]
+                near[:-1] |= fa[1:] == fa[:-1]
+                if held is not None:
+                    joins = fa[0] == held[0][0]
+                    near[0] |= joins
+                    if joins or held[1]:
+                        extra = held[0]
+                held = [tuple(x[first[-1]] for x in c), bool(near[-1])]
+                keep = first[:-1][near[:-1]]
+                rows.append(keep)
+                opens.append(np.ones(len(keep), dtype=bool))
+            rows, opens = np.concatenate(rows), np.concatenate(opens)
+            columns = [c[0][rows], c[2][rows], c[3][rows], c[4][rows], opens]
+            if extra is not None:
+                columns = [np.append(x, np.array([v], dtype=x.dtype)) for x, v in zip(columns, (extra[0], extra[2], extra[3], extra[4], True), strict=True)]
+            yield from out(*columns)
+        if held is not None and held[1]:
+            h = held[0]
+            yield from out(np.array([h[0]], np.int64), np.array([h[2]], np.int64), np.array([h[3]], np.int64), np.array([h[4]], np.int32), np.array([True]))
+
+    return run
 
 
 def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -193,33 +231,67 @@ def _induce(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray)
     return sa
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffixes of the small non-negative numbers ``t`` in order; with ``depth``, in order of their first so many at least.
-
-    Each step of induced sorting takes a whole bucket's part at once, as arrays. Equal leftmost-smaller substrings get one name; the string
-    of names, whose alphabet is about as large as itself, is then sorted by pairing names of doubling length.
-    """
+def _classified(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is less than the next one, and where leftmost-smaller ones begin."""
     n = len(t)
-    if n < 2:
-        return np.arange(n)
     differs = np.flatnonzero(t[1:] != t[:-1])
     nxt = np.searchsorted(differs, np.arange(n))  # the next place where the sign changes
     small = np.zeros(n, dtype=bool)
     has = nxt < len(differs)
     place = differs[nxt[has]]
     small[has] = t[place] < t[place + 1]
+    return small, np.flatnonzero(small[1:] & ~small[:-1]) + 1
+
+
+def _induce_each(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As ``_induce``, one suffix after the other: for alphabets about as large as the string, whose buckets are too small to be worth arrays."""
+    s, less, n = t.tolist(), small.tolist(), len(t)
+    sa = [-1] * n
+    tail = ends.tolist()
+    for i in reversed(lms.tolist()):
+        tail[s[i]] -= 1
+        sa[tail[s[i]]] = i
+    front = [0, *ends[:-1].tolist()]
+    c = s[n - 1]
+    sa[front[c]] = n - 1
+    front[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not less[j]:
+            c = s[j]
+            sa[front[c]] = j
+            front[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and less[j]:
+            c = s[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, dtype=np.int64)
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffixes of the small non-negative numbers ``t`` in order, by induced sorting.
+
+    Leftmost-smaller substrings are put in order by one induction and named by it, equal ones alike; unless all names differ, the string of
+    names is sorted by a call of this function; a second induction then sorts all. With few signs, each step takes a whole bucket's part at once, as arrays.
+    """
+    n = len(t)
+    if n < 2:
+        return np.arange(n)
+    small, lms = _classified(t)
     ends = np.cumsum(np.bincount(t))
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    induce = _induce if len(ends) * 32 < n else _induce_each
     if len(lms) > 1:
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
-        sa = _induce(t, small, ends, lms)
-        lms = sa[is_lms[sa]]
-        where = np.flatnonzero(is_lms)
-        follow = np.append(where[1:], n)
+        sa = induce(t, small, ends, lms)
+        order = sa[is_lms[sa]]
+        follow = np.append(lms[1:], n)
         length = np.zeros(n, dtype=np.int64)
-        length[where] = follow - where + 1  # up to and with the next one's first sign
-        a, b = lms[:-1], lms[1:]
+        length[lms] = follow - lms + 1  # up to and with the next one's first sign
+        a, b = order[:-1], order[1:]
         same = length[a] == length[b]
         live = np.flatnonzero(same)
         step = 0
@@ -231,19 +303,33 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
             step += 1
             live = live[equal & (step < length[a[live]])]
         name = np.zeros(n, dtype=np.int64)
-        name[lms] = np.append(0, np.cumsum(~same))
-        rank, reach = name[where], 1
-        while rank.max() + 1 < len(rank) and (depth is None or reach < depth):
-            ahead = np.full(len(rank), -1, dtype=np.int64)
-            ahead[: len(rank) - reach] = rank[reach:] if reach < len(rank) else ahead[:0]
-            pair = rank * (len(rank) + 1) + ahead + 1
-            order = np.argsort(pair, kind="stable")
-            new = np.append(0, np.cumsum(pair[order][1:] != pair[order][:-1]))
-            rank = np.empty_like(rank)
-            rank[order] = new
-            reach *= 2
-        lms = where[np.argsort(rank, kind="stable")]
-    return _induce(t, small, ends, lms)
+        name[order] = np.append(0, np.cumsum(~same))
+        names = name[lms]
+        lms = order if not same.any() else lms[suffix_array(names)]
+    return induce(t, small, ends, lms)
+
+
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """In text order, how many signs (bytes plus 1, 0 between texts; at most ``most``) each suffix shares with the one before it in the suffix array."""
+    n = len(t)
+    before = np.full(n, -1, dtype=np.int64)
+    before[sa[1:]] = sa[:-1]
+    padded = np.zeros(n + most + 8, dtype=np.uint16)
+    padded[:n] = t
+    padded[n:] = 300 + np.arange(most + 8) % 2  # beyond the end nothing is equal for long
+    wide = np.zeros(n + most + 4, dtype=U)
+    for k in range(4):
+        wide |= padded[k : k + len(wide)].astype(U) << U(16 * k)
+    out = np.zeros(n, dtype=np.int32)
+    live = np.flatnonzero(before >= 0)
+    for step in range(0, most, 4):
+        differ = wide[live + step] ^ wide[before[live] + step]
+        equal = differ == 0
+        out[live[equal]] += 4
+        last, rest = live[~equal], differ[~equal]
+        out[last] += sum((rest & U((1 << 16 * k) - 1) == 0).astype(np.int32) for k in range(1, 4))
+        live = live[equal]
+    return np.minimum(out, most)
 
 
 def repeats(parts: list[bytes], owner: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
@@ -253,19 +339,11 @@ def repeats(parts: list[bytes], owner: np.ndarray, start: np.ndarray, length: in
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     t[begin + sizes] = 0
     n = len(t)
-    sa = suffix_array(t, depth=length)
+    sa = suffix_array(t)
     part = np.searchsorted(begin, np.arange(n), "right") - 1
     whole = np.arange(n) + length <= (begin + sizes)[part]
-    before = np.full(n, -1, dtype=np.int64)
-    before[sa[1:]] = sa[:-1]
-    wide = np.zeros(n + length + 8, dtype=U)
-    for k in range(8):
-        wide[: n - k] |= (t[k:].astype(U) & U(255)) << U(8 * k)
-    # in text order: is the common prefix with the neighbour in the suffix array long enough? Both strings are whole, so no separator is in them.
-    pos = np.flatnonzero(whole & (before >= 0))
-    pos = pos[whole[before[pos]]]
-    for step in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
-        pos = pos[wide[pos + step] == wide[before[pos] + step]]
+    # a string that is whole has no separator, nor has its neighbour's equal part
+    pos = np.flatnonzero(whole & (common_prefixes(t, sa, length) >= length))
     long = np.zeros(n, dtype=bool)
     long[pos] = True
     inside = whole[sa]
@@ -309,6 +387,65 @@ def _shards(length: int):
     return run
 
 
+def _anchor_at(part: bytes, length: int, gram: int) -> int:
+    """Where the anchor of a segment stands in its bytes."""
+    data = np.frombuffer(part, np.uint8)[:length]
+    n = len(data)
+    total = np.zeros(n + 1, dtype=U)
+    np.cumsum(TABLE[data] * powers(_BASE, n), out=total[1:])
+    g = mix((total[gram:] - total[:-gram]) * powers(_INVERSE, n + 1)[: n - gram + 1])
+    return int(((g & ~_PLACE) | np.arange(len(g), dtype=U)).argmin())
+
+
+def _halves(length: int, gram: int):
+    """(key, id, start, part, at, a, b) -> the same for smaller sets of starts.
+
+    ``at`` is where the anchor stands in ``part``; the starts are those with ``a`` bytes at least between start and anchor and ``b`` at least after it. They are
+    dealt to those with the greater half of the rest before the anchor and those with it after; the new key is of those bytes, all that is known then.
+    """
+    names = ["key", "id", "start", "part", "at", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            rows = []
+            for key, who, start, part, at, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at < 0:
+                    at = _anchor_at(part, length, gram)
+                free = length - gram
+                middle = a + (free - b - a + 1) // 2
+                starts = len(part) - length + 1
+                for lo, hi, left, right in ((at - (free - b), at - middle, middle, b), (at - middle + 1, at - a, a, free - middle + 1)):
+                    lo, hi = max(0, lo), min(starts - 1, hi)  # starts from lo to hi have from at - lo down to at - hi bytes before the anchor
+                    if lo <= hi:
+                        known = part[at - left : at + gram + right]
+                        digest = hashlib.blake2b(known, digest_size=16, person=b"%d.%d" % (left, right)).digest()
+                        rows.append((key[:8] + digest, who, start + lo, part[lo : hi + length], at - lo, left, right))
+            if rows:
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def _split(pieces: DataFrame, length: int, gram: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """Segments (key binary, id, start, part) of hot anchors, as tables of the same columns whose keys have at most ``hot`` bytes, and the marks of strings that whole keys settle."""
+    state = pieces.select("key", "id", "start", "part", F.lit(-1).alias("at"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    small, marks = [], None
+    while True:
+        state = scratch.put(state.mapInArrow(_halves(length, gram), "key binary, id long, start long, part binary, at int, a int, b int"))
+        whole = state.where(F.col("a") + F.col("b") + gram == length)
+        # all strings of a whole key are equal: the first stays, the others are marked; no task sees a key's rows together
+        first = whole.groupBy("key").agg(F.min(F.struct("id", "start")).alias("f")).select("key", "f.id", "f.start")
+        found = whole.join(first, ["key", "id", "start"], "left_anti").select("id", "start", (F.col("start") + length).alias("stop"))
+        marks = found if marks is None else marks.union(found)
+        rest = state.where(F.col("a") + F.col("b") + gram < length)
+        large = scratch.put(rest.groupBy("key").agg(F.sum(F.length("part")).alias("bytes")).where(F.col("bytes") > hot).select("key"))
+        small.append(rest.join(large, "key", "left_anti").select("key", "id", "start", "part"))
+        if large.isEmpty():
+            return small, marks
+        state = rest.join(large, "key", "left_semi")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -341,30 +478,40 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     Texts are UTF-8 bytes, null as empty. A byte goes if a string of ``length`` bytes over it starts in an earlier place too: in a
     document with a smaller doc_id, or earlier in the same one. All strings are judged on the input; overlaps count; no string spans two
     documents. spans lists the maximal removed runs (start, stop in bytes), kept_sha256 is of the rest.
-    Repeated ids are documents in the order of their texts, so that repeated rows but the first lose all that is long enough; null ids come first.
-    An empty table gives an empty result.
+    Repeated ids are documents in the order of their texts' hashes, so that repeated rows but the first lose all that is long enough; null ids come first.
+    Texts of any length are read whole, a megabyte at a time; only their removed runs are held together. Further columns are not read. An empty table gives an empty result.
+    An anchor whose different segments have more than ``hot`` bytes is split, so that no task sorts more than a shard of about a megabyte.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty():
         docs = docs.select("doc_id", F.col("doc_id").alias("id"), "text")
     else:  # other numbers, in the same order
-        docs = scratch.put(docs.orderBy("doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("id"), "text"))
+        docs = scratch.put(docs.orderBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).select("doc_id", F.monotonically_increasing_id().alias("id"), "text"))
     segments = docs.select("id", "text").mapInArrow(_scan(length, gram), "anchor long, body long, id long, start long, size int, done boolean")
     # what is done already goes anywhere, so that a very common passage sends one segment of each block, not each of its copies, to its anchor's task
     dealt = segments.repartition(F.when(F.col("done"), F.xxhash64("id", "start")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor", "body", "id", "start")
-    settled = scratch.put(dealt.mapInArrow(_settle, "anchor long, id long, start long, size int, open boolean"))
+    settled = scratch.put(dealt.mapInArrow(_settle(length, hot), "anchor long, id long, start long, size int, open boolean"))
     texts = docs.select("doc_id", "id", "text")
-    wanted = settled.where("open").select("anchor", "id", "start", "size")
-    pieces = wanted.join(texts, "id").select("anchor", "id", "start", F.expr(f"substring(cast(text as binary), cast(start + 1 as int), size + {length - 1})").alias("part"))
-    shards = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    marks = shards.mapInArrow(_shards(length), "id long, start long, stop long")
-    marks = marks.union(settled.where("not open").select("id", "start", (F.col("start") + F.col("size") + (length - 1)).alias("stop")))
+    cut = lambda rows: rows.join(texts, "id").select("anchor", "id", "start", F.expr(f"substring(cast(text as binary), cast(start + 1 as int), size + {length - 1})").alias("part"))
+    wanted = settled.where("open and size > 0").select("anchor", "id", "start", "size")
+    large = scratch.put(settled.where("size = 0").select("anchor").distinct())
+    marks = settled.where("not open").select("id", "start", (F.col("start") + F.col("size") + (length - 1)).alias("stop"))
+    kind = "id long, start long, stop long"
+    if large.isEmpty():
+        pieces = cut(wanted)
+    else:
+        split, equal = _split(cut(wanted.join(large, "anchor")).select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), "id", "start", "part"), length, gram, hot, scratch)
+        for part in split:
+            marks = marks.union(part.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length), kind))
+        marks = marks.union(equal)
+        pieces = cut(wanted.join(large, "anchor", "left_anti"))
+    marks = marks.union(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), kind))
     spans = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(spans, "id", "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
