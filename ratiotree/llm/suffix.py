@@ -245,29 +245,34 @@ def _classified(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _induce_each(t: np.ndarray, small: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """As ``_induce``, one suffix after the other: for alphabets about as large as the string, whose buckets are too small to be worth arrays."""
-    s, less, n = t.tolist(), small.tolist(), len(t)
+    n = len(t)
     sa = [-1] * n
-    tail = ends.tolist()
+    s, tail = t.tolist(), ends.tolist()
     for i in reversed(lms.tolist()):
-        tail[s[i]] -= 1
-        sa[tail[s[i]]] = i
+        c = s[i]
+        tail[c] = k = tail[c] - 1
+        sa[k] = i
+    # of each suffix: the sign before it, and whether that begins a larger or a smaller suffix; the last place serves -1, an empty slot
+    sign = np.append(np.roll(t, 1), 0).tolist()
+    falls, rises = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    falls[1:n], rises[1:n] = ~small[: n - 1], small[: n - 1]
+    goes = falls.tolist()
     front = [0, *ends[:-1].tolist()]
     c = s[n - 1]
     sa[front[c]] = n - 1
     front[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not less[j]:
-            c = s[j]
-            sa[front[c]] = j
-            front[c] += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and less[j]:
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for p in sa:  # slots ahead are filled while it runs
+        if goes[p]:
+            c = sign[p]
+            k = front[c]
+            sa[k] = p - 1
+            front[c] = k + 1
+    goes, tail = rises.tolist(), ends.tolist()
+    for p in reversed(sa):
+        if goes[p]:
+            c = sign[p]
+            tail[c] = k = tail[c] - 1
+            sa[k] = p - 1
     return np.array(sa, dtype=np.int64)
 
 
@@ -309,8 +314,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return induce(t, small, ends, lms)
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """In text order, how many signs (bytes plus 1, 0 between texts; at most ``most``) each suffix shares with the one before it in the suffix array."""
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int, where: np.ndarray) -> np.ndarray:
+    """In text order, how many signs (bytes plus 1, 0 between texts; at most ``most``) each suffix of ``where`` shares with the one before it in the suffix array, if that is in ``where`` too."""
     n = len(t)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
@@ -321,14 +326,15 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     for k in range(4):
         wide |= padded[k : k + len(wide)].astype(U) << U(16 * k)
     out = np.zeros(n, dtype=np.int32)
-    live = np.flatnonzero(before >= 0)
+    live = np.flatnonzero(where & (before >= 0))
+    live = live[where[before[live]]]
     for step in range(0, most, 4):
         differ = wide[live + step] ^ wide[before[live] + step]
         equal = differ == 0
-        out[live[equal]] += 4
         last, rest = live[~equal], differ[~equal]
-        out[last] += sum((rest & U((1 << 16 * k) - 1) == 0).astype(np.int32) for k in range(1, 4))
+        out[last] = step + sum((rest & U((1 << 16 * k) - 1) == 0).astype(np.int32) for k in range(1, 4))
         live = live[equal]
+    out[live] = most
     return np.minimum(out, most)
 
 
@@ -343,7 +349,7 @@ def repeats(parts: list[bytes], owner: np.ndarray, start: np.ndarray, length: in
     part = np.searchsorted(begin, np.arange(n), "right") - 1
     whole = np.arange(n) + length <= (begin + sizes)[part]
     # a string that is whole has no separator, nor has its neighbour's equal part
-    pos = np.flatnonzero(whole & (common_prefixes(t, sa, length) >= length))
+    pos = np.flatnonzero(common_prefixes(t, sa, length, whole) >= length)
     long = np.zeros(n, dtype=bool)
     long[pos] = True
     inside = whole[sa]

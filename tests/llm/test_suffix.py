@@ -27,7 +27,7 @@ def test_suffix_array_of_many_signs(seed):
         small, lms = suffix._classified(t)
         order = sorted(lms.tolist(), key=lambda i: t[i:].tolist())
         assert induce(t, small, np.cumsum(np.bincount(t)), np.array(order, dtype=np.int64)).tolist() == got.tolist()
-    common = suffix.common_prefixes(t, got, 7)
+    common = suffix.common_prefixes(t, got, 7, np.ones(len(t), dtype=bool))
     for a, b in zip(got[:-1], got[1:], strict=True):
         k = next((k for k in range(7) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), 7)
         assert common[b] == k
