@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .identity import told_apart
 from .scratch import Scratch
 from .textscan import U, mix, shingles, slices, utf8
 
@@ -107,19 +108,33 @@ def _spread(k: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept, links.
+    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept, links_found.
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space. Two texts are linked if the shared part of their sets of
     k-word shingles is at least ``percent`` of the union; component_id is the smallest doc_id that links reach. A text of fewer
     than k words has its whole sequence as one shingle; a null or empty text has none and stays alone.
     At a similarity of 0.8 a pair misses all 40 bands of 5 with probability 1.2e-7; candidates are compared on their full sets.
-    links: for a set's representative (the smallest doc_id of equal sets) the number of other sets it was found linked with.
-    Repeated rows each give a row; rows of one doc_id with different texts each get the class of their own text.
-    A row without doc_id is kept, in no class (component_id null). An empty table gives an empty result.
+    links_found: for a set's representative (the smallest doc_id of equal sets) with how many other sets a link was confirmed; members that are in one
+    class already are not paired again, so it is a lower bound of all its links.
+    Repeated rows each give a row; rows of one doc_id with different texts each get the class of their own text, under their own doc_id's name.
+    A row without doc_id is kept, in no class (component_id null). Texts of any length are compared whole; a text's shingles are held by one task at a time.
+    Further columns are not read, whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    some = docs.where("doc_id is not null")
+    rows_of, same = told_apart(some, scratch)
+    if same:
+        return _classes(docs, scratch, k, percent, bands, rows)
+    found = _classes(rows_of.select(F.col("id").alias("doc_id"), "text"), scratch, k, percent, bands, rows).withColumnRenamed("doc_id", "id")
+    names = rows_of.select("id", "doc_id")
+    named = found.join(names, "id").join(names.select(F.col("id").alias("component_id"), F.col("doc_id").alias("_of")), "component_id")
+    named = named.select("doc_id", "n_shingles", F.col("_of").alias("component_id"), (F.col("doc_id") == F.col("_of")).alias("kept"), "links_found")
+    return named.unionByName(_classes(docs.where("doc_id is null"), scratch, k, percent, bands, rows))
+
+
+def _classes(docs: DataFrame, scratch: Scratch, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_duplicates`` of rows whose ids differ, or are null."""
     scan = scratch.put(docs.mapInArrow(_scan(k, bands, rows), "doc_id long, n long, s1 long, s2 long, keys array<long>"))
     some = scan.where("n > 0 and doc_id is not null")
     groups = scratch.put(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
@@ -179,4 +194,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
     count = F.when(F.col("doc_id") == F.col("rep"), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), count.alias("links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), count.alias("links_found"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .identity import told_apart
+from .scratch import Scratch
 from .textscan import U, mix, powers, slices
 
 K, L, M = 8, 2, 32
@@ -162,16 +164,17 @@ def compare_neighbours(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> D
 
     The next document is the one of the next smaller doc_id, after the smallest the largest. The edited text is the text with its last
     floor(n_chars / 3) characters replaced by the first as many (or all) of the next document's. Fingerprints are hexadecimal, 8 digits
-    for each of m orders; those of empty and null texts are empty, and like each other alone. Repeated ids follow each other by text;
-    a null doc_id counts as the smallest. A single row is its own next one. An empty table gives an empty result.
-    Ids are dealt by ranges, whose bounds and largest ids, one for each partition, are all that the driver sees.
+    for each of m orders; those of empty and null texts are empty, and like each other alone. Repeated ids follow each other by their texts' hashes, the greatest
+    first; a null doc_id counts as the smallest. A single row is its own next one. An empty table gives an empty result.
+    Texts of any length are read whole: one text's k-mers are held at a time. Further columns are not read, whatever their names.
+    Ids are dealt by ranges, whose bounds and largest ids, one for each partition, are all that the driver sees; rows of one id are numbered first, so they are dealt too.
     """
     spark = docs.sparkSession
-    low = -(1 << 63)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(low)))
+    docs, _ = told_apart(docs, Scratch(spark, "ordermin"))
+    docs = docs.withColumnRenamed("id", "key")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.select("key").where(F.col("key") > low).approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
+    found = docs.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
     bounds = sorted({int(x) for x in found})
     docs = docs.withColumn("bucket", _bucket(F.col("key"), bounds))
     largest = sorted(tuple(r) for r in docs.groupBy("bucket").agg(F.max("key")).collect())  # at most a row for each partition
@@ -180,5 +183,5 @@ def compare_neighbours(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> D
     rows = docs.join(F.broadcast(table), "key", "left")
     sent = rows.select("key", "doc_id", "text", F.explode(F.expr("if(before is null, array(struct(bucket, false as extra)), array(struct(bucket, false as extra), struct(before as bucket, true as extra)))")).alias("to"))
     dealt = sent.select("key", "doc_id", "text", "to.bucket", "to.extra").repartitionById(parts, F.col("bucket"))
-    dealt = dealt.sortWithinPartitions(F.col("bucket"), F.col("extra"), F.col("key").desc(), F.col("text")).select("bucket", "extra", "doc_id", "text")
+    dealt = dealt.sortWithinPartitions(F.col("bucket"), F.col("extra"), F.col("key").desc()).select("bucket", "extra", "doc_id", "text")
     return dealt.mapInArrow(_compare(k, l, m), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -47,7 +47,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     The law is ``key``: doc_id and the number of shards alone decide, whatever else the table holds, so copies under other ids
     and hot sources spread like all rows. grown_shard is the place with one shard more: the same, or the new one. size is the
     text's UTF-8 bytes plus 1 (null: 1); slot numbers a shard's rows without gaps, repeated rows one by one. A null doc_id
-    counts as key 0. An empty table gives an empty result.
+    counts as key 0. Texts of any length are only measured and summed where they are read; further columns are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .identity import told_apart
 from .scratch import Scratch
 from .textscan import TABLE, U, mix, powers, slices, utf8
 
@@ -496,10 +497,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null").isEmpty():
-        docs = docs.select("doc_id", F.col("doc_id").alias("id"), "text")
-    else:  # other numbers, in the same order
-        docs = scratch.put(docs.orderBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).select("doc_id", F.monotonically_increasing_id().alias("id"), "text"))
+    docs, _ = told_apart(docs, scratch)
     segments = docs.select("id", "text").mapInArrow(_scan(length, gram), "anchor long, body long, id long, start long, size int, done boolean")
     # what is done already goes anywhere, so that a very common passage sends one segment of each block, not each of its copies, to its anchor's task
     dealt = segments.repartition(F.when(F.col("done"), F.xxhash64("id", "start")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor", "body", "id", "start")

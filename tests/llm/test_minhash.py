@@ -54,7 +54,7 @@ def made(seed=7, n=40):
 def test_equals_brute_force(spark):
     rows = made()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n long, keys string")
-    got = sorted(map(tuple, near_duplicates(df, k=4).drop("links").collect()))
+    got = sorted(map(tuple, near_duplicates(df, k=4).drop("links_found").collect()))
     assert got == brute(rows)
 
 
@@ -66,7 +66,7 @@ def test_chain_across_a_hub(spark):
     c = b[:-3] + ["y1", "y2", "y3"]
     rows = [(i, " ".join(t)) for i, t in enumerate([a, b, c] + [a[:44] + [f"z{i}{j}" for j in range(16)] for i in range(5)])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, near_duplicates(df, k=4).drop("links").collect())) == brute(rows)
+    assert sorted(map(tuple, near_duplicates(df, k=4).drop("links_found").collect())) == brute(rows)
 
 
 def test_empty_table_and_null_id(spark):
@@ -85,3 +85,11 @@ def test_long_rows_are_scanned_in_blocks():
         one, _ = word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
         assert (h[first[i] : first[i + 1]] == one).all() and len(one) == len(t.split())
     assert len(set(h.tolist())) == len({w for t in texts for w in t.split()})
+
+
+def test_repeated_ids_are_told_apart(spark):
+    """Links are confirmed on the row's own text, also where another row of its doc_id has a different one."""
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, "lone words here"), (None, a)]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 96, -1, True), (1, 96, 1, True), (1, 96, 1, True), (2, 97, 1, False), (3, 1, 3, True), (3, 97, 1, False)]

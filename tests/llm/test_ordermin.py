@@ -57,3 +57,13 @@ def test_small_tables(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     rows = compare_neighbours(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], kind)).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in rows) == [(0, 1), (1, 3), (1, 3)]
+
+
+def test_one_id_on_many_rows(spark):
+    """Rows of one id are dealt over the partitions in the order of their hashes; nothing else changes."""
+    rows = [(7, f"text number {i} " * (i % 5)) for i in range(300)] + [(9, "nine"), (1, "one")]
+    got = compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    placed = [x for _, x in sorted(enumerate(rows), key=lambda x: (x[1][0], digest(x[1][1])))]
+    want = brute([(k, t) for k, (_, t) in enumerate(placed)])
+    assert sorted(tuple(r)[1:] for r in got) == sorted(x[1:] for x in want)

@@ -20,6 +20,29 @@ def test_jump_equals_the_loop():
         assert jump(keys, n).tolist() == [slow_jump(int(k), n) for k in keys]
 
 
+def slow_mix(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * factor % 2**64
+    return x ^ x >> 33
+
+
+def test_query_equals_brute_force(spark):
+    """Whole rows, without NumPy: shards by the loop, sizes and checksums, slots as a gapless numbering."""
+    rows = [(i * 37 - 500, None if i % 50 == 0 else "ü" * (i % 9) if i % 7 else "") for i in range(700)]
+    rows += [(None, "no id"), (5, "again"), (5, "again"), (2**62, "x" * 3_000_000)]
+    got = shard_documents(spark.createDataFrame([(*x, "s", 1, "k") for x in rows], "doc_id long, text string, shard string, rank int, _part string")).collect()
+    want = []
+    for i, t in rows:
+        data = (t or "").encode()
+        key = slow_mix((i or 0) % 2**64)
+        want.append((i, len(data) + 1, zlib.crc32(data), "key", slow_jump(key, 16), slow_jump(key, 17)))
+    order = lambda x: tuple(map(str, x))
+    assert sorted((tuple(r[c] for c in ("doc_id", "size", "text_crc32", "law", "shard", "grown_shard")) for r in got), key=order) == sorted(want, key=order)
+    for s in range(16):
+        slots = sorted(r.slot for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_documents(spark):
     rows = [(i, None if i % 50 == 0 else "é" * (i % 9), "x", 1) for i in range(2000)]
     got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")).toPandas()
