@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentence (lower case, runs of other signs than a-z, 0-9 as one space) -> identifier. ``#`` stands for a number.
+#: Fixed values, the wording of public licences: normalised sentence (lower case, runs of other signs than a-z, 0-9 as one space) -> identifier. ``#`` stands for a number.
 SENTENCES = {
     "licensed under the apache license version # #": "ApacheLic",
     "licensed under the apache license version # # the license": "ApacheLic",
@@ -44,7 +44,7 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
-#: The further wording of standard notices, which ``sql`` does not have.
+#: The further wording of standard notices and SPDX lines, which ``sql`` does not have; fixed values too.
 NOTICES = {
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheWarranty",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
@@ -58,6 +58,33 @@ NOTICES = {
     "this work is licensed under the creative commons attribution noncommercial # # international license": "CcByNc",
     "this work is licensed under the creative commons attribution sharealike # # international license": "CcBySa",
     "this work is licensed under the creative commons attribution # # international license": "CcBy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version # of the license or at your option any later version": "AgplLater",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscWarranty",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license # # which is available at https": "EplRef",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v # # which is available at http": "EplRef",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 # which accompanies this distribution and is available at http": "EplRef",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "spdx license identifier mit": "SpdxMit",
+    "spdx license identifier apache # #": "SpdxApache",
+    "spdx license identifier gpl # #": "SpdxGpl",
+    "spdx license identifier gpl # # only": "SpdxGpl",
+    "spdx license identifier gpl # # or later": "SpdxGplLater",
+    "spdx license identifier lgpl # #": "SpdxLgpl",
+    "spdx license identifier lgpl # # only": "SpdxLgpl",
+    "spdx license identifier lgpl # # or later": "SpdxLgpl",
+    "spdx license identifier agpl # # only": "SpdxAgpl",
+    "spdx license identifier agpl # # or later": "SpdxAgpl",
+    "spdx license identifier bsd # clause": "SpdxBsd",
+    "spdx license identifier isc": "SpdxIsc",
+    "spdx license identifier mpl # #": "SpdxMpl",
+    "spdx license identifier epl # #": "SpdxEpl",
+    "spdx license identifier cc by # #": "SpdxCcBy",
+    "spdx license identifier cc by sa # #": "SpdxCcBySa",
+    "spdx license identifier cc by nc # #": "SpdxCcByNc",
+    "spdx license identifier cc0 # #": "SpdxCc0",
+    "spdx license identifier unlicense": "Unlicense",
 }
 
 #: (licence, pattern over identifiers, each with its numbers: ``<ApacheLic 2.0>``), in order; the first that matches takes its identifiers away.
@@ -77,6 +104,27 @@ RULES = [
     ("CC-BY-SA", r"<CcBySa [0-9.]*>"),
     ("CC-BY", r"<CcBy [0-9.]*>"),
     ("MPL", r"<MplRef [0-9.]*>"),
+    ("AGPL", r"<AgplLater [0-9.]*>(<GplWarranty >)?"),
+    ("ISC", r"<IscGrant >(<IscWarranty >)?"),
+    ("EPL", r"<EplRef [0-9.]*>"),
+    ("Unlicense", r"<Unlicense >"),
+    ("MIT", r"<SpdxMit >"),
+    ("Apache-2.0", r"<SpdxApache 2[.]0>"),
+    ("GPL-3.0-or-later", r"<SpdxGplLater 3[.]0>"),
+    ("GPL-2.0-or-later", r"<SpdxGplLater 2[.]0>"),
+    ("GPL-3.0", r"<SpdxGpl 3[.]0>"),
+    ("GPL-2.0", r"<SpdxGpl 2[.]0>"),
+    ("LGPL", r"<SpdxLgpl [0-9.]*>"),
+    ("AGPL", r"<SpdxAgpl [0-9.]*>"),
+    ("BSD-3-Clause", r"<SpdxBsd 3>"),
+    ("BSD-2-Clause", r"<SpdxBsd 2>"),
+    ("ISC", r"<SpdxIsc >"),
+    ("MPL", r"<SpdxMpl [0-9.]*>"),
+    ("EPL", r"<SpdxEpl [0-9.]*>"),
+    ("CC-BY-NC", r"<SpdxCcByNc [0-9.]*>"),
+    ("CC-BY-SA", r"<SpdxCcBySa [0-9.]*>"),
+    ("CC-BY", r"<SpdxCcBy [0-9.]*>"),
+    ("CC0", r"<SpdxCc0 [0-9.]*>"),
 ]
 
 #: Where sentences end, in ``sql``.
@@ -116,7 +164,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     n_sentences counts the known sentences found, sentence_ids lists them in text order with their numbers (``<ApacheLic 2.0>``);
     license is ``None`` without known sentences, ``Unknown`` if no rule matches, else the licences that rules find, each once and in
     rule order, joined by `` AND ``; unmatched counts the sentences no rule used. Null and empty
-    texts, and an empty table, have no sentences. Repeated rows each give a row.
+    texts, and an empty table, have no sentences. Repeated rows each give a row. Texts of any length are searched whole, in time in proportion to them; further
+    columns are not read, whatever their names.
     """
     known = F.create_map(*[F.lit(x) for pair in (SENTENCES | NOTICES).items() for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

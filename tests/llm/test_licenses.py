@@ -68,6 +68,15 @@ STANDARD = [
     (["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."], "CC-BY-SA", "<CcBySa 4.0>"),
     (["This work is licensed under the Creative Commons Attribution 4.0 International License."], "CC-BY", "<CcBy 4.0>"),
     (["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."], "MPL", "<MplRef 2.0>"),
+    ([FREE.format("program", ":", "Affero ", ",", 3), WARRANTY], "AGPL", "<AgplLater 3><GplWarranty >"),
+    (["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.'], "ISC", "<IscGrant ><IscWarranty >"),
+    (["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"], "EPL", "<EplRef 2.0>"),
+    (["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://x"], "EPL", None),
+    (["This is free and unencumbered software released into the public domain."], "Unlicense", "<Unlicense >"),
+    *[([f"SPDX-License-Identifier: {x}"], want, None) for x, want in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-2.0-or-later", "GPL-2.0-or-later"), ("GPL-3.0-or-later", "GPL-3.0-or-later"), ("LGPL-2.1", "LGPL"),
+        ("LGPL-2.1-only", "LGPL"), ("LGPL-3.0-or-later", "LGPL"), ("AGPL-3.0-only", "AGPL"), ("AGPL-3.0-or-later", "AGPL"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-2-Clause"), ("ISC", "ISC"),
+        ("MPL-2.0", "MPL"), ("EPL-2.0", "EPL"), ("CC-BY-4.0", "CC-BY"), ("CC-BY-SA-4.0", "CC-BY-SA"), ("CC-BY-NC-4.0", "CC-BY-NC"), ("CC0-1.0", "CC0"), ("Unlicense", "Unlicense"))],
 ]
 
 
@@ -90,11 +99,14 @@ def test_standard_notices(spark, form):
     assert all(r.sentence_ids == STANDARD[r.doc_id][2] for r in got if STANDARD[r.doc_id][2])
 
 
-def test_each_rule_has_a_standard_notice():
+def test_each_rule_and_identifier_is_reached_by_genuine_wording(spark):
     import re
 
-    ids = "".join(x or "" for _, _, x in STANDARD)
-    assert all(re.search(pattern, ids) for _, pattern in licenses.RULES)
+    for width in (72, 80):
+        rows = [(i, "\n\n".join(textwrap.fill(x, width) for x in p)) for i, (p, _, _) in enumerate(STANDARD)]
+        ids = "".join(r.sentence_ids for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert all(re.search(pattern, ids) for _, pattern in licenses.RULES)
+        assert {name for name in (licenses.SENTENCES | licenses.NOTICES).values()} == set(re.findall("<([A-Za-z0-9]+) ", ids))
 
 
 def test_paragraphs_and_sentences_do_not_join(spark):
