@@ -22,13 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textscan import SPACE, U, slices, utf8, word_blocks
 
-HEADS = (4, 5, 6, 7, 8)
 #: At most so many labelled documents train it, those with the least hashes of doc_id: this bounds the model and what the driver holds.
 TRAINING_ROWS = 50_000
-#: Pseudo-counts in proportion to a token's share, and for each token; what each token loses besides the mean; standard deviations and expected number that count.
-PRIOR, FLOOR, DRIFT, SURE, LEVEL = 1000.0, 0.5, 0.02, 3.0, 0.05
-#: Less log-odds than this prove no insult: topics and languages of toxic documents have as much.
-LEAST = 2.5
 #: Shorter documents count as so many tokens: the law holds for long ones.
 SHORT = 64
 _SIEVE = 1 << 16
@@ -37,16 +32,29 @@ STOPS = SPACE.copy()
 STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Options:
+    """What a model may be told; ``choose`` compares some by folds of the training rows."""
+
+    heads: tuple[int, ...] = (4, 5, 6, 7, 8)  # lengths of words' beginnings that are tokens too
+    prior: float = 1000.0  # pseudo-counts in proportion to a token's share
+    floor: float = 0.5  # pseudo-counts for each token
+    drift: float = 0.02  # what each token loses besides the mean
+    sure: float = 3.0  # standard deviations that a token's log-odds must have
+    least: float = 2.5  # log-odds that a token must have: topics and languages of toxic documents have less
+    level: float = 0.05  # expected number in clean text below which a segment is significant
+
+
+def tokens(column: pa.Array, heads: tuple[int, ...] = Options.heads) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A block after the other: hashes (a row for the words and one for each beginning), starts and ends (bytes within all rows) of the tokens."""
-    return word_blocks(*utf8(column), lower=True, stops=STOPS, heads=HEADS)
+    return word_blocks(*utf8(column), lower=True, stops=STOPS, heads=heads)
 
 
-def distinct(column: pa.Array) -> np.ndarray:
+def distinct(column: pa.Array, heads: tuple[int, ...] = Options.heads) -> np.ndarray:
     """The different hashes of each document, of all documents end to end. One document's repeats prove nothing more."""
     _, at = utf8(column)
     found, held, last = [np.zeros(0, U)], np.zeros(0, U), -1
-    for hashes, starts, _ in tokens(column):
+    for hashes, starts, _ in tokens(column, heads):
         row = np.searchsorted(at, starts, "right") - 1
         edge = np.flatnonzero(np.diff(row, prepend=-2))
         for a, b in zip(edge, np.append(edge[1:], len(row)), strict=True):
@@ -89,9 +97,10 @@ class Model:
     sure: np.ndarray  # in standard deviations
     rate: float = 1.0  # lambda
     log_k: float = 0.0
-    drift: float = DRIFT
+    drift: float = Options.drift
     bias: float = 0.0
     slope: float = 1.0
+    options: Options = Options()
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where known tokens stand, and which of the known each is."""
@@ -116,7 +125,7 @@ class Model:
     def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores, starts and ends (bytes within all rows) of the tokens, and the number of tokens before each row. Hashes are dropped block by block."""
         score, starts, ends = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for hashes, s, e in tokens(column):
+        for hashes, s, e in tokens(column, self.options.heads):
             score.append(self.of(hashes))
             starts.append(s)
             ends.append(e)
@@ -124,10 +133,10 @@ class Model:
         return np.concatenate(score), where, np.concatenate(ends), np.searchsorted(where, utf8(column)[1], "left")
 
     def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """The segments (start, end, score, log of the expected number) that clean text of this length would show fewer than LEVEL times."""
+        """The segments (start, end, score, log of the expected number) that clean text of this length would show fewer than ``options.level`` times."""
         size = math.log(max(SHORT, len(score)))
         out = [(s, e, x, self.log_k + size - self.rate * x) for s, e, x in segments(score)]
-        return [x for x in out if x[3] < math.log(LEVEL)]
+        return [x for x in out if x[3] < math.log(self.options.level)]
 
     def evidence(self, score: np.ndarray) -> float:
         """Minus the log of the chance that clean text holds its significant segments, each allowed for the others' choice."""
@@ -137,12 +146,12 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + self.slope * evidence)))
 
 
-def _count(only: np.ndarray | None):
+def _count(only: np.ndarray | None, heads: tuple[int, ...]):
     """(hash, n): in how many documents each token is, of those in ``only`` (sorted) if given; the number of all documents' different tokens as hash 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found = distinct(batch.column(0))
+            found = distinct(batch.column(0), heads)
             total = len(found)
             if only is not None:
                 at = np.minimum(np.searchsorted(only, found), max(0, len(only) - 1))
@@ -153,20 +162,20 @@ def _count(only: np.ndarray | None):
     return run
 
 
-def counted(texts: DataFrame, least: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def counted(texts: DataFrame, least: int, only: np.ndarray | None = None, heads: tuple[int, ...] = Options.heads) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted hashes of tokens in at least so many documents, in how many, and the number of all documents' different tokens."""
-    rows = texts.mapInArrow(_count(only), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(f"n >= {least} or hash = 0").toArrow()
+    rows = texts.mapInArrow(_count(only, heads), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(f"n >= {least} or hash = 0").toArrow()
     h, n = rows["hash"].to_numpy().view(U), rows["n"].to_numpy().astype(float)
     order = np.argsort(h)
     h, n = h[order], n[order]
     return h[h > 0], n[h > 0], float(n[h == 0].sum())
 
 
-def log_odds(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_toxic: float) -> tuple[np.ndarray, np.ndarray]:
+def log_odds(clean: np.ndarray, toxic: np.ndarray, all_clean: float, all_toxic: float, options: Options = Options()) -> tuple[np.ndarray, np.ndarray]:
     """The difference of each token's log-odds, and the same in standard deviations."""
-    prior = PRIOR * (clean + toxic) / max(1.0, all_clean + all_toxic) + FLOOR
+    prior = options.prior * (clean + toxic) / max(1.0, all_clean + all_toxic) + options.floor
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / np.maximum(1e-9, all_toxic + PRIOR - a)) - np.log(b / np.maximum(1e-9, all_clean + PRIOR - b))
+    delta = np.log(a / np.maximum(1e-9, all_toxic + options.prior - a)) - np.log(b / np.maximum(1e-9, all_clean + options.prior - b))
     return delta, delta / np.sqrt(1 / a + 1 / b)
 
 
@@ -220,22 +229,29 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), max(0.0, float(w[1]))
 
 
-def _bests(model: Model):
+def _best_segments(model: Model):
+    """The best score of each clean document and its number of tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             s, _, _, first = model.read(batch.column(0))
-            best, n, evidence = [], [], []
-            for i in range(batch.num_rows):
-                part = s[first[i] : first[i + 1]]
-                best.append(max((x for _, _, x in segments(part)), default=0.0))
-                n.append(len(part))
-                evidence.append(model.evidence(part))
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array(evidence, pa.float64()), batch.column(1).cast(pa.int64())], names=["best", "n", "evidence", "toxic"])
+            best = [max((x for _, _, x in segments(s[a:b])), default=0.0) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(np.diff(first), pa.int64())], names=["best", "n"])
+
+    return run
+
+
+def _evidences(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            s, _, _, first = model.read(batch.column(0))
+            evidence = [model.evidence(s[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(evidence, pa.float64()), batch.column(1).cast(pa.int64())], names=["evidence", "toxic"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, options: Options = Options()) -> Model:
     """A model from ``labels(doc_id, toxic)`` and the documents' texts; labels that are null count for nothing, of several for one document the highest counts.
 
     At most ``rows`` labelled documents are used, those with the least hashes of doc_id; their tokens' counts and one line for each
@@ -245,25 +261,24 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = scratch.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
-    hashes, toxic, all_toxic = counted(texts.where("toxic > 0"), 2)
-    seen, n, all_clean = counted(texts.where("toxic <= 0"), 1, hashes)
+    hashes, toxic, all_toxic = counted(texts.where("toxic > 0"), 2, heads=options.heads)
+    seen, n, all_clean = counted(texts.where("toxic <= 0"), 1, hashes, options.heads)
     if not all_clean or not all_toxic:
-        return Model(hashes[:0], toxic[:0], toxic[:0], bias=0.0, slope=0.0)
+        return Model(hashes[:0], toxic[:0], toxic[:0], bias=0.0, slope=0.0, options=options)
     clean = np.zeros(len(hashes))
     clean[np.searchsorted(hashes, seen)] = n
-    delta, z = log_odds(clean, toxic, all_clean, all_toxic)
-    certain = (z > SURE) & (delta > LEAST)
-    model = Model(hashes[certain], delta[certain], z[certain], drift=0.0)
+    delta, z = log_odds(clean, toxic, all_clean, all_toxic, options)
+    certain = (z > options.sure) & (delta > options.least)
+    model = Model(hashes[certain], delta[certain], z[certain], drift=0.0, options=options)
     seen = texts.mapInArrow(_spectrum(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     values, n = np.append(BINS, BINS[-1])[seen.bin.to_numpy()], seen.n.to_numpy(float)
     values[np.abs(values) < 1e-9] = 0.0
-    model.drift = DRIFT + float((values * n).sum() / max(1.0, n.sum()))  # so that clean text loses on the whole
+    model.drift = options.drift + float((values * n).sum() / max(1.0, n.sum()))  # so that clean text loses on the whole
     model.rate = calibrate(values - model.drift, n, model.score - model.drift)
-    seen = texts.mapInArrow(_bests(model), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
-    fine = seen[(seen.toxic == 0) & (seen.n > 0)]
+    fine = texts.where("toxic = 0").mapInArrow(_best_segments(model), "best double, n long").where("n > 0").toArrow().to_pandas()
     # the best score of clean text follows a Gumbel law: exp(-K n exp(-rate S)); this K has the greatest likelihood
     model.log_k = float(-np.log(np.mean(fine.n * np.exp(-model.rate * np.minimum(fine.best, 500 / model.rate))))) if len(fine) else 0.0
-    seen = texts.mapInArrow(_bests(model), "best double, n long, evidence double, toxic long").toArrow().to_pandas()
+    seen = texts.mapInArrow(_evidences(model), "evidence double, toxic long").toArrow().to_pandas()
     model.bias, model.slope = logistic(seen.evidence.to_numpy(), seen.toxic.to_numpy(float))
     return model
 
@@ -273,7 +288,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
 
     Text alone decides. passages: the significant segments as array<struct<start,end,score,log_expected>>, start and end in UTF-8 bytes.
     Empty and null texts have no evidence and the score that goes with none; predicted is 1 from ``threshold`` on. Repeated rows each
-    give a row. An empty table gives an empty result.
+    give a row. Texts of any length are scored whole, a megabyte at a time; a row holds a number for each token. Further columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # at most as many tokens as the bounded training sample proves
@@ -321,3 +336,23 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of all documents, by a model that saw no label of a held-out row."""
     model = train(docs, labels.where(remainder() != 1))
     return score_documents(docs, model).withColumn("held_out", remainder() == 1).select("doc_id", "held_out", "score", "predicted", "n_tokens", F.size("passages").alias("n_passages"))
+
+
+def choose(docs: DataFrame, labels: DataFrame, candidates: dict[str, Options], folds: int = 3, rows: int = TRAINING_ROWS) -> DataFrame:
+    """name, fold, loss, missed, false_alarms of each candidate by folds of the rows that are not held out: a fold is scored by a model of the others.
+
+    loss is the mean logarithmic loss; held-out rows take no part.
+    """
+    known = labels.where(remainder() != 1).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(folds))
+    found = []
+    for name, options in candidates.items():
+        for k in range(folds):
+            model = train(docs, known.where(place != k), rows, options)
+            test = known.where(place == k)
+            scored = score_documents(docs.join(F.broadcast(test.select("doc_id")), "doc_id", "left_semi"), model).join(test, "doc_id")
+            p = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
+            loss = F.avg(-F.when(F.col("toxic") > 0, F.ln(p)).otherwise(F.ln(1 - p)))
+            row = scored.agg(loss, F.count_if((F.col("toxic") > 0) & (F.col("predicted") == 0)), F.count_if((F.col("toxic") == 0) & (F.col("predicted") == 1))).first()
+            found.append((name, k, float(row[0]), int(row[1]), int(row[2])))
+    return docs.sparkSession.createDataFrame(found, "name string, fold int, loss double, missed long, false_alarms long")

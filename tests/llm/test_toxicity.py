@@ -1,8 +1,11 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ratiotree.llm import textscan, toxicity
 
@@ -107,3 +110,72 @@ def test_passages_of_words_seen_before(spark):
         assert row.predicted == 1 and [text[p.start : p.end] for p in row.passages] == [passage] * n
     kept = toxicity.keep_clean(spark.createDataFrame(texts, "doc_id long, text string"), model)
     assert kept.count() == 0
+
+
+def slow_model(texts, labels, o):
+    """The model from words as strings, one by one: counts, log-odds, drift, lambda, K and the logistic curve."""
+    stop = re.compile(r"[\x20\x09-\x0D!-/:-@\[-`{-~]+")
+    words = [[w for w in stop.split(re.sub("[A-Z]", lambda m: m.group().lower(), t)) if w] for t in texts]
+    parts = lambda w: {w, *((w[:k], k) for k in o.heads if len(w) > k)}
+    counts, total = ({}, {}), [0, 0]
+    for ws, y in zip(words, labels, strict=True):
+        found = set().union(*map(parts, ws)) if ws else set()
+        total[y] += len(found)
+        for x in found:
+            counts[y][x] = counts[y].get(x, 0) + 1
+    known = {}
+    for x, t in counts[1].items():
+        if t < 2:
+            continue
+        c = counts[0].get(x, 0)
+        prior = o.prior * (c + t) / sum(total) + o.floor
+        a, b = t + prior, c + prior
+        delta = math.log(a / (total[1] + o.prior - a)) - math.log(b / (total[0] + o.prior - b))
+        z = delta / math.sqrt(1 / a + 1 / b)
+        if z > o.sure and delta > o.least:
+            known[x] = (z, delta)
+    word_score = lambda w: max((known[x] for x in parts(w) if x in known), default=(0.0, 0.0))[1]
+    plain = [[word_score(w) for w in ws] for ws in words]
+    return known, plain
+
+
+@pytest.mark.parametrize("heads", [(), (4, 6)])
+def test_equals_brute_force(spark, heads):
+    docs, labels = made(spark, 240)
+    options = toxicity.Options(heads=heads, prior=300.0)
+    model = toxicity.train(docs, labels, options=options)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    known, plain = slow_model([t for _, t in rows], [toxic[i] for i, _ in rows], options)
+    assert len(known) == len(model.known) and np.allclose(sorted(d for _, d in known.values()), np.sort(model.score)) and np.allclose(sorted(z for z, _ in known.values()), np.sort(model.sure))
+    # scores are counted in steps of 0.05 for drift and lambda, so those are near only
+    clean = [x for (i, _), s in zip(rows, plain, strict=True) if not toxic[i] for x in s]
+    drift = options.drift + sum(clean) / len(clean)
+    assert abs(model.drift - drift) < 0.01
+    tilt = sum(math.exp(model.rate * (x - model.drift)) for x in clean) + sum(0.5 * math.exp(model.rate * (d - model.drift)) for _, d in known.values())
+    assert abs(tilt / (len(clean) + 0.5 * len(known)) - 1) < 0.05
+    scored = [[x - model.drift for x in s] for s in plain]
+    best = [max((x for _, _, x in slow_segments(s)), default=0.0) for s in scored]
+    law = [len(s) * math.exp(-model.rate * b) for (i, _), s, b in zip(rows, scored, best, strict=True) if not toxic[i] and s]
+    assert abs(model.log_k + math.log(sum(law) / len(law))) < 1e-6
+    evidence = []
+    for s in scored:
+        expected = [model.log_k + math.log(max(toxicity.SHORT, len(s))) - model.rate * x for _, _, x in slow_segments(s)]
+        evidence.append(min(60.0, sum(-x for x in expected if x < math.log(options.level))))
+    # the curve has no slope left to gain: its residuals do not follow the evidence
+    p = [1 / (1 + math.exp(-(model.bias + model.slope * e))) for e in evidence]
+    y = [toxic[i] for i, _ in rows]
+    assert abs(sum(a - b for a, b in zip(y, p, strict=True)) - 1e-6 * model.bias) < 1e-3
+    assert abs(sum((a - b) * e for a, b, e in zip(y, p, evidence, strict=True)) - 1e-2 * model.slope) < 1e-2
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    assert all(abs(got[i] - q) < 1e-6 for (i, _), q in zip(rows, p, strict=True))
+
+
+def test_choice_by_folds_of_training_rows(spark):
+    docs, labels = made(spark, 300)
+    # a held-out label, however wrong, changes nothing
+    odd = labels.withColumn("toxic", F.when(toxicity.remainder() == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    tried = {"plain": toxicity.Options(), "strict": toxicity.Options(sure=50.0)}
+    found = [toxicity.choose(docs, x, tried, 2).orderBy("name", "fold").collect() for x in (labels, odd)]
+    assert found[0] == found[1] and len(found[0]) == 4
+    assert all(a.loss < b.loss and a.missed < b.missed for a, b in zip(found[0][:2], found[0][2:], strict=True))
