@@ -362,10 +362,55 @@ def repeats(parts: list[bytes], owner: np.ndarray, start: np.ndarray, length: in
     return np.stack([part[later], later - begin[part[later]]], 1)
 
 
-def _shards(length: int):
+def shared_parts(keys: list, parts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the bytes (from, to) that may hold a string of another segment of its key; empty where nothing can.
+
+    Equal strings stand alike around their anchor, so they share the greater half of what they hold besides it on its left or on its right. Starts whose half
+    no other segment has are left out.
+    """
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(p) for p in parts])
+    n, begin = len(data), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    total = np.zeros(n + 1, dtype=U)
+    np.cumsum(TABLE[data] * powers(_BASE, n), out=total[1:])
+    back = powers(_INVERSE, n + 1)
+    g = (mix((total[gram:] - total[:-gram]) * back[: n - gram + 1]) & ~_PLACE) | np.arange(n - gram + 1, dtype=U)
+    width, wanted = 1, length - gram + 1
+    at = np.zeros(0, dtype=np.int64)
+    while 2 * width <= wanted:
+        g = np.minimum(g[:-width], g[width:])
+        width *= 2
+    at = (np.minimum(g[begin], g[begin + wanted - width]) & _PLACE).astype(np.int64) - begin  # where the anchor stands in each segment
+    half = (length - gram + 1) // 2
+    group = np.cumsum(np.array([True, *(a != b for a, b in zip(keys[1:], keys, strict=False))]))
+    starts = sizes - length + 1
+
+    def common(lo: np.ndarray, hi: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Whether another segment of the key has the same bytes there, for those of ``some``."""
+        a, b = begin[some] + lo[some], begin[some] + hi[some]
+        h = mix((total[b] - total[a]) * back[a] + group[some].astype(U) * U(0xA24BAED4963EE407))
+        _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+        out = np.zeros(len(parts), dtype=bool)
+        out[np.flatnonzero(some)] = count[which] > 1
+        return out
+
+    left = common(at - half, at + gram, at >= half)
+    right = common(at, at + length - half + 1, (at - half + 1 <= starts - 1))
+    lo = np.where(left, 0, np.maximum(0, at - half + 1))
+    hi = np.where(right, sizes, np.minimum(starts - 1, at - half) + length)
+    return np.where(left | right, lo, 0), np.where(left | right, hi, 0)
+
+
+def _shards(length: int, gram: int):
     """Segments (anchor, id, start, bytes) sorted by anchor -> marks (id, start, stop)."""
 
     def solve(anchor, ids, starts, parts) -> pa.RecordBatch:  # noqa: ANN001
+        lo, hi = shared_parts(anchor, parts, length, gram)
+        some = np.flatnonzero(hi > lo)
+        parts = [parts[i][lo[i] : hi[i]] for i in some]
+        ids, starts = np.array(ids)[some], np.array(starts)[some] + lo[some]
+        if not parts:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["id", "start", "stop"])
         found = repeats(parts, np.array(ids), np.array(starts), length)
         part, off = found[:, 0], found[:, 1]
         order = np.lexsort((off, part))
@@ -513,9 +558,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     else:
         split, equal = _split(cut(wanted.join(large, "anchor")).select(F.unhex(F.lpad(F.hex("anchor"), 16, "0")).alias("key"), "id", "start", "part"), length, gram, hot, scratch)
         for part in split:
-            marks = marks.union(part.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length), kind))
+            marks = marks.union(part.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length, gram), kind))
         marks = marks.union(equal)
         pieces = cut(wanted.join(large, "anchor", "left_anti"))
-    marks = marks.union(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), kind))
+    marks = marks.union(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length, gram), kind))
     spans = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(spans, "id", "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")

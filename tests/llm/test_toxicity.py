@@ -175,7 +175,7 @@ def test_choice_by_folds_of_training_rows(spark):
     docs, labels = made(spark, 300)
     # a held-out label, however wrong, changes nothing
     odd = labels.withColumn("toxic", F.when(toxicity.remainder() == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    tried = {"plain": toxicity.Options(), "strict": toxicity.Options(sure=50.0)}
+    tried = {"plain": toxicity.Options(prior=300.0), "strict": toxicity.Options(prior=300.0, sure=50.0)}
     found = [toxicity.choose(docs, x, tried, 2).orderBy("name", "fold").collect() for x in (labels, odd)]
     same = lambda rows: [(r.name, r.fold, round(r.loss, 9), r.missed, r.false_alarms) for r in rows]
     assert same(found[0]) == same(found[1]) and len(found[0]) == 4
