@@ -81,7 +81,9 @@ def best_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
 def format_trees(messages: DataFrame) -> DataFrame:
     """(tree, formatted, loss array<struct<start,end>>): the best branch of each reply tree as one conversation.
 
-    ``messages``: id, parent, score, tree (any name for the root's tree), role, text; null roles and texts count as empty.
+    ``messages``: id, parent, score, tree (any name for the root's tree), role, text; null roles and texts count as empty. A conversation is one
+    row, so one task holds the chosen branch of a tree at a time, whatever its length; texts of any length are escaped whole. Further columns are not read.
+    An empty table gives no rows.
     """
     scratch = Scratch(messages.sparkSession, "chat")
     messages = scratch.put(messages.select("id", "parent", "score", "tree", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
@@ -124,3 +126,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"conv_id": part["tree"].astype("Int64"), **dict(zip(("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"), columns, strict=True))})
 
     return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: What ``read_back`` gives for chains, from the rows themselves.
+SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e as (
+  select *, replace(replace(replace(role, '\', '\'), '<', '\l'), '[', '\b') as er, replace(replace(replace(text, '\', '\'), '<', '\l'), '[', '\b') as et from rows
+)
+select cast(conv_id as bigint) as conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length('<s>[ROLE]') + length(er) + length('[/ROLE]') + length(et) + length('</s>')) as bigint) as formatted_chars
+from e group by conv_id
+"""

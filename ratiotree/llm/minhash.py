@@ -195,3 +195,25 @@ def _classes(docs: DataFrame, scratch: Scratch, k: int, percent: int, bands: int
     kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
     count = F.when(F.col("doc_id") == F.col("rep"), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), count.alias("links_found"))
+
+
+def sql(k: int = 5, percent: int = 80) -> str:
+    """The classes for DuckDB, by all pairs that share a shingle: for tables of some thousand documents."""
+    return f"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), s as materialized (
+  select distinct doc_id, hash(g) as h from (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {k} then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i : i + {k - 1}], ' ')) end) as g from w)
+), n as materialized (select doc_id, count(*) as n from s group by 1
+), p as materialized (
+  select x.doc_id as u, y.doc_id as v, count(*) as c from s x join s y on x.h = y.h and x.doc_id < y.doc_id
+  join n a on a.doc_id = x.doc_id join n b on b.doc_id = y.doc_id where 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) group by 1, 2
+), l as materialized (
+  select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100 * c >= {percent} * (a.n + b.n - c)
+), e as materialized (select u, v from l union select v, u from l
+), r as (select u as node, u as root from e union select e.v, r.root from r join e on r.node = e.u where r.root < e.v
+), c as (select node, min(root) as root from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(root, d.doc_id)) as kept
+from documents d left join n using (doc_id) left join c on node = d.doc_id
+"""

@@ -24,7 +24,7 @@ def tokenizer_path() -> str:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), k=4)
+    return minhash.near_duplicates(documents(spark, sf_dir), k=4).drop("links_found")
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_duplicates": exact.SQL, "op4_mix_sources": mixing.sql(), "op10_licenses": licenses.sql()}
+    return {
+        "op1_near_duplicates": minhash.sql(k=4), "op2_repeated_substrings": suffix.sql(), "op3_exact_duplicates": exact.SQL, "op4_mix_sources": mixing.sql(),
+        "op7_chat_format": chat.SQL, "op10_licenses": licenses.sql()}

@@ -564,3 +564,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     marks = marks.union(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length, gram), kind))
     spans = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(spans, "id", "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
+
+
+def sql(length: int = LENGTH) -> str:
+    """The same without spans for DuckDB, by all strings of the length: for tables of some megabytes."""
+    return f"""
+with d as materialized (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents
+), s as materialized (
+  select doc_id, i, row_number() over (partition by hash(array_slice(b, i, i + {length - 1})) order by doc_id, i) > 1 as again from (select doc_id, b, unnest(range(1, n - {length - 2})) as i from d where n >= {length})
+), m as (select doc_id, i, case when i > max(i + {length - 1}) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as new from s where again
+), g as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from m
+), r as materialized (select doc_id, run, min(i) as a, max(i) + {length - 1} as z from g group by 1, 2
+), t as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from r
+), k as (
+  select doc_id, a, hex(array_slice(b, before + 1, a - 1)) as h from t join d using (doc_id) where a > before + 1
+  union all select doc_id, n + 1, hex(array_slice(b, coalesce(z, 0) + 1, n)) from d left join (select doc_id, max(z) as z from r group by 1) using (doc_id) where n > coalesce(z, 0)
+)
+select doc_id, n as n_bytes, coalesce(gone, 0) as n_removed, coalesce(runs, 0) as n_spans, sha256(unhex(coalesce(h, ''))) as kept_sha256
+from d left join (select doc_id, cast(sum(z - a + 1) as bigint) as gone, count(*) as runs from r group by 1) using (doc_id) left join (select doc_id, string_agg(h, '' order by a) as h from k group by 1) using (doc_id)
+"""

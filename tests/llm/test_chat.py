@@ -68,3 +68,12 @@ def test_read_back_equals_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.read_back(chat.format_trees(chat.chains(df))).count() == 0
+
+
+def test_long_text_and_long_conversation(spark):
+    long = "<s>[a]\\" * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(3000)]
+    df = spark.createDataFrame([(*x, "x", 1.0) for x in rows], "conv_id long, turn long, role string, text string, tree string, score double")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_trees(chat.chains(df))).collect()}
+    assert got[1].n_turns == 2 and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[2].n_turns == 3000 and got[2].loss_chars == sum(len(f"t{t}") for t in range(1, 3000, 2))

@@ -74,3 +74,21 @@ def test_empty_documents(spark, tables):
     path, _ = tables
     for name, run in corpus_pipeline.STAGES:
         assert run(spark, spark.createDataFrame([], KIND), path).count() == 0, name
+
+
+def test_long_texts_and_clashing_columns(spark, tables):
+    """Each stage keeps further columns as they are, also such that are called like its own, and takes whole texts."""
+    path, _ = tables
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(1, long, "en", "a", 1), (2, long + " and more", "en", "a", 2), (3, long + " ", "de", "b", 3), (4, "short one", None, None, 4)]
+    extra = "_pipeline_row long, kept string, id string, name int, len string, component_id string, weight string, key binary, residual int, row string"
+    docs = spark.createDataFrame([(*x, i, "k", "i", 5, "l", "c", "w", b"b", 6, "r") for i, x in enumerate(rows)], f"{KIND}, {extra}")
+    want = {"toxicity": [1, 2, 3, 4], "exact dedup": [2, 3, 4], "MinHash near-dedup": [1, 4], "mixing to target weights": None}
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        found = run(spark, docs, path)
+        assert found.columns == docs.columns and found.schema == docs.schema
+        got = sorted(tuple(x) for x in found.collect())
+        assert set(got) <= {tuple(x) for x in docs.collect()}
+        assert want[name] is None or [x[0] for x in got] == want[name], name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, path).groupBy("doc_id").sum("length").collect()
+    assert len(pieces) == 4 and {x[0] for x in pieces if x[1] > 80_000} == {1, 2, 3}
