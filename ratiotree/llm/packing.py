@@ -24,9 +24,9 @@ from .scratch import Scratch
 from .textscan import slices, utf8
 
 CAPACITY = 2048
-#: The store of pieces is emptied beyond either, before the next megabyte of text.
+#: Beyond either, only those pieces stay in store that the next part of text has.
 CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
-PART = 1 << 20
+PART = 2 << 20
 
 
 #: Texts that NFC and lower-casing treat sign by sign, and the tokenizer's own pattern for what it encodes by itself (fixed value).
@@ -85,18 +85,16 @@ class WordIds:
         return out
 
     def all(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.forget()
         cut = [self._cut(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
+        wanted = set().union(*cut)
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.known = {w: self.known[w] for w in wanted.intersection(self.known)}  # the common ones
+            self.held = sum(map(len, self.known))
+        new = wanted.difference(self.known)
         if new:
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, x)) for x in cut]
 
-    def forget(self) -> None:
-        self.known = {}
-        self.held = 0
-
     def long(self, text: bytes) -> bytes:
         """The ids of a text of any length, a part after the other."""
         out, lo = [], 0
