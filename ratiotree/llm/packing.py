@@ -25,7 +25,7 @@ from .textscan import slices, utf8
 
 CAPACITY = 2048
 #: Beyond either, only those pieces stay in store that the next part of text has.
-CACHE_WORDS, CACHE_BYTES = 250_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
 PART = 2 << 20
 
 
