@@ -206,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     # one row for each length: where its runs begin, rising, and for each what to add to a rank and the offset; the last run that begins at or before a rank is its own
     kinds = pa.schema([("length", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first", "shift", "offsets"))])
     table = pa.Table.from_arrays([pa.array(list(runs), pa.int64()), *(pa.array([[x[i] for x in r] for r in runs.values()], pa.list_(pa.int64())) for i in range(3))], schema=kinds)
-    places = scratch.put(spark.createDataFrame(table))
+    places = spark.createDataFrame(table)
     ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank").join(places, "length")
     steps = max(1, max((len(r) for r in runs.values()), default=1).bit_length())
     at = ranked.withColumn("_run", F.lit(0))
