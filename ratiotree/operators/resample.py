@@ -80,10 +80,11 @@ def _table(spark, results: list[dict], first: str) -> DataFrame:  # noqa: ANN001
 
 
 def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValidation, threads: int = 2, ginis: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(measures of each fold, statistics over folds). The prepared rows are written once, as each fold reads them several times."""
+    """(measures of each fold, statistics over folds). The prepared rows are written once with their folds' flags, as each fold reads them several times."""
     base = data if options.use_all else data.where("is_train")
     work = Workspace(data.rows.sparkSession)
-    base = replace(base, rows=work.write(base.rows))
+    flags = {f"_train{i}": f for i, f in enumerate(training_flags(base.rows, options, settings.seed))}
+    base = replace(base, rows=work.write(base.rows.withColumns(flags)))
     total = base.rows.count()
 
     def job(flag: Column, i: int):  # noqa: ANN202
@@ -96,7 +97,7 @@ def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValida
 
         return run
 
-    found = _attempts([job(f, i) for i, f in enumerate(training_flags(base.rows, options, settings.seed))], threads)
+    found = _attempts([job(F.col(name), i) for i, name in enumerate(flags)], threads)
     work.delete()
     table = _table(data.rows.sparkSession, found, "fold")
     names = [c for c in table.columns if c not in ("fold", "error")]
