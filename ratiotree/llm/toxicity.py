@@ -34,7 +34,7 @@ STOPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 @dataclass(frozen=True)
 class Options:
-    """What a model may be told. prior and least are those with the least loss by ``choose``, over two folds of the training rows of two example tables, of 18 settings tried."""
+    """What a model may be told. prior and least are those with the least loss by ``choose``, over two folds of the training rows of two example tables, of 16 settings tried."""
 
     heads: tuple[int, ...] = (4, 5, 6, 7, 8)  # lengths of words' beginnings that are tokens too
     prior: float = 3000.0  # pseudo-counts in proportion to a token's share
