@@ -7,15 +7,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import error_stats
 from ..settings import ModelSettings
 from ..sources.workspace import Workspace
 from .histogram import at_hand, cells, scaled
-from .prepare import Prepared
-from .sampling import sampled
+from .prepare import Prepared, code
+from .sampling import sampled, samples
 from .scores import ScoreTable, score_table
 from .tree import Tree, check_features, fit_tree, grow, leaves_of, with_leaf
 
@@ -180,14 +180,22 @@ def fit_bagged(data: Prepared, settings: ModelSettings, error: str = "mse") -> B
     share = settings.sample_rows if settings.sample_rows < 1 else 0.632
     plain = settings.update(sample_rows=1.0)
     train = data.rows.where("is_train")
+    work = Workspace(data.rows.sparkSession)
+    known: list[Column] = []
+    if not settings.random_top and settings.sample_features >= 1:  # growing a tree draws nothing, so all samples are known, and written once
+        flags = samples(train, share, [int(rng.integers(1 << 31)) for _ in range(settings.iterations)])
+        codes = [F.col(f"`{code(f)}`") for f in data.features]
+        train = work.write(train.select("numerator", "denominator", "weight", *codes, *[f.alias(f"_inside{i}") for i, f in enumerate(flags)]))
+        known = [F.col(f"_inside{i}") for i in range(settings.iterations)]
     trees, errors = [], []
-    for _ in range(settings.iterations):
-        inside = sampled(train, share, int(rng.integers(1 << 31)))
+    for i in range(settings.iterations):
+        inside = known[i] if known else sampled(train, share, int(rng.integers(1 << 31)))
         tree = fit_tree(data, plain, train.where(inside), rng)
         if error != "uniform":
             unseen = with_leaf(train.where(~inside), tree, {"fitted": lambda n: float(n.ratio)}, by_code=True).withColumn("ratio", F.try_divide("numerator", "denominator"))
             errors.append(error_stats(unseen, "ratio", "fitted", "weight").first()[error])
         trees.append(tree)
+    work.delete()
     return Bagged(trees, inverse_weights(errors) if error != "uniform" else [1 / len(trees)] * len(trees))
 
 

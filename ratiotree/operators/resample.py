@@ -14,7 +14,7 @@ from ..sources.workspace import Workspace
 from .boost import fit_bagged, fit_boosted, predict_bagged, predict_boosted
 from .prepare import Prepared
 from .reports import band, measures_row, stats_of_stats
-from .sampling import fold, sampled
+from .sampling import fold, samples
 from .tree import fit_tree, predict_tree
 
 
@@ -30,7 +30,7 @@ class CrossValidation:
 def training_flags(rows: DataFrame, options: CrossValidation, seed: int) -> list[Column]:
     """For each fold, the column that says whether a row trains; folds and samples have exact sizes, by a hash of the key alone."""
     if options.share > 0:
-        return [sampled(rows, options.share, seed + i) for i in range(abs(options.folds))]
+        return samples(rows, options.share, [seed + i for i in range(abs(options.folds))])
     place = fold(rows, abs(options.folds), seed)
     return [place == i if options.folds < 0 else place != i for i in range(abs(options.folds))]
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratiotree.operators import boost, histogram, reports, tree
+from ratiotree.operators import boost, histogram, reports, sampling, tree
 from ratiotree.operators.prepare import prepare
 from ratiotree.operators.resample import CrossValidation, cross_validate, run_model, search, training_flags
 from ratiotree.operators.scores import local_line, smooth
@@ -225,3 +225,29 @@ def test_stream_scoring(spark, data, tmp_path):
     stream = spark.readStream.schema(data.rows.select(*data.features).schema).parquet(str(tmp_path / "in"))
     score_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("fitted is not null").count() == 1500
+
+
+def counted(spark, data):
+    """``data`` whose rows are counted each time they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return type(data)(data.rows.mapInArrow(through, data.rows.schema), data.levels, data.numeric, data.categorical), seen
+
+
+@pytest.mark.parametrize("random", [{}, {"sample_features": 0.7}])
+def test_bagging_reads_the_rows_a_few_times_in_all(spark, data, random):
+    """Samples of all trees are found in one pass and written in one, with the same trees as one after the other; random growth draws between them."""
+    settings = ModelSettings(model_type="bagged_tree", criterion="sse", iterations=3, min_weight=-0.1, **random)
+    base, seen = counted(spark, data)
+    model = boost.fit_bagged(base, settings)
+    assert random or seen.value <= 3 * 1500
+    rng, train, trees = np.random.default_rng(settings.seed), data.rows.where("is_train"), []
+    for _ in range(3):
+        cut = sampling.cutoffs(train, sampling.hashed(F.col("key"), seed := int(rng.integers(1 << 31))), lambda n: [round(0.632 * n)])[0]
+        trees.append(tree.fit_tree(data, settings, train.where(sampling.hashed(F.col("key"), seed) <= cut), rng))
+    assert [[(i, n.feature, n.codes, n.count) for i, n in sorted(t.nodes.items())] for t in model.trees] == [[(i, n.feature, n.codes, n.count) for i, n in sorted(t.nodes.items())] for t in trees]

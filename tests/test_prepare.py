@@ -150,3 +150,15 @@ def test_sources(spark, tmp_path, table):
     tables.write_report({"x": table}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/x.parquet")).count() == 500
     assert tables.zip_files([str(tmp_path / "s.csv")], str(tmp_path / "z.zip")).endswith("z.zip")
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_all_cutoffs_equal_sorted_hashes(spark, copies):
+    """One pass for all seeds; where keys repeat, ranks may lie far from where they are expected, and are counted."""
+    df = spark.range(2000).select((F.col("id") / copies).cast("long").cast("string").alias("key")).union(spark.sql("select cast(null as string)"))
+    wanted = lambda n: [0, 1, 17, 500, 1999, n, n + 5]
+    got = sampling.all_cutoffs(df, "key", list(range(10)), wanted)
+    for seed in range(10):
+        hashes = sorted(r[0] for r in df.where("key is not null").select(sampling.hashed(F.col("key"), seed)).collect())
+        assert got[seed] == [-1, *(hashes[min(r, 2000) - 1] for r in wanted(2000)[1:])]
+    assert sampling.all_cutoffs(df.where("false"), "key", [1, 2], lambda n: [n]) == [[-1], [-1]] and df.where(sampling.sampled(df, 0.0, 3)).count() == 0
