@@ -26,12 +26,12 @@ def error_stats(rows: DataFrame, truth: str, estimate: str, weight: str | None =
     return rows.groupBy(*by).agg(mean(miss * miss).alias("mse"), mean(F.abs(miss)).alias("mae"), mean(rel * rel).alias("mrse"), mean(F.abs(rel)).alias("mrae"), F.sum(F.abs(rel)).alias("srae"), F.try_divide(cov, spread).alias("correlation"))
 
 
-def squares(rows: DataFrame, numerator: str, denominator: str, estimate: str) -> DataFrame:
-    """rss, tss and r2 of numerators, and the same of the rows' ratios; ``estimate`` is a numerator. One pass over sums of squares."""
+def squares(rows: DataFrame, numerator: str, denominator: str, estimate: str, by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """rss, tss and r2 of numerators, and the same of the rows' ratios; ``estimate`` is a numerator; ``more`` are named aggregates. One pass over sums of squares."""
     n, d, e = F.col(numerator), F.col(denominator), F.col(estimate)
     r, f = F.try_divide(n, d), F.try_divide(e, d)
-    sums = rows.agg(F.sum((n - e) * (n - e)).alias("rss"), (F.sum(n * n) - F.sum(n) * F.avg(n)).alias("tss"), F.sum((r - f) * (r - f)).alias("rss_ratio"), (F.sum(r * r) - F.sum(r) * F.avg(r)).alias("tss_ratio"))
-    return sums.select("rss", "tss", (1.0 - F.try_divide("rss", "tss")).alias("r2"), "rss_ratio", "tss_ratio", (1.0 - F.try_divide("rss_ratio", "tss_ratio")).alias("r2_ratio"))
+    sums = rows.groupBy(*by).agg(F.sum((n - e) * (n - e)).alias("rss"), (F.sum(n * n) - F.sum(n) * F.avg(n)).alias("tss"), F.sum((r - f) * (r - f)).alias("rss_ratio"), (F.sum(r * r) - F.sum(r) * F.avg(r)).alias("tss_ratio"), *more)
+    return sums.select(*[c for c in sums.columns if c not in ("rss", "tss", "rss_ratio", "tss_ratio")], "rss", "tss", (1.0 - F.try_divide("rss", "tss")).alias("r2"), "rss_ratio", "tss_ratio", (1.0 - F.try_divide("rss_ratio", "tss_ratio")).alias("r2_ratio"))
 
 
 def gini(rows: DataFrame, value: str, work: Workspace | None = None) -> DataFrame:

@@ -31,9 +31,10 @@ def band_label(starts: list[int], scores: int) -> list[str]:
 def grouped_stats(rows: DataFrame, group: str, estimate: str) -> DataFrame:
     """``group`` (null for the total), is_train, weight, numerator, denominator, observed, estimated, fitted, relativity.
 
-    ``estimate`` is a ratio. One rollup over the rows; relativity is the observed ratio over that of all rows of the same part.
+    ``estimate`` is a ratio. Rows are summed by part and group, those sums rolled up; relativity is the observed ratio over that of all rows of the same part.
     """
-    sums = rows.withColumn("_est", F.col(estimate) * F.col("denominator")).rollup("is_train", group).agg(F.grouping(group).alias("_total"), F.sum("weight").alias("weight"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.sum("_est").alias("estimated"))
+    by = rows.groupBy("is_train", group).agg(F.sum("weight").alias("weight"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.sum(F.col(estimate) * F.col("denominator")).alias("estimated"))
+    sums = by.rollup("is_train", group).agg(F.grouping(group).alias("_total"), *[F.sum(c).alias(c) for c in ("weight", "numerator", "denominator", "estimated")])
     sums = sums.where("is_train is not null").withColumn("observed", F.try_divide("numerator", "denominator"))
     whole = Window.partitionBy("is_train")
     total = F.max(F.when(F.col("_total") == 1, F.col("observed"))).over(whole)
@@ -78,11 +79,13 @@ def measures_row(rows: DataFrame, group: str, ginis: bool = True) -> dict:
     """All measures of rows with numerator, denominator, weight, estimate (a ratio), is_train and a group: those of ``band_metrics``, Poisson errors, and
     for each part residual squares and R2 of numerators and of ratios, and the ginis; ``ginis`` False leaves those out, as they need an order over all rows.
     """
-    out = band_metrics(grouped_stats(rows, group, "estimate"), group).first().asDict() | error_row(rows)
+    out = band_metrics(grouped_stats(rows, group, "estimate"), group).first().asDict()
     guess = rows.withColumn("_guess", F.col("estimate") * F.col("denominator"))
-    for s, part in (("trn", guess.where("is_train")), ("val", guess.where(~F.col("is_train")))):
-        found = squares(part, "numerator", "denominator", "_guess").first()
-        out |= {f"{name}_{s}": found[name] for name in ("r2_ratio", "r2", "rss_ratio", "rss")}
+    error = F.avg(poisson_error(F.col("numerator"), F.col("_guess"))).alias("poisson_error")
+    found = {r["is_train"]: r for r in squares(guess, "numerator", "denominator", "_guess", ("is_train",), (error,)).collect()}  # both parts in one pass
+    for s, trn in (("trn", True), ("val", False)):
+        part = guess.where(F.col("is_train") == trn)
+        out |= {f"{name}_{s}": found[trn][name] if trn in found else None for name in ("poisson_error", "r2_ratio", "r2", "rss_ratio", "rss")}
         if ginis:
             work = Workspace(rows.sparkSession)
             out[f"normalized_gini_{s}"] = normalized_gini(part, "numerator", "estimate", work).first()["normalized"]

@@ -80,11 +80,12 @@ def _table(spark, results: list[dict], first: str) -> DataFrame:  # noqa: ANN001
 
 
 def cross_validate(data: Prepared, settings: ModelSettings, options: CrossValidation, threads: int = 2, ginis: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(measures of each fold, statistics over folds). The prepared rows are written once with their folds' flags, as each fold reads them several times."""
+    """(measures of each fold, statistics over folds). The prepared rows are written once with their folds' flags, as each fold reads them several times; their keys only where models draw samples."""
     base = data if options.use_all else data.where("is_train")
     work = Workspace(data.rows.sparkSession)
     flags = {f"_train{i}": f for i, f in enumerate(training_flags(base.rows, options, settings.seed))}
-    base = replace(base, rows=work.write(base.rows.withColumns(flags)))
+    keyed = settings.model_type == "bagged_tree" or settings.sample_rows < 1
+    base = replace(base, rows=work.write(base.rows.withColumns(flags).drop(*[] if keyed else ["key"])))
     total = base.rows.count()
 
     def job(flag: Column, i: int):  # noqa: ANN202

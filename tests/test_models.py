@@ -251,3 +251,24 @@ def test_bagging_reads_the_rows_a_few_times_in_all(spark, data, random):
         cut = sampling.cutoffs(train, sampling.hashed(F.col("key"), seed := int(rng.integers(1 << 31))), lambda n: [round(0.632 * n)])[0]
         trees.append(tree.fit_tree(data, settings, train.where(sampling.hashed(F.col("key"), seed) <= cut), rng))
     assert [[(i, n.feature, n.codes, n.count) for i, n in sorted(t.nodes.items())] for t in model.trees] == [[(i, n.feature, n.codes, n.count) for i, n in sorted(t.nodes.items())] for t in trees]
+
+
+def test_folds_read_the_rows_a_few_times_in_all(spark, data, monkeypatch):
+    """However many rows share a hash's leading bits: one pass counts, one finds the folds, one writes them."""
+    monkeypatch.setattr(sampling, "FEW", 0)
+    base, seen = counted(spark, data)
+    table, _ = cross_validate(base, ModelSettings(min_weight=-0.2, max_depth=2), CrossValidation(3), ginis=False)
+    assert table.where("error is null").count() == 3 and seen.value <= 3 * 1500
+    assert cross_validate(data, ModelSettings(model_type="bagged_tree", iterations=2, min_weight=-0.2, max_depth=2), CrossValidation(-2), ginis=False)[0].where("error is null").count() == 2
+
+
+def test_measures_of_both_parts_equal_those_of_each(data):
+    from ratiotree.functions import metrics
+
+    scored = tree.apply_tree(data.rows, tree.fit_tree(data, ModelSettings(min_weight=-0.2))).withColumn("estimate", F.col("fitted"))
+    got = reports.measures_row(scored, "leaf", ginis=False)
+    want = reports.error_row(scored)
+    for s, part in (("trn", scored.where("is_train")), ("val", scored.where("not is_train"))):
+        found = metrics.squares(part.withColumn("guess", F.col("estimate") * F.col("denominator")), "numerator", "denominator", "guess").first()
+        want |= {f"{m}_{s}": found[m] for m in ("r2", "rss", "r2_ratio", "rss_ratio")}
+    assert {k: got[k] for k in want} == pytest.approx(want)
